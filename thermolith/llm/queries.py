@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, quality, sharding
+from . import bpe, common, mixing, quality, sharding, token_store, topk
 
 SHARDS = 8
 
@@ -26,11 +27,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.get("turns", F.lit(0))["position"].alias("position")).repartitionByRange("position").sortWithinPartitions("position")
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digest(spark, token_store.write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
 
