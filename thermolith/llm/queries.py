@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, quality, sharding, token_store, topk
+from . import bpe, common, minhash, mixing, quality, sharding, token_store, topk
 
 SHARDS = 8
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = sharding.write_shards(common.table(spark, sf_dir, "documents"), shards=SHARDS)
     text = common.as_bytes("text")
