@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, minhash, mixing, quality, sharding, token_store, topk
+from . import bpe, common, minhash, mixing, quality, sharding, suffix_dedup, token_store, topk
 
 SHARDS = 8
 
@@ -22,6 +22,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = sharding.write_shards(common.table(spark, sf_dir, "documents"), shards=SHARDS)
     text = common.as_bytes("text")
