@@ -31,14 +31,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: list[str] = []
+
+
 def store(df: DataFrame) -> DataFrame:
     """The same rows from compressed Parquet files in the shared folder: `cut` for wide or many rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of finished plans
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all stored tables, for when no frame that reads them is left."""
+    jvm = spark.sparkContext._jvm
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder for written tables, beside its checkpoints, where every executor sees it."""
     sc = spark.sparkContext

@@ -102,10 +102,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The columns of `docs`, a row for each pass that takes any of a document (whole, the last one of a source too),
     range-sorted by training position."""
-    turns = plan(docs, id_col, text, **how).select(F.col(id_col).alias("_id"), "_tie", F.explode("turns").alias("_turn")).select("_id", "_tie", "_turn.pass", "_turn.position")
-    # rows alike in id and text take alike turns in any order: one set of turns for each of them, numbered on both sides
-    turns = turns.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_tie", "pass").orderBy("position")))
-    rows = docs.withColumns({"_id2": F.col(id_col), "_tie2": F.xxhash64(text)})
-    rows = rows.withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.lit(0))))
-    both = rows.join(turns, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")) & (F.col("_nth2") == F.col("_nth")))
-    return common.cut(both.select(*(docs[c] for c in docs.columns), "position", "pass")).orderBy("position", id_col, "pass").select(*docs.columns)
+    planned = plan(docs, id_col, text, **how)
+    turns = planned.select(F.col(id_col).alias("_id"), "_tie", F.explode("turns").alias("_turn")).select("_id", "_tie", "_turn.pass", "_turn.position")
+    count = planned.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(id_col)).alias("d")).first()
+    rows = docs.withColumn("_id2", F.col(id_col))
+    same = F.col("_id2").eqNullSafe(F.col("_id"))
+    if count["n"] != count["d"]:  # rows alike in id: turns and rows are numbered on both sides
+        turns = turns.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_tie", "pass").orderBy("position")))
+        rows = rows.withColumn("_tie2", F.xxhash64(text)).withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.lit(0))))
+        same &= (F.col("_tie2") == F.col("_tie")) & (F.col("_nth2") == F.col("_nth"))
+    both = rows.join(turns, same)
+    return both.repartitionByRange("position", "pass").sortWithinPartitions("position", "pass").select(*(docs[c] for c in docs.columns))
