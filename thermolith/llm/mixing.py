@@ -104,12 +104,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> D
     range-sorted by training position."""
     planned = plan(docs, id_col, text, **how)
     turns = planned.select(F.col(id_col).alias("_id"), "_tie", F.explode("turns").alias("_turn")).select("_id", "_tie", "_turn.pass", "_turn.position")
-    count = planned.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(id_col)).alias("d")).first()
-    rows = docs.withColumn("_id2", F.col(id_col))
+    count = planned.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(F.col(id_col))).alias("d")).first()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id2"), F.xxhash64(text).alias("_tie2"))
     same = F.col("_id2").eqNullSafe(F.col("_id"))
     if count["n"] != count["d"]:  # rows alike in id: turns and rows are numbered on both sides
         turns = turns.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_tie", "pass").orderBy("position")))
-        rows = rows.withColumn("_tie2", F.xxhash64(text)).withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.lit(0))))
+        rows = rows.withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.lit(0))))
         same &= (F.col("_tie2") == F.col("_tie")) & (F.col("_nth2") == F.col("_nth"))
-    both = rows.join(turns, same)
-    return both.repartitionByRange("position", "pass").sortWithinPartitions("position", "pass").select(*(docs[c] for c in docs.columns))
+    both = rows.join(turns, same).repartitionByRange("position", "pass").sortWithinPartitions("position", "pass")
+    return both.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -170,11 +170,12 @@ CONTEXT = "ord long, th long, a long, nwin long, mh long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
-    """docs with ord, th, t: `th` tells documents of one id apart and is 0 if ids are unique."""
+    """(row, ord, th, t): `row` holds all other columns; `th` tells documents of one id apart and is 0 if ids are unique."""
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d")).first()
     unique = ids["n"] == ids["d"]
-    keyed = docs.withColumns({"ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "th": F.lit(0).cast("long") if unique else F.coalesce(F.xxhash64(text), F.lit(0)), "t": common.as_bytes(text)})
-    return keyed, unique
+    th = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    return docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), th.alias("th"), common.as_bytes(text).alias("t")), unique
 
 
 def _contexts(keyed: DataFrame) -> DataFrame:
@@ -191,10 +192,11 @@ def _contexts(keyed: DataFrame) -> DataFrame:
     return keyed.select("ord", "th", "t").mapInArrow(run, "mh long, ch long, ord long, th long, spot long")
 
 
-def _cut_out(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
+def _cut_out(wanted: DataFrame, keyed: DataFrame, unique: bool) -> DataFrame:
     """Adds the bytes of each wanted context."""
     lists = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("spot", "mh", "hot")).alias("w"))
-    rows = keyed.select("ord", "th", "t").dropDuplicates(["ord", "th"]) if "_again" in keyed.columns else keyed.select("ord", "th", "t")
+    rows = keyed.select("ord", "th", "t")
+    rows = rows if unique else rows.dropDuplicates(["ord", "th"])
     joined = rows.join(lists, ["ord", "th"]).select("ord", "th", "t", "w")
 
     def run(batches):
@@ -284,8 +286,6 @@ def _hot(hot: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = 10_000, block_bytes: int = 3 << 19) -> DataFrame:
     """(ord, th, spot): runs of windows to remove; spot: start byte * 256 + number of windows (up to 77)."""
     keyed, unique = _keyed(docs, id_col, text)
-    if not unique:
-        keyed = keyed.withColumn("_again", F.lit(True))
     parts = common.partitions(docs.sparkSession)
     same = W.partitionBy("mh", "ch").orderBy("ord", "th", "spot")
     group = W.partitionBy("mh")
@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     met = common.store(met)
     again = met.where(~F.col("first")).select("ord", "th", "spot")
     wanted = met.where("first").select("mh", "ord", "th", "spot", "hot").distinct() if not unique else met.where("first").select("mh", "ord", "th", "spot", "hot")
-    cut = common.store(_cut_out(wanted, keyed))
+    cut = common.store(_cut_out(wanted, keyed, unique))
     return again.union(_merged(cut.where(~F.col("hot")), block_bytes)).union(_hot(cut.where("hot")))
 
 
@@ -305,7 +305,7 @@ def _remaining(docs: DataFrame, id_col: str, text: str, fields: dict[str, str],
     spans = repeated_spans(docs, id_col, text, **how).groupBy("ord", "th").agg(F.collect_list("spot").alias("w"))
     keyed, _ = _keyed(docs, id_col, text)
     keep = [c for c in docs.columns if c != text]
-    joined = keyed.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "ord", "th", "t").join(spans, ["ord", "th"], "left").select("row", "t", "w")
+    joined = keyed.join(spans, ["ord", "th"], "left").select("row", "t", "w")
 
     def run(batches):
         for b in batches:
