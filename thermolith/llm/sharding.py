@@ -39,6 +39,8 @@ def shuffled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seed:
     begins = filled.select("_b", (F.sum("_count").over(W.orderBy("_b")) - F.col("_count")).alias("_begin"))
     # one array for each bucket of bounded bytes; sorted first, as rows arrive in any order
     full = dealt.repartition(n, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    # the rows stay where they are, as Spark adds the partition's number to the shuffle's seed; n bounds the other side
+    begins = F.broadcast(begins) if n <= 100_000 else begins.hint("merge")
     turned = full.join(begins, F.col("_bucket") == F.col("_b")).sortWithinPartitions("_bucket")
     placed = turned.select("_begin", F.posexplode(F.shuffle("_rows", seed)).alias("_pos", "_row"))
     return placed.select(*(F.col("_row")[c].alias(c) for c in docs.columns), (F.col("_begin") + F.col("_pos")).alias("_place")), int(total["n"])
