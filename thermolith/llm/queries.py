@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_extract, langid, minhash, mixing, quality, sharding, suffix_dedup, token_store, topk
+from . import bpe, common, html_extract, langid, minhash, mixing, oracles, quality, sharding, suffix_dedup, token_store, topk
 
 SHARDS = 8
 
@@ -49,7 +49,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.get("turns", F.lit(0))["position"].alias("position")).repartitionByRange("position").sortWithinPartitions("position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", (F.rint(F.get("turns", F.lit(0))["position"] * 1e6) / 1e6).alias("position")).repartitionByRange("position").sortWithinPartitions("position")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
