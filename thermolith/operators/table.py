@@ -12,16 +12,16 @@ from . import cube, pathway
 KEY = ["model", "scenario"]
 
 
-def years_axis(knots: DataFrame) -> DataFrame:
-    """One row with the cube's years; their number is bounded by the calendar."""
-    return knots.agg(F.sort_array(F.collect_set(F.col("year").cast("double"))).alias("axis"))
+def axes(knots: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """One row: the cube's years (their number is bounded by the calendar) and its outermost levels."""
+    level = F.when(F.col("value").isNotNull(), F.col("gwl"))
+    return knots.agg(F.sort_array(F.collect_set(F.col("year").cast("double"))).alias("years"), F.min(numeric.floor_to(level, config.smooth_resolution)).alias("lo"), F.max(numeric.ceil_to(level, config.smooth_resolution)).alias("hi"))
 
 
 def targets(path: DataFrame, knots: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Pathway rows with the cube's nearest year (cube_year), nearest level (gwl_c) and the SSP to look up."""
-    ends = knots.where("value is not null").agg(F.min(numeric.floor_to(F.col("gwl"), config.smooth_resolution)).alias("lo"), F.max(numeric.ceil_to(F.col("gwl"), config.smooth_resolution)).alias("hi"))
-    t = path.where("gwl is not null").crossJoin(F.broadcast(years_axis(knots))).crossJoin(F.broadcast(ends))  # one row each
-    year = numeric.nearest(F.col("year").cast("double"), F.col("axis")).cast("int")
+    t = path.where("gwl is not null").crossJoin(F.broadcast(axes(knots, config)))
+    year = numeric.nearest(F.col("year").cast("double"), F.col("years")).cast("int")
     level = numeric.nearest_centi(F.col("gwl"), numeric.centi(F.col("lo")), numeric.centi(F.col("hi")))
     return t.select(*KEY, pathway.lookup_ssp(F.col("ssp"), config).alias("ssp"), "year", year.alias("cube_year"), "gwl", level.alias("gwl_c"))
 

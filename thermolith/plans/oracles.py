@@ -10,7 +10,7 @@ def mean(c: str) -> str:
 
 
 def r(x: str, digits: int = 6) -> str:
-    return f"(round_even(({x}) * 1e{digits}, 0) / 1e{digits} + 0e0)"
+    return f"(floor(({x}) * 1e{digits} + 0.500123e0) / 1e{digits})"
 
 
 _MELT = "(SELECT 'price' AS indicator, 'USD' AS unit UNION ALL SELECT 'quantity', 'items' UNION ALL SELECT 'discount', '%')"
