@@ -196,7 +196,7 @@ PAGE = """<html><head><title>T</title><script>var x = "</p>";</script></head><bo
 
 def test_main_text():
     assert html_extract.main_text(PAGE) == "T & x\nFirst para of text, it is long enough, surely.\nSecond one goes on, and on; and on.\nitem a\nitem b"
-    for page, want in ((None, ""), ("", ""), ("plain &lt;text", "plain <text"), ("<nav>x</nav>", ""), ("<p>a<br>b", "a b"), ("<article><p>x <b c='d>e</article>", "x e"), ("<!-- x", ""), ("<div>" * 5000 + "x", "x")):
+    for page, want in ((None, ""), ("", ""), ("plain &lt;text", "plain <text"), ("<nav>x</nav>", ""), ("<p>a<br>b", "a b"), ("<article><p>x <b c='d>e</article>", "x e"), ("<p>a <span class='ad'>b <span>c</span> d</span> e", "a e"), ("<p>a <span class='ad'>b <p>c", "a\nc"), ("<!-- x", ""), ("<div>" * 5000 + "x", "x")):
         assert html_extract.main_text(page) == want
 
 

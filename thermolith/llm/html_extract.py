@@ -80,9 +80,12 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
     root = Element("", 0)
     here, blocks, text = root, [], []
     numbers: dict[tuple[int, str], int] = {}
-    inline: set[str] = set()  # inline tags that were taken for blocks, as they say that they are no content
+    inline: list = []  # an inline part that says it is no content: its tag, how often that is open, the text before
 
     def close() -> None:
+        if inline:
+            del text[inline[2] :]
+            inline.clear()
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined and not here.out and not (here.heading_only and here.tag not in HEADINGS):
@@ -111,14 +114,18 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
         tag = tag.lower()
         block = tag in BLOCK or tag in LEFT_OUT
         if token[1] or token[4]:
-            if block or tag in inline:
+            if block:
                 to = here
                 while to is not root and to.tag != tag:
                     to = to.parent
-                if to is not root or block:
-                    close()
+                close()
                 if to is not root:
                     here = leave(to.parent)
+            elif inline and inline[0] == tag:
+                inline[1] -= 1
+                if not inline[1]:
+                    del text[inline[2] :]
+                    inline.clear()
             continue
         attributes = token[3] or token[6] or ""
         if tag in RAW:
@@ -134,9 +141,11 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
             continue
         no = bool(attributes and not attributes.isspace()) and _says_no(attributes)
         if not block:
-            if not no:
-                continue
-            inline.add(tag)
+            if inline and inline[0] == tag:
+                inline[1] += 1
+            elif no and not inline:
+                inline[:] = tag, 1, len(text)
+            continue
         close()
         if tag in BLOCK and here.tag == "p":
             here = leave(here.parent)
