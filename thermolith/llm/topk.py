@@ -89,56 +89,82 @@ class DualTree:
         if len(q) and len(r):
             self._walk()
 
-    def _bound(self, a: int, b: np.ndarray) -> np.ndarray:
+    def _bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What no product of members of query nodes a and candidate nodes b exceeds."""
         qt, rt = self.qt, self.rt
-        c = rt.x[rt.centre[b]] @ qt.x[qt.centre[a]]
-        ra, rb = qt.radius[a], rt.radius[b]
-        up = c + qt.norm[a] * rb + rt.norm[b] * ra + ra * rb
+        up = qt.x[qt.centre[a]] @ rt.x[rt.centre[b]].T
+        ra, rb = qt.radius[a][:, None], rt.radius[b][None]
+        up += qt.norm[a][:, None] * rb + rt.norm[b][None] * ra + ra * rb
         return up + 1e-9 * (np.abs(up) + 1)
 
     def _walk(self) -> None:
         qt, rt = self.qt, self.rt
-        parent = {c: n for n, cs in enumerate(qt.children) for c in cs}
+        self.inner = [n for n in reversed(range(len(qt.centre))) if qt.children[n]]  # children have larger numbers
         todo = [(0, 0, np.inf)]
         while todo:
             a, b, up = todo.pop()
             if up < self.worst[a]:
                 continue
-            if qt.children[a] and (rt.is_leaf[b] or qt.radius[a] >= rt.radius[b]):
-                todo += [(c, b, float(self._bound(c, np.array([b]))[0])) for c in qt.children[a]]
-            elif rt.is_leaf[b]:
-                self._leaves(a, rt.members[b])
-                self._raise(a, parent)
-            else:
-                children = np.array(rt.children[b])
-                ups = self._bound(a, children)
-                children, ups = children[ups >= self.worst[a]], ups[ups >= self.worst[a]]
-                if not qt.children[a] and (last := rt.is_leaf[children]).any():  # small nodes of a level are compared together
-                    self._leaves(a, np.concatenate([rt.members[c] for c in children[last]]))
-                    self._raise(a, parent)
-                    children, ups = children[~last], ups[~last]
-                order = np.argsort(ups, kind="stable")  # the most promising comes off the stack first
-                todo += [(a, int(children[i]), float(ups[i])) for i in order]
-
-    def _raise(self, a: int, parent: dict[int, int]) -> None:
-        """A group's bound is the worst kth score below it."""
-        own = self.qt.members[a]
-        self.worst[a] = self.score[own, -1].min() if self.found[own, -1].all() else -np.inf
-        while a in parent:
-            a = parent[a]
-            self.worst[a] = min(self.worst[c] for c in self.qt.children[a])
-
-    def _leaves(self, a: int, rs: np.ndarray) -> None:
-        qs = self.qt.members[a]
-        self.pairs += len(qs) * len(rs)
-        s = (self.q[qs].astype(self.exact) @ self.r[rs].astype(self.exact).T).astype(np.int64)
-        ids = np.broadcast_to(self.rid[rs], s.shape)
-        ok = (ids != self.qid[qs][:, None]) | (ids == LAST)
-        score = np.concatenate([self.score[qs], np.where(ok, s, -LAST)], 1)
-        best = np.concatenate([self.best[qs], ids], 1)
-        found = np.concatenate([self.found[qs], ok], 1)
-        order = np.lexsort((best, -score, ~found), axis=1)[:, : self.k]
-        self.score[qs], self.best[qs], self.found[qs] = (np.take_along_axis(x, order, 1) for x in (score, best, found))
+            below = np.array(qt.children[a] or [a]), np.array(rt.children[b] or [b])
+            ups = self._bounds(*below)
+            keep = ups >= self.worst[below[0]][:, None]
+            leaf = qt.is_leaf[below[0]][:, None] & rt.is_leaf[below[1]][None]
+            deeper = np.argwhere(keep & ~leaf)
+            order = np.argsort(ups[deeper[:, 0], deeper[:, 1]], kind="stable")  # the most promising comes off the stack first
+            todo += [(int(below[0][i]), int(below[1][j]), float(ups[i, j])) for i, j in deeper[order]]
+            self._leaves(*below, np.where(keep & leaf, ups, -np.inf))
+
+    def _leaves(self, a: np.ndarray, b: np.ndarray, ups: np.ndarray) -> None:
+        """Compares leaves: for each query leaf the candidates of the highest bounds first, then those above its worst kth score."""
+        first = min(ups.shape[1], 2 * self.k)
+        top = np.argpartition(-ups, first - 1, axis=1)[:, :first]
+        chosen = np.zeros(ups.shape, bool)
+        np.put_along_axis(chosen, top, True, 1)
+        chosen &= ups > -np.inf
+        self._compare(a, b, chosen)
+        self._compare(a, b, ~chosen & (ups > -np.inf) & (ups >= self.worst[a][:, None]))
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, pairs: np.ndarray, most: int = 1 << 18) -> None:
+        """Exact products of all members of the chosen pairs of leaves, in parts of bounded size."""
+        i, j = np.nonzero(pairs)
+        if not len(i):
+            return
+        rsize = np.array([len(self.rt.members[n]) for n in b])
+        rall, rbegin = np.concatenate([self.rt.members[n] for n in b]), np.cumsum(rsize) - rsize
+        qsize = np.array([len(self.qt.members[n]) for n in a])
+        qall, qbegin = np.concatenate([self.qt.members[n] for n in a]), np.cumsum(qsize) - qsize
+        step = max(1, most // int(qsize.max() * rsize.max()))
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step], j[k : k + step]
+            n = qsize[x] * rsize[y]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            width = np.repeat(rsize[y], n)
+            qs = qall[np.repeat(qbegin[x], n) + inner // width]
+            rs = rall[np.repeat(rbegin[y], n) + inner % width]
+            self._take(qs, rs)
+        for n in a[qsize > 0]:
+            own = self.qt.members[n]
+            self.worst[n] = self.score[own, -1].min() if self.found[own, -1].all() else -np.inf
+        for n in self.inner:  # a group's bound is the worst kth score below it
+            self.worst[n] = self.worst[self.qt.children[n]].min()
+
+    def _take(self, qs: np.ndarray, rs: np.ndarray) -> None:
+        """Merges the products of queries qs with candidates rs into the best k."""
+        self.pairs += len(qs)
+        s = np.einsum("nd,nd->n", self.q[qs].astype(self.exact), self.r[rs].astype(self.exact)).astype(np.int64)
+        ids = self.rid[rs]
+        ok = (ids != self.qid[qs]) | (ids == LAST)
+        qs, s, ids = qs[ok], s[ok], ids[ok]
+        touched = np.unique(qs)
+        held = np.nonzero(self.found[touched])
+        query = np.concatenate([touched[held[0]], qs])
+        score = np.concatenate([self.score[touched][held], s])
+        best = np.concatenate([self.best[touched][held], ids])
+        order = np.lexsort((best, -score, query))
+        query, score, best = query[order], score[order], best[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        top = place < self.k
+        self.score[query[top], place[top]], self.best[query[top], place[top]], self.found[query[top], place[top]] = score[top], best[top], True
 
 
 def quantised(vector: str, scale: float) -> Column:
