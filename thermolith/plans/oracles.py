@@ -77,19 +77,25 @@ NEEDS = {
 }
 
 
-def with_tables(names: str, select: str) -> str:
-    """The select behind WITH clauses for the named tables and all they need."""
+#: A path from cumulative CO2 in place of the temperatures.
+CO2_PATH = {"path": ("SELECT c.model, c.scenario, m.ssp_family AS ssp, c.year, round_even((0.0005099869587542405e0 * c.value + 1.3024249460191835e0) * 1e3, 0) / 1e3 AS gwl FROM cum c JOIN resolved m USING (model, scenario) WHERE c.year % 10 = 0", ["cum", "resolved"])}
+
+
+def with_tables(names: str, select: str, other: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """The select behind WITH clauses for the named tables and all they need; `other` replaces tables and their needs."""
     order: list[str] = []
+    tables = TABLES | {n: sql for n, (sql, _) in (other or {}).items()}
+    needs = NEEDS | {n: x for n, (_, x) in (other or {}).items()}
 
     def add(n: str) -> None:
-        for x in NEEDS.get(n, []):
+        for x in needs.get(n, []):
             add(x)
         if n not in order:
             order.append(n)
 
     for n in names.split():
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in order) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({tables[n]})" for n in order) + "\n" + select
 
 
 def _bin(x: str, e: list[str]) -> str:
@@ -150,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "table_emulation": w("tab", f"SELECT {IMPACT} FROM tab"),
         "table_emulation_requested_years": w("looked", f"SELECT model, scenario, region, 'RIME|' || indicator AS variable, unit, year, {r('value')} AS value FROM looked WHERE year % 10 = 0"),
         "table_emulation_wide": w("tab", f"SELECT model, scenario, region, variable, unit, {decades} FROM (SELECT * REPLACE ({r('value')} AS value) FROM tab WHERE variable = 'RIME|price') GROUP BY ALL"),
+        "table_emulation_from_co2": w("looked", f"SELECT model, scenario, region, 'Climate impacts|' || indicator AS variable, unit, cube_year AS year, {r('avg(value)')} AS value FROM looked GROUP BY ALL", CO2_PATH),
         "missing_ssps": w("path", "SELECT DISTINCT ssp FROM path WHERE ssp = 'SSP1'"),
         "map_emulation_multi_scenario": w("maps", f"SELECT {MAP} FROM maps WHERE indicator = 'price'"),
         "map_emulation_multi_indicator": w("maps", f"SELECT {MAP} FROM maps WHERE {_ONE}"),

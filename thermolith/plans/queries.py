@@ -188,6 +188,14 @@ def table_emulation_wide(s, d):
     return reshape.to_wide(out, ID, list(range(2020, 2081, 10)))
 
 
+@query
+def table_emulation_from_co2(s, d):
+    """Emissions to cumulative CO2, to warming, to regional impacts."""
+    warming = carbon.as_temperature(carbon.to_gwl(carbon.prepare(fx.co2(s, d), years=DECADES)))
+    p = pathway.make(warming, fx.meta(s, d), "RIME|GSAT_tcre")
+    return table.emulate(p, fx.cube(s, d), prefix="Climate impacts|").withColumn("value", r("value"))
+
+
 @query
 def missing_ssps(s, d):
     return table.missing_ssps(path(s, d), fx.cube(s, d).where("ssp != 'SSP1'"))
