@@ -9,8 +9,10 @@ sets of the whole texts decide the rest.  With 42 bands of 6 registers a pair at
 probability 3e-6.
 
 Documents with equal sets are one class and only its smallest id goes on.  Inside a band key documents are not paired
-with each other but with pivots: first the smallest id; then, while a key holds documents of different components, a few
-pivots of each component, more in each round, until every key is settled.  So the links found give the same components
+with each other: each is compared with the key's pivot, the document that shares keys with most others, which is often
+the text that the others were copied from.  Where a key then still holds several components, the documents connected by
+such keys form a cluster, and those outside the cluster's largest component are compared with all of it, in blocks of
+bounded size on both sides; of each component only one link is reported.  So the links found give the same components
 as all links.  Components come from alternating large and small stars over checkpointed edges.
 
 Null, empty and word-less texts have an empty set and no links.  Texts with fewer words than a shingle have the whole
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -145,9 +148,21 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("doc", "regs").mapInArrow(run, "key long, doc long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame, threshold: float, sigmas: float = 6.0) -> DataFrame:
-    """The pairs (a, b) whose sizes and estimate allow the threshold."""
-    side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+def shared_sizes(sets: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of row-wise intersections and of both sides' sets."""
+    row, h = np.concatenate([sets[0], others[0]]), np.concatenate([sets[1], others[1]])
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    shared = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=rows)
+    return shared, np.bincount(sets[0], minlength=rows), np.bincount(others[0], minlength=rows)
+
+
+def confirmed(pairs: DataFrame, known: DataFrame, width: int, percent: int, sigmas: float = 6.0) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
+
+    `known` has doc, n, regs and the whole text t; pairs whose sizes or estimates rule the threshold out are not verified."""
+    threshold = percent / 100
+    side = lambda x: known.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("t").alias(f"t{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
     def run(batches):
@@ -155,43 +170,78 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float, sigmas: float =
             n, m = t.column(2).to_numpy(), t.column(3).to_numpy()
             equal = (_registers_of(t.column(4)) == _registers_of(t.column(5))).sum(1)
             spread = sigmas * np.sqrt(threshold * (1 - threshold) / np.minimum(BUCKETS, np.minimum(n, m)))
-            ok = pa.array(estimate(equal, n, m) >= threshold - spread)
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
-
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole texts' sets have 100 * intersection >= percent * union."""
-    pairs = common.cut(pairs)
-    texts = docs.select(F.col(id_col).alias("doc"), common.as_bytes(text).alias("t"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = texts.join(ids, "doc", "left_semi")
-    side = lambda x: texts.select(F.col("doc").alias(x), F.col("t").alias(f"t{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-
-    def run(batches):
-        for t in batches:
+            t = t.filter(pa.array(estimate(equal, n, m) >= threshold - spread))
             first = 0
             while first < len(t):
                 part = t.slice(first)
-                each = [next(common.slices(part.column(i), 1 << 20)) for i in (2, 3)]
+                each = [next(common.slices(part.column(i), 1 << 20)) for i in (6, 7)]
                 rows = min(x[1] for x in each)
                 sets = []
                 for _, _, off, data in each:
                     off = off[: rows + 1]
                     sets.append(shingles(data[: off[-1]], off, width))
-                sizes = [np.bincount(r, minlength=rows) for r, _ in sets]
-                row, h = np.concatenate([r for r, _ in sets]), np.concatenate([x for _, x in sets])
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                shared = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=rows)
-                union = sizes[0] + sizes[1] - shared
-                ok = pa.array((union > 0) & (100 * shared >= percent * union))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, rows).filter(ok), part.column(1).slice(0, rows).filter(ok)], names=["a", "b"])
+                shared, one, two = shared_sizes(*sets, rows)
+                ok = pa.array((shared > 0) & (100 * shared >= percent * (one + two - shared)))
+                yield pa.RecordBatch.from_arrays([part.column(i).slice(0, rows).filter(ok) for i in (0, 1)], names=["a", "b"])
                 first += rows
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "na", "nb", "ra", "rb", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+
+
+def crossing(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], labels: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of left, row of right) of pairs that reach `percent` and differ in label; one for each left row and label.
+
+    The sides are (row, hash) of sets; the right side is an inverted index."""
+    order = np.argsort(right[1], kind="stable")
+    index, owner = right[1][order], right[0][order]
+    sizes = np.bincount(right[0], minlength=len(labels[1]))
+    upto = np.searchsorted(left[0], np.arange(len(labels[0]) + 1))
+    out: tuple[list, list] = ([], [])
+    for i in range(len(labels[0])):
+        h = left[1][upto[i] : upto[i + 1]]
+        a, b = np.searchsorted(index, h, "left"), np.searchsorted(index, h, "right")
+        n = b - a
+        hits = owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        shared = np.bincount(hits, minlength=len(sizes))
+        ok = np.flatnonzero((shared > 0) & (100 * shared >= percent * (len(h) + sizes - shared)) & (labels[1] != labels[0][i]))
+        ok = ok[np.unique(labels[1][ok], return_index=True)[1]]
+        out[0].append(np.full(len(ok), i))
+        out[1].append(ok)
+    return np.concatenate(out[0]) if out[0] else np.empty(0, np.int64), np.concatenate(out[1]) if out[1] else np.empty(0, np.int64)
+
+
+def cross_links(open_keys: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
+    """Links (a, b) between different labels of the clusters that the rows (key, doc, label) connect."""
+    key = W.partitionBy("key")
+    edges = open_keys.select("doc", F.min("doc").over(key).alias("first")).where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    clusters = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    members = common.cut(open_keys.select("doc", "label").distinct().join(clusters, "doc"))
+    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("main"))
+    sizes = sizes.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("m") / right_block).alias("rights"), F.ceil((F.col("m") - F.col("main.n")) / left_block).alias("lefts"))
+    placed = members.join(sizes, "cluster").withColumn("h", F.xxhash64("doc"))
+    right = placed.select("cluster", "doc", "label", F.lit(False).alias("left"), F.pmod("h", "rights").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"))
+    left = placed.where("label != main").select("cluster", "doc", "label", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.pmod("h", "lefts").alias("i"))
+    rows = right.unionByName(left).join(known.select("doc", "t"), "doc")
+
+    def run(t: pa.Table) -> pa.Table:
+        sides = []
+        for flag in (True, False):
+            part = t.filter(pa.compute.equal(t["left"], flag)).combine_chunks()
+            row, h, base = [], [], 0
+            for c in part["t"].chunks:
+                for first, _, off, data in common.slices(c, 1 << 20):
+                    r, x = shingles(data, off, width)
+                    row.append(r + first + base)
+                    h.append(x)
+                base += len(c)
+            sides.append((np.concatenate(row) if row else np.empty(0, np.int64), np.concatenate(h) if h else np.empty(0, U64), part["label"].to_numpy(), part["doc"].to_numpy()))
+        (lr, lh, ll, ld), (rr, rh, rl, rd) = sides
+        i, j = crossing((lr, lh), (rr, rh), (ll, rl), percent)
+        return pa.table({"a": np.minimum(ld[i], rd[j]), "b": np.maximum(ld[i], rd[j])})
+
+    spot = F.struct("cluster", "i", "j")
+    return rows.withColumn("spot", spot).select("spot", "doc", "label", "left", "t").groupBy("spot").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,32 +277,28 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept of every row of `docs`."""
-    threshold = percent / 100
     signed = common.cut(signatures(docs, id_col, text, width))
     able = signed.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = able.groupBy("k1", "k2").agg(F.min("doc").alias("rep"))
     reps = able.join(classes.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi").select(F.col("doc").cast("long").alias("doc"), "n", "regs")
     key = W.partitionBy("key")
-    shared = bands(reps).withColumns({"pivot": F.min("doc").over(key), "last": F.max("doc").over(key)}).where("pivot != last").drop("last")
-    shared = common.cut(shared)
-    prove = lambda pairs: common.cut(confirmed(likely(pairs, reps, threshold), docs, id_col, text, width, percent))
-    links = prove(shared.where("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
-    open_keys, pivots = shared.where("doc != pivot").select("key", "doc").distinct(), 4
-    while True:
-        found = common.cut(components(links))
-        label = F.coalesce("component", "doc")
-        labelled = open_keys.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", label.alias("label"))
-        labelled = labelled.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key)}).where("lo != hi").drop("lo", "hi")
-        heads = F.row_number().over(W.partitionBy("key", "label").orderBy("doc"))
-        labelled = labelled.withColumn("head", heads == 1).withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.desc("head"), "doc")))
-        labelled = common.cut(labelled.withColumn("is_pivot", F.col("head") & (F.col("nth") <= pivots)).drop("head", "nth"))
-        if labelled.isEmpty():
-            break
-        ps = labelled.where("is_pivot").select(F.col("key").alias("pk"), F.col("doc").alias("p"), F.col("label").alias("pl"))
-        met = labelled.join(ps, (F.col("key") == F.col("pk")) & (F.col("label") != F.col("pl")))
-        pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-        links = links.union(prove(pairs))
-        open_keys, pivots = labelled.where("not is_pivot").select("key", "doc"), pivots * 4
+    met = bands(reps).withColumns({"size": F.count(F.lit(1)).over(key), "lo": F.min("doc").over(key), "hi": F.max("doc").over(key)}).where("lo != hi")
+    met = common.cut(met.select("key", "doc", "size"))
+    weight = met.groupBy("doc").agg(F.sum("size").alias("weight"))
+    ids = weight.select("doc")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), common.as_bytes(text).alias("t"))
+    known = common.store(reps.join(texts.join(ids, "doc", "left_semi"), "doc"))
+    pivot = F.max(F.struct("weight", (-F.col("doc")).alias("d"))).over(key)
+    pairs = met.join(weight, "doc").select("doc", (-pivot["d"]).alias("pivot")).where("doc != pivot")
+    pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    links = common.cut(confirmed(pairs, known, width, percent))
+    found = common.cut(components(links))
+    labelled = met.select("key", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
+    labelled = labelled.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key), "n": F.count(F.lit(1)).over(key)})
+    open_keys = common.cut(labelled.where("lo != hi and n > 2").select("key", "doc", "label"))  # two documents have been compared
+    if not open_keys.isEmpty():
+        more = common.cut(cross_links(open_keys, known, width, percent))
+        found = common.cut(components(links.union(more)))
     out = signed.select("doc", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
     out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
