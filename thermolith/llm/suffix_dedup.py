@@ -135,7 +135,7 @@ def merge(shards: list[Shard], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarr
     return order, shared
 
 
-def repeats(data: np.ndarray, off: np.ndarray, keys: list[np.ndarray], start: np.ndarray, shard_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(data: np.ndarray, off: np.ndarray, keys: list[np.ndarray], start: np.ndarray, shard_bytes: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, first window, number of windows) of runs of windows that also start earlier, for contexts that begin at
     `start` in the documents ordered by `keys` (most important first)."""
     shards, first = [], 0
@@ -211,7 +211,7 @@ def _cut_out(wanted: DataFrame, keyed: DataFrame, unique: bool) -> DataFrame:
             total = np.cumsum(size)
             first = 0
             while first < len(spots):
-                end = max(first + 1, int(np.searchsorted(total, total[first] - size[first] + (4 << 20), "right")))
+                end = max(first + 1, int(np.searchsorted(total, total[first] - size[first] + (1 << 20), "right")))
                 s, m = off[row[first:end]] + (spots[first:end] >> 8), size[first:end]
                 to = np.cumsum(m)
                 text = data[np.repeat(s - (to - m), m) + np.arange(int(to[-1]))]
@@ -283,7 +283,7 @@ def _hot(hot: DataFrame) -> DataFrame:
     return both.where(F.struct("ord", "th", "spot") != F.col("first")).select("ord", "th", "spot")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = 10_000, block_bytes: int = 3 << 19) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = 3000, block_bytes: int = 1 << 19) -> DataFrame:
     """(ord, th, spot): runs of windows to remove; spot: start byte * 256 + number of windows (up to 77)."""
     keyed, unique = _keyed(docs, id_col, text)
     parts = common.partitions(docs.sparkSession)
