@@ -28,7 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests) is one made here."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of finished plans
+    return out
 
 
 _stored: list[str] = []

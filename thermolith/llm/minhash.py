@@ -211,7 +211,7 @@ def crossing(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
 
 
 def cross_links(open_keys: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
-    """Links (a, b) between different labels of the clusters that the rows (key, doc, label) connect."""
+    """Links (a, b) between labels, for pairs of documents of different labels in the clusters that rows (key, doc, label) connect."""
     key = W.partitionBy("key")
     edges = open_keys.select("doc", F.min("doc").over(key).alias("first")).where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     clusters = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
@@ -235,13 +235,13 @@ def cross_links(open_keys: DataFrame, known: DataFrame, width: int, percent: int
                     row.append(r + first + base)
                     h.append(x)
                 base += len(c)
-            sides.append((np.concatenate(row) if row else np.empty(0, np.int64), np.concatenate(h) if h else np.empty(0, U64), part["label"].to_numpy(), part["doc"].to_numpy()))
-        (lr, lh, ll, ld), (rr, rh, rl, rd) = sides
+            sides.append((np.concatenate(row) if row else np.empty(0, np.int64), np.concatenate(h) if h else np.empty(0, U64), part["label"].to_numpy()))
+        (lr, lh, ll), (rr, rh, rl) = sides
         i, j = crossing((lr, lh), (rr, rh), (ll, rl), percent)
-        return pa.table({"a": np.minimum(ld[i], rd[j]), "b": np.maximum(ld[i], rd[j])})
+        return pa.table({"a": np.minimum(ll[i], rl[j]), "b": np.maximum(ll[i], rl[j])})
 
     spot = F.struct("cluster", "i", "j")
-    return rows.withColumn("spot", spot).select("spot", "doc", "label", "left", "t").groupBy("spot").applyInArrow(run, "a long, b long").distinct()
+    return rows.withColumn("spot", spot).select("spot", "label", "left", "t").groupBy("spot").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,12 +261,12 @@ def components(links: DataFrame) -> DataFrame:
             out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = hung.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        return out.where("a != b").distinct()
+        return out.where("a != b")
 
     edges = common.cut(links.where("a != b").select("a", "b").distinct())
     before = state(edges)
     while before[0]:
-        edges = common.cut(stars(stars(edges, True), False))
+        edges = common.cut(stars(stars(edges, True), False).distinct())
         now = state(edges)
         if now == before:
             break
@@ -296,9 +296,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     labelled = met.select("key", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
     labelled = labelled.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key), "n": F.count(F.lit(1)).over(key)})
     open_keys = common.cut(labelled.where("lo != hi and n > 2").select("key", "doc", "label"))  # two documents have been compared
-    if not open_keys.isEmpty():
-        more = common.cut(cross_links(open_keys, known, width, percent))
-        found = common.cut(components(links.union(more)))
+    if not open_keys.isEmpty():  # components of components
+        above = components(cross_links(open_keys, known, width, percent)).select(F.col("node").alias("_low"), F.col("component").alias("_high"))
+        joined = found.join(above, F.col("component") == F.col("_low"), "full")
+        found = common.cut(joined.select(F.coalesce("node", "_low").alias("node"), F.coalesce("_high", "component").alias("component")).distinct())
     out = signed.select("doc", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
     out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
