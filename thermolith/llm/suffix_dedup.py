@@ -283,7 +283,7 @@ def _hot(hot: DataFrame) -> DataFrame:
     return both.where(F.struct("ord", "th", "spot") != F.col("first")).select("ord", "th", "spot")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = 3000, block_bytes: int = 1 << 19) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = 10_000, block_bytes: int = 1 << 19) -> DataFrame:
     """(ord, th, spot): runs of windows to remove; spot: start byte * 256 + number of windows (up to 77)."""
     keyed, unique = _keyed(docs, id_col, text)
     parts = common.partitions(docs.sparkSession)
