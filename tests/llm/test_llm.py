@@ -200,6 +200,23 @@ def test_main_text():
         assert html_extract.main_text(page) == want
 
 
+def test_main_text_keeps_what_lies_around_the_largest_part():
+    """Pages without <article> or <main>: content and headings outside the part that holds over 90% of the text."""
+    lede, close, body = "The lede, in short: it rained, and then, again, it rained.", "The closing words, as ever, are few, and far between.", [f"Sentence {i} of the story, which goes on, and on, for a while. " * 6 for i in range(8)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    all_ = "\n".join(x.strip() for x in body)
+    for page, want in (
+        (f"<body><div id=story><p>{lede}</p><div class=text>{inner}</div><p>{close}</p></div></body>", f"{lede}\n{all_}\n{close}"),
+        (f"<body><div id=story><p>{lede}</p><div class=text>{' '.join(body)}</div><p>{close}</p></div></body>", f"{lede}\n{' '.join(' '.join(body).split())}\n{close}"),
+        (f"<body><div class=a><div class=text>{inner}</div><div class=more><p>{close * 3}</p></div></div></body>", f"{all_}\n{close * 3}"),
+        (f"<body><div class=a><div class=head><h1>Title</h1></div><div class=text>{inner}</div></div></body>", f"Title\n{all_}"),
+        (f"<body><h1>Title</h1><div class=text>{inner}</div></body>", f"Title\n{all_}"),
+        (f"<body><div class=text>{inner}</div><div class=z><h4>Links</h4><ul><li>one<li>two</ul></div></body>", all_),
+        (f"<body><div class=x>Home</div><article><h1>Title</h1>{inner}</article><div class=y>Up</div></body>", f"Title\n{all_}"),
+    ):
+        assert html_extract.main_text(page) == want
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (2, None, None), (2, None, None), (None, "u", "<p>" + "long text. " * 200000)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))

@@ -3,7 +3,8 @@
 A page is read once into text blocks, each with its path of block tags and classes from the root.  Text length and
 punctuation are aggregated per path and divided by the path's blocks; these two ratios are smoothed over neighbouring
 blocks, fused by multiplication and averaged per path again; paths above a share of the text-weighted mean are content.
-The smallest element that holds nearly all content, with its headings, is the article, and all its blocks are kept.
+The smallest element that holds all content, the headings before it and the paragraphs that stand loose beside it is the
+article, and all its blocks are kept; an <article> or <main> with nearly all content is the article itself.
 
 Containers that HTML itself names as no content (navigation, page headers and footers, asides, forms, scripts, ...) and
 such whose class, id or role says so (adverts, notices, sidebars, reader comments, ...) are left out before.
@@ -190,17 +191,32 @@ def content_paths(blocks: list[tuple[str, Element]], share: float = 0.2) -> set[
 
 
 def article(blocks: list[tuple[str, Element]], root: Element, paths: set[int], nearly: float = 0.9) -> Element:
-    """The smallest holder of nearly all content that leaves no heading of it outside."""
+    """The outermost <article> or <main> with nearly all content and no title left outside, or else the smallest holder of
+    all content, of every heading that content follows, and of sentences straight in the elements around that holder."""
     upto = np.concatenate([[0], np.cumsum([len(t) if e.path in paths else 0 for t, e in blocks])])
-    weight = lambda e: int(upto[e.last] - upto[e.first])
+    content = [i for i, (_, e) in enumerate(blocks) if e.path in paths]
+    titles = [i for i, (_, e) in enumerate(blocks) if e.tag == "h1"]
+    open_ = [root]
+    while open_:
+        e = open_.pop()
+        if e.tag not in ("article", "main"):
+            open_.extend(reversed(e.children))
+        elif upto[e.last] - upto[e.first] >= nearly * upto[-1] and (any(e.first <= i < e.last for i in titles) or not any(i < e.first for i in titles)):
+            return e
+    first = min((i for i in range(content[0]) if blocks[i][1].tag in HEADINGS), default=content[0])
+    loose: dict[int, tuple[int, int]] = {}  # the first and last sentence straight in an element
+    for i, (t, e) in enumerate(blocks):
+        if PUNCTUATION.search(t):
+            around = id(e.parent if e.tag in ("p", "pre", "blockquote") else e)
+            loose[around] = loose.get(around, (i, i))[0], i
     here = root
     while here.tag not in ("article", "main"):
-        best = max((c for c in here.children if c.tag in HOLDERS), key=weight, default=None)
-        if best is None or weight(best) < nearly * weight(here):
+        a, b = loose.get(id(here), (first, first))
+        a, b = min(a, first), max(b, content[-1])
+        inner = next((c for c in here.children if c.tag in HOLDERS and c.first <= a and b < c.last), None)
+        if inner is None:
             break
-        if here.tag not in ("html", "body", "") and any(c.tag in ("h1", "h2") and c.first < c.last <= best.first for c in here.children):
-            break
-        here = best
+        here = inner
     return here
 
 
