@@ -217,6 +217,27 @@ def test_main_text_keeps_what_lies_around_the_largest_part():
         assert html_extract.main_text(page) == want
 
 
+def test_main_text_of_pages_named_like_no_content():
+    lines = [f"Sentence {i} of the story, which goes on, and on, for a while." for i in range(8)]
+    inner, all_ = "".join(f"<p>{x}</p>" for x in lines), "\n".join(lines)
+    side = "<p>Some words, and others, of no use.</p>"
+    for name in ("content has-sidebar", "page with-header", "post no-comments", "related-work", "notice", "content sidebar", "share-price"):
+        assert html_extract.main_text(f'<body><div class="{name}">{inner}</div></body>') == all_
+        assert html_extract.main_text(f'<body><div id="{name.split()[-1]}">{inner}<div class="sidebar">{side}</div></div><div>x</div></body>') == all_
+    assert html_extract.main_text(f"<body><p>{lines[0]}</p><div class=related-work>{inner[:200]}</div>{inner * 3}</body>").count("Sentence") == 1 + 3 + 24
+    for name in ("sidebar", "sidebar-left", "comment-list", "ad_slot", "site-footer widget-area", "cookie-notice"):
+        assert html_extract.main_text(f'<body><div class="text">{inner}</div><div class="{name}">{side}</div></body>') == all_
+    assert html_extract.main_text(f"<body><div class=text>{inner}</div><div id=comments>{side * 90}</div></body>") == all_
+    for name in ("ad", "widget"):
+        assert html_extract.main_text(f"<body><div class={name}>{side}</div><article><p>Short, this.</p></article></body>") == "Short, this."
+        assert html_extract.main_text(f"<body><div class={name}>{side}</div><article><p>No mark</p></article></body>") == "No mark"
+    for attributes in ('title="the hidden truth"', "title='so hidden'", 'data-x1="a hidden b"', 'data-hidden="no"'):
+        assert html_extract.main_text(f"<body><p>{lines[0]}</p><p {attributes}>{lines[1]}</p></body>") == f"{lines[0]}\n{lines[1]}"
+    for attributes in ("hidden", "class=a HIDDEN", 'hidden=""', "hidden=until-found", 'style="display: none"', "aria-hidden=true"):
+        assert html_extract.main_text(f"<body><p>{lines[0]}</p><p {attributes}>{lines[1]}</p></body>") == lines[0]
+    assert html_extract.main_text(f"<body><p><span class=notice>{lines[0]}</span></p><p>x</p></body>") == f"{lines[0]}\nx"
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (2, None, None), (2, None, None), (None, "u", "<p>" + "long text. " * 200000)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))

@@ -7,7 +7,10 @@ The smallest element that holds all content, the headings before it and the para
 article, and all its blocks are kept; an <article> or <main> with nearly all content is the article itself.
 
 Containers that HTML itself names as no content (navigation, page headers and footers, asides, forms, scripts, ...) and
-such whose class, id or role says so (adverts, notices, sidebars, reader comments, ...) are left out before.
+such whose class, id or role says so (adverts, notices, sidebars, reader comments, ...) are left out before.  A class or id
+says so by a whole name, not by a part of one (`no-comments`, `has-sidebar`), and never of most of a page's sentences
+unless an <article> or <main> has text; adverts and reader comments, which may outgrow an article, are left out unless
+there are no other sentences.
 
 Null, empty and text-less pages give an empty text.  Tags may be unclosed, unopened or badly nested.  Whole pages are
 read, in time linear in their length.  Repeated rows and other columns are untouched.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>]++)))?+")
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?、。，…¿¡]")
 
@@ -43,6 +46,12 @@ ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td",
 NO_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommend recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Of these, what names text of others, which may be longer than the article, and not a place on the page.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising banner comment comments consent cookie cookies disqus gdpr newsletter popup promo promoted promotion sponsor sponsored subscribe subscription".split())
+#: What may stand beside these words in one name, as in `comment-list`; with any other word it's another thing.
+PARTS = frozenset(
+    "a above area bar bars below block body bottom box btn button buttons center col column container content custom default desktop element entry first fixed form frame global group holder icon icons id image inline inner item items js large last layer layout left link links list local main mobile module outer page panel policy post posts primary right row secondary section site slot small spot sticky strip tab tabs template text thread title top ui unit view wp wrap wrapper x zone".split()
+)
 
 
 @dataclass
@@ -51,6 +60,7 @@ class Element:
     path: int
     parent: Element | None = None
     out: bool = False  # in a part that is left out
+    says: str = ""  # NAMED or OTHER: its name says that it's no content
     inside: bool = False  # in an article
     heading_only: bool = False
     first: int = 0  # blocks first to last - 1 lie below it
@@ -58,15 +68,23 @@ class Element:
     children: list[Element] = field(default_factory=list)
 
 
-def _says_no(attributes: str) -> bool:
+HIDDEN, NAMED, OTHER = "hidden", "named", "other"
+
+
+def _says_no(attributes: str) -> str:
+    """HIDDEN, NAMED or OTHER for what is no content by its attributes, else empty."""
+    said = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = (a or b or c).lower()
-        if name in ("class", "id", "role") and not NO_CONTENT.isdisjoint(WORD.findall(value)):
-            return True
-        if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return HIDDEN
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = WORD.findall(token)
+                if not NO_CONTENT.isdisjoint(words) and all(w in NO_CONTENT or w in PARTS for w in words):
+                    said = OTHER if said == OTHER or not OTHERS.isdisjoint(words) else NAMED
+    return said
 
 
 def _class(attributes: str) -> str:
@@ -76,17 +94,29 @@ def _class(attributes: str) -> str:
     return ""
 
 
-def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
-    """Text blocks in page order, each with its element, and the root.  Paths are numbers."""
+def _sentences(text: str) -> int:
+    return len(text) if PUNCTUATION.search(text) else 0
+
+
+def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Element]:
+    """Text blocks in page order, each with its element, and the root.  Paths are numbers.  Without `names`, inline parts
+    are not left out for theirs."""
     root = Element("", 0)
     here, blocks, text = root, [], []
     numbers: dict[tuple[int, str], int] = {}
-    inline: list = []  # an inline part that says it is no content: its tag, how often that is open, the text before
+    inline: list = []  # an inline part that says it is no content: its tag, how often that is open, the text before, how it says so
+    dropped = 0  # sentences of inline parts left out for their names
+
+    def drop() -> None:
+        nonlocal dropped
+        if inline[3] != HIDDEN and not here.out:
+            dropped += _sentences("".join(text[inline[2] :]))
+        del text[inline[2] :]
+        inline.clear()
 
     def close() -> None:
         if inline:
-            del text[inline[2] :]
-            inline.clear()
+            drop()
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined and not here.out and not (here.heading_only and here.tag not in HEADINGS):
@@ -125,8 +155,7 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
             elif inline and inline[0] == tag:
                 inline[1] -= 1
                 if not inline[1]:
-                    del text[inline[2] :]
-                    inline.clear()
+                    drop()
             continue
         attributes = token[3] or token[6] or ""
         if tag in RAW:
@@ -140,12 +169,12 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
             continue
         if tag in VOID and tag != "hr":
             continue
-        no = bool(attributes and not attributes.isspace()) and _says_no(attributes)
+        no = _says_no(attributes) if attributes and not attributes.isspace() else ""
         if not block:
             if inline and inline[0] == tag:
                 inline[1] += 1
-            elif no and not inline:
-                inline[:] = tag, 1, len(text)
+            elif no and not inline and (names or no == HIDDEN):
+                inline[:] = tag, 1, len(text), no
             continue
         close()
         if tag in BLOCK and here.tag == "p":
@@ -159,15 +188,40 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], Element]:
             if to.tag in ENDS[tag]:
                 here = leave(to.parent)
         own_header = tag == "header" and here.inside
-        out = here.out or tag in LEFT_OUT and not own_header or no and tag not in ("html", "body", "article", "main")
+        may = tag not in ("html", "body", "article", "main")
+        out = here.out or tag in LEFT_OUT and not own_header or no == HIDDEN and may
         path = numbers.setdefault((here.path, tag + _class(attributes)), len(numbers) + 1)
-        child = Element(tag, path, here, out, here.inside or tag in ("article", "main"), here.heading_only or own_header, len(blocks))
+        child = Element(tag, path, here, out, no if may else "", here.inside or tag in ("article", "main"), here.heading_only or own_header, len(blocks))
         here.children.append(child)
         here = child
     close()
     leave(root)
     root.last = len(blocks)
-    return blocks, root
+    if dropped > sum(_sentences(t) for t, _ in blocks):
+        return parse(page, False)
+    return _named_left_out(blocks, root), root
+
+
+def _named_left_out(blocks: list[tuple[str, Element]], root: Element) -> list[tuple[str, Element]]:
+    """The blocks without those of elements whose names say no content, and the elements' bounds set to what is left."""
+    sums = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+    sentences, text, marked = (sums([f(t, e) for t, e in blocks]) for f in (lambda t, e: _sentences(t), lambda t, e: len(t), lambda t, e: len(t) * e.inside))
+    kept = np.ones(len(blocks), bool)
+    elements, open_ = [], [root]
+    while open_:
+        e = open_.pop()
+        elements.append(e)
+        if e.says:
+            has, long, inside = (int(x[e.last] - x[e.first]) for x in (sentences, text, marked))
+            other = int(sentences[-1]) - has
+            elsewhere = not e.inside and marked[-1] > inside
+            if has <= other or elsewhere or e.says == OTHER and (other or 2 * long <= text[-1]):
+                kept[e.first : e.last] = False
+        open_.extend(e.children)
+    now = np.concatenate([[0], np.cumsum(kept)]).tolist()
+    for e in elements:
+        e.first, e.last = now[e.first], now[e.last]
+    return [b for b, k in zip(blocks, kept.tolist(), strict=True) if k]
 
 
 def content_paths(blocks: list[tuple[str, Element]], share: float = 0.2) -> set[int]:
