@@ -89,6 +89,22 @@ def test_quality_adapts(spark):
     assert all(out[i] == (i % 20 != 0) for i in out)
 
 
+def test_quality_of_sources_with_much_junk(spark):
+    """40 % junk of a source go; a source whose documents are all like that stays, and so do clean ones among 60 % junk."""
+    r = random.Random(7)
+    text = lambda k: " ".join(r.choice(WORDS) * (1 + 6 * (k == "long")) + ("####" if k == "marks" else "") for _ in range(80))
+    share = {"marks": ("marks", 0.4), "long": ("long", 0.4), "clean": ("", 0), "code": ("marks", 1), "most": ("long", 0.6)}
+    rows, want = [], {}
+    for s, (junk, part) in share.items():
+        for i in range(1000):
+            k = junk if i % 10 < 10 * part else ""
+            if s != "most" or not k:
+                want[len(rows)] = not k or s == "code"
+            rows.append((len(rows), text(k), "en", s, 0))
+    out = {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[i] == k for i, k in want.items())
+
+
 def test_quartiles_of_sketches(spark):
     r = random.Random(2)
     xs = [r.expovariate(0.1) for _ in range(3000)]

@@ -5,7 +5,10 @@ log-bucket quantile sketch is kept: counts of documents by ceil(log_gamma(ratio)
 counts, in any order and with the same result, so Spark's partial aggregation merges them before the shuffle and a
 source with a third of all rows costs no more than another.  Quartiles read from the sketches give each group its
 fences (Tukey: quartile +- reach * interquartile range, at least `slack` wide), and groups with few documents lean on
-the sketch of their language.  The fences are joined to the documents, which filters them.
+the sketch of their language.  Junk in over a quarter of a group moves a quartile, so such fences go no further than the
+steady ones of the group or its language, whichever are wider: the same from the median and the shorter of its distances
+to the quartiles, which less than half of the documents can't move to one side.  The fences are joined to the documents,
+which filters them.
 
 Null, empty and word-less texts: no words, base_failed.  Null language or source: a group of their own.  Repeated rows
 give repeated results.  Other columns are not touched.
@@ -105,12 +108,12 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """q1, q3 and total of each group and rule: the upper value of the bucket that holds the rank."""
+    """q1, q2, q3 and total of each group and rule: the upper value of the bucket that holds the rank."""
     key = [*groups, "rule"]
     upto, whole = F.sum("n").over(W.partitionBy(*key).orderBy("bucket")), F.sum("n").over(W.partitionBy(*key))
     value = F.when(F.col("bucket") < -(1 << 39), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")))
     at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_total"), F.col("_value")))
-    return sketch.withColumns({"_upto": upto, "_total": whole, "_value": value}).groupBy(*key).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("_total").alias("total"))
+    return sketch.withColumns({"_upto": upto, "_total": whole, "_value": value}).groupBy(*key).agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("_total").alias("total"))
 
 
 def thresholds(sketch: DataFrame, lang: str, source: str, reach: float, lean: float) -> DataFrame:
@@ -118,13 +121,21 @@ def thresholds(sketch: DataFrame, lang: str, source: str, reach: float, lean: fl
 
     A group's quartiles are averaged with its language's, with weights total : lean."""
     own = quartiles(sketch, [lang, source])
-    wide = quartiles(merged(sketch, [lang]), [lang]).select(F.col(lang).alias("_l"), F.col("rule").alias("_r"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    wide = quartiles(merged(sketch, [lang]), [lang]).select(F.col(lang).alias("_l"), F.col("rule").alias("_r"), *(F.col(q).alias(f"_{q}") for q in ("q1", "q2", "q3")))
     both = own.join(wide, own[lang].eqNullSafe(wide["_l"]) & (own["rule"] == wide["_r"]))
     for q in ("q1", "q3"):
-        both = both.withColumn(q, (F.col(q) * F.col("total") + F.col(f"_{q}") * lean) / (F.col("total") + lean))
+        both = both.withColumn(f"lean_{q}", (F.col(q) * F.col("total") + F.col(f"_{q}") * lean) / (F.col("total") + lean))
     slack = F.create_map(*(x for r in RULES for x in (F.lit(r.name), F.lit(r.slack))))[F.col("rule")]
-    width = F.greatest(slack, reach * (F.col("q3") - F.col("q1")))
-    both = both.withColumns({"_low": F.col("q1") - width, "_high": F.col("q3") + width})
+    width = F.greatest(slack, reach * (F.col("lean_q3") - F.col("lean_q1")))
+    tukey = F.col("lean_q1") - width, F.col("lean_q3") + width
+
+    def steady(q1: str, q2: str, q3: str) -> tuple[Column, Column]:
+        near = F.least(F.col(q2) - F.col(q1), F.col(q3) - F.col(q2))
+        away = near + F.greatest(slack, reach * 2 * near)
+        return F.col(q2) - away, F.col(q2) + away
+
+    (low, high), (wide_low, wide_high) = steady("q1", "q2", "q3"), steady("_q1", "_q2", "_q3")
+    both = both.withColumns({"_low": F.greatest(tukey[0], F.least(low, wide_low)), "_high": F.least(tukey[1], F.greatest(high, wide_high))})
     pick = lambda r, c: F.max(F.when(F.col("rule") == r.name, F.col(c)))
     return both.groupBy(lang, source).agg(*(pick(r, "_high").alias(f"{r.name}_high") for r in RULES), *(pick(r, "_low").alias(f"{r.name}_low") for r in RULES if r.low))
 
