@@ -1,0 +1,33 @@
+"""Queries over whole tables give the rows of their slices' SQL without the slice."""
+
+import os
+
+import duckdb
+import pytest
+from test_oracles import TABLES, rows
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.01"
+SLICES = {
+    "gwl_grid_interpolation": [(" WHERE indicator = 'price' AND year = 2050", "")],
+    "year_fill_both_edges": [("WHERE indicator = 'price' AND gwl_c = 150 ", ""), ("SELECT indicator, region, ssp,", "SELECT indicator, unit, region, ssp, gwl_c,")],
+} | {
+    k: [("WHERE region = 'ASIA'", "")]
+    for k in "filter_wildcard_variable filter_substring_any filter_substring_none filter_suffix_whitelist strip_ssp_suffix stem_of_variable parse_ssp_gwl remove_percentile_suffix impact_cube_from_input".split()
+}
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+@pytest.mark.parametrize("key", sorted(SLICES))
+def test_whole(spark, key):
+    sql = entry.oracle_sql()[key]
+    for part, other in SLICES[key]:
+        assert part in sql
+        sql = sql.replace(part, other)
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = entry.queries()[f"{key}_whole"](spark, SF).toPandas()
+    assert rows(got) == rows(duck.execute(sql).df())
+    assert "region" not in got or got["region"].nunique() == 5

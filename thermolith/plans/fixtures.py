@@ -76,9 +76,10 @@ def co2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("model", "scenario", F.lit("World").alias("region"), F.lit("Emissions|CO2").alias("variable"), F.lit("Mt CO2/yr").alias("unit"), "year", (F.col("m") / 10 - 20000).alias("value"))
 
 
-def impact_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube of one region as impact rows: `ssp1_1p5`, and suffixed variables."""
-    c = cube(spark, sf_dir).where("region = 'ASIA'")
+def impact_input(spark: SparkSession, sf_dir: str, region: str | None = "ASIA") -> DataFrame:
+    """The cube of one region, or of all with None, as impact rows: `ssp1_1p5`, and suffixed variables."""
+    c = cube(spark, sf_dir)
+    c = c if region is None else c.where(F.col("region") == region)
     level = F.replace(F.format_number("gwl", 1), F.lit("."), F.lit("p"))
     return c.select(F.lit("Climate Solutions").alias("model"), F.concat_ws("_", F.lower("ssp"), level).alias("scenario"), "region", F.concat("indicator", F.when(F.col("indicator") == "price", "|Exposure|50.0th Percentile").when(F.col("indicator") == "quantity", "|Hazard|50.0th Percentile").otherwise("_ssp2|Hazard|95.0th Percentile")).alias("variable"), "unit", "year", "value")
 

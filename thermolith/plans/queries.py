@@ -52,8 +52,8 @@ def iamc_wide_to_long(s, d):
 
 
 @query
-def filter_wildcard_variable(s, d):
-    return filters.select(fx.impact_input(s, d), variable="*|50.0th Percentile").withColumn("value", r("value"))
+def filter_wildcard_variable(s, d, region="ASIA"):
+    return filters.select(fx.impact_input(s, d, region), variable="*|50.0th Percentile").withColumn("value", r("value"))
 
 
 @query
@@ -72,18 +72,18 @@ def filter_complement(s, d):
 
 
 @query
-def filter_substring_any(s, d):
-    return filters.containing(fx.impact_input(s, d), "variable", ["quant", "disc"]).withColumn("value", r("value"))
+def filter_substring_any(s, d, region="ASIA"):
+    return filters.containing(fx.impact_input(s, d, region), "variable", ["quant", "disc"]).withColumn("value", r("value"))
 
 
 @query
-def filter_substring_none(s, d):
-    return filters.containing(fx.impact_input(s, d), "variable", ["95.0th"], keep=False).withColumn("value", r("value"))
+def filter_substring_none(s, d, region="ASIA"):
+    return filters.containing(fx.impact_input(s, d, region), "variable", ["95.0th"], keep=False).withColumn("value", r("value"))
 
 
 @query
-def filter_suffix_whitelist(s, d):
-    return filters.with_suffix(fx.impact_input(s, d), SUFFIXES).withColumn("value", r("value"))
+def filter_suffix_whitelist(s, d, region="ASIA"):
+    return filters.with_suffix(fx.impact_input(s, d, region), SUFFIXES).withColumn("value", r("value"))
 
 
 @query
@@ -92,28 +92,40 @@ def first_n_indicators(s, d):
 
 
 @query
-def strip_ssp_suffix(s, d):
-    return fx.impact_input(s, d).select("variable", text.strip_ssp(F.col("variable")).alias("stripped")).distinct()
+def strip_ssp_suffix(s, d, region="ASIA"):
+    return fx.impact_input(s, d, region).select("variable", text.strip_ssp(F.col("variable")).alias("stripped")).distinct()
 
 
 @query
-def stem_of_variable(s, d):
-    return fx.impact_input(s, d).select("variable", text.stem(F.col("variable")).alias("stem")).distinct()
+def stem_of_variable(s, d, region="ASIA"):
+    return fx.impact_input(s, d, region).select("variable", text.stem(F.col("variable")).alias("stem")).distinct()
 
 
 @query
-def parse_ssp_gwl(s, d):
-    return fx.impact_input(s, d).select("scenario", text.ssp_of(F.col("scenario")).alias("ssp"), text.gwl_of(F.col("scenario")).alias("gwl")).distinct()
+def parse_ssp_gwl(s, d, region="ASIA"):
+    return fx.impact_input(s, d, region).select("scenario", text.ssp_of(F.col("scenario")).alias("ssp"), text.gwl_of(F.col("scenario")).alias("gwl")).distinct()
 
 
 @query
-def remove_percentile_suffix(s, d):
-    return fx.impact_input(s, d).select("variable", text.remove_literal(F.col("variable"), "|50.0th Percentile").alias("short")).distinct()
+def remove_percentile_suffix(s, d, region="ASIA"):
+    return fx.impact_input(s, d, region).select("variable", text.remove_literal(F.col("variable"), "|50.0th Percentile").alias("short")).distinct()
 
 
 @query
-def impact_cube_from_input(s, d):
-    return cube.from_impacts(fx.impact_input(s, d)).withColumn("value", r("value"))
+def impact_cube_from_input(s, d, region="ASIA"):
+    return cube.from_impacts(fx.impact_input(s, d, region)).withColumn("value", r("value"))
+
+
+def _of_all_regions(f: Query) -> Query:
+    def whole(s, d):
+        return f(s, d, None)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    return query(whole)
+
+
+for _f in (filter_wildcard_variable, filter_substring_any, filter_substring_none, filter_suffix_whitelist, strip_ssp_suffix, stem_of_variable, parse_ssp_gwl, remove_percentile_suffix, impact_cube_from_input):
+    _of_all_regions(_f)
 
 
 @query
@@ -160,6 +172,17 @@ def gwl_grid_interpolation(s, d):
     return cube.gwl_grid(c).withColumn("value", r("value"))
 
 
+@query
+def year_fill_both_edges_whole(s, d):
+    c = fx.cube(s, d).where("year between 2030 and 2060")
+    return cube.fill_years(c, ["indicator", "unit", "region", "ssp", "gwl_c"], 2020, 2071).withColumn("value", r("value"))
+
+
+@query
+def gwl_grid_interpolation_whole(s, d):
+    return cube.gwl_grid(fx.cube(s, d)).withColumn("value", r("value"))
+
+
 @query
 def nearest_gwl_lookup(s, d):
     return table.targets(path(s, d), fx.cube(s, d))
