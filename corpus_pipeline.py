@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from thermolith.llm import bpe, common, langid, minhash, mixing, suffix_dedup
 
-#: Rejected are only texts without a letter and those in which no language stands out.
+#: Rejected are texts without a letter, those in which no language stands out, and those unlike the language found
+#: (`langid.Likelihood`, whose measure does not depend on the number of languages).
 LEAST_SCORE = 0.3
 
 

@@ -279,6 +279,20 @@ def test_network_learns_and_tables_agree(spark):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint(r["doc_id"] for r in kept.collect()) and kept.count() == len(rows) - 3
 
 
+def test_texts_of_no_learnt_language_are_not_accepted(spark):
+    """One, two or three learnt languages, for which the softmax is 1/3 at least: another one and gibberish go."""
+    r = random.Random(9)
+    kinds = {"xx": ["ka", "lo", "mi"], "yy": ["tz", "sch", "ung"], "zz": ["ção", "nh", "em"], None: ["wy", "pur", "gdo"]}
+    text = lambda k, n: " ".join("".join(r.choice(kinds[k]) for _ in range(3)) for _ in range(n))
+    for langs in (["xx"], ["xx", "yy"], ["xx", "yy", "zz"]):
+        rows = [(i, text(k, r.choice([3, 40, 200])), k, "s", 0) for i in range(240) for k in [langs[i % len(langs)]]]
+        rows += [(1000 + i, text(None, n), None, "s", 0) for i, n in enumerate([10, 40, 200] * 10)]
+        rows += [(2000 + i, "".join(r.choice("bcdfghjqvwx ") for _ in range(400)), None, "s", 0) for i in range(10)]
+        rows += [(3000, text(langs[0], 100).upper(), None, "s", 0)]
+        kept = {x["doc_id"] for x in langid.accepted(spark.createDataFrame(rows, DOCS), least=0.3).collect()}
+        assert kept == {*range(240), 3000}
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     net = langid.Network.new(["a", "b", "c"])

@@ -5,6 +5,10 @@ rectified and max-pooled over the window; a softmax layer gives the language.  T
 on windows of a bounded sample: up to `per_lang` labelled documents of each language, chosen by hash, and up to
 `windows` windows of each.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
 
+A softmax over the learnt languages is sure of one for any text, so `accepted` also asks how likely the text's byte pairs
+are in the language found (or, if they lie over FAR spreads off, in the nearest): the mean log-likelihood of a pair may lie
+`away` spreads below that of the language's own windows, whatever the number of languages.  Pairs are counted and the spread is taken on the same bounded sample.
+
 For prediction the embedding and the filters are multiplied out into tables over single bytes and byte pairs, and a
 convolution becomes a few look-ups a byte.
 
@@ -26,7 +30,9 @@ from . import common
 
 WINDOW, DIM, FILTERS, WIDTHS = 128, 8, 12, (2, 3, 4)
 PAD = 256
+FAR = 3.0
 UNKNOWN = "und"
+LOWER = np.array([i + 32 * (65 <= i <= 90) for i in range(257)], np.int32)
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -119,6 +125,56 @@ class Network:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+@dataclass
+class Likelihood:
+    """Log-probabilities of a byte (A-Z as a-z) after another in each language, and where its windows' means lie."""
+
+    tables: np.ndarray  # languages x 257 * 257
+    middle: np.ndarray
+    spread: np.ndarray
+
+    @staticmethod
+    def table(x: np.ndarray) -> np.ndarray:
+        x = LOWER[x]
+        pair = x[:, :-1] * 257 + x[:, 1:]
+        n = np.bincount(pair[x[:, 1:] != PAD], minlength=257 * 257).reshape(257, 257) + 0.02
+        return np.log(n / n.sum(1, keepdims=True)).astype(np.float32).reshape(-1)
+
+    @staticmethod
+    def sums(x: np.ndarray, tables: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window, the sum over its pairs in its language, and their number."""
+        x = LOWER[x]
+        real = x[:, 1:] != PAD
+        return np.where(real, tables[lang[:, None], x[:, :-1] * 257 + x[:, 1:]], 0).sum(1, dtype=np.float64), real.sum(1)
+
+    @classmethod
+    def fit(cls, langs: list[str], x: np.ndarray, y: np.ndarray) -> Likelihood:
+        """Half of the windows are measured by the other half's counts."""
+        half, means = np.arange(len(x)) % 2, np.zeros(len(x))
+        for part in (0, 1):
+            tables = np.stack([cls.table(x[(y == k) & (half != part)]) for k in range(len(langs))])
+            total, n = cls.sums(x[half == part], tables, y[half == part])
+            means[half == part] = total / np.maximum(n, 1)
+        full = x[:, -1] != PAD
+        middle, spread = np.zeros(len(langs)), np.full(len(langs), np.inf)  # without windows: all are accepted
+        for k in range(len(langs)):
+            own = means[(y == k) & full] if ((y == k) & full).any() else means[y == k]
+            if len(own):
+                middle[k] = np.median(own)
+                spread[k] = max(middle[k] - np.quantile(own, 0.16), 0.05)
+        return cls(np.stack([cls.table(x[y == k]) for k in range(len(langs))]), middle, spread)
+
+    def away(self, row: np.ndarray, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Spreads of each row's windows below the middle of its language; a text shorter than a window may vary more."""
+        total, n = np.zeros(len(lang)), np.zeros(len(lang))
+        for k in range(0, len(x), 4096):
+            at = row[k : k + 4096]
+            for into, add in zip((total, n), self.sums(x[k : k + 4096], self.tables, lang[at]), strict=True):
+                np.add.at(into, at, add)
+        short = np.sqrt(np.minimum(n, WINDOW - 1) / (WINDOW - 1))
+        return (self.middle[lang] - total / np.maximum(n, 1)) / self.spread[lang] * short
+
+
 def windows_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, windows) of all rows' bytes, the last window of a row padded."""
     size = np.diff(off)
@@ -183,8 +239,8 @@ def fit(langs: list[str], x: np.ndarray, y: np.ndarray, seed: int = 4) -> Networ
     return Network.new(langs, seed).train(np.concatenate([x, short]), np.concatenate([y, y]), seed=seed)
 
 
-def predict(docs: DataFrame, network: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, lang_pred and score of every row."""
+def predict(docs: DataFrame, network: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), likely: Likelihood | None = None) -> DataFrame:
+    """`keep`, lang_pred and score of every row; with `likely` also away."""
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
 
     def run(batches):
@@ -195,6 +251,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
             column = column.fill_null(b"")
             for first, end, off, data in common.slices(column, 1 << 18):
                 n = end - first
+                away = np.zeros(n)
                 logs, count = np.zeros((n, len(network.langs) if network else 1)), np.zeros(n)
                 if network and len(data):
                     row, x = windows_of(data, off)
@@ -205,12 +262,20 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
                 p = np.exp(logs - logs.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
+                if network and likely and len(data):
+                    away = likely.away(row, x, best)
+                    far = away > FAR
+                    if far.any():  # the network may have named the wrong one
+                        own = far[row]
+                        others = [likely.away(row[own], x[own], np.full(n, k)) for k in range(len(network.langs))]
+                        away = np.where(far, np.min(others, axis=0), away)
                 ok = lettered[first:end] & (network is not None)
                 names = [network.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), ok.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(i).slice(first, n) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(np.where(ok, p.max(1), 0.0))], names=[*keep, "lang_pred", "score"])
+                more = [pa.array(away)] if likely else []
+                yield pa.RecordBatch.from_arrays([b.column(i).slice(first, n) for i in range(len(keep))] + [pa.array(names, pa.string()), pa.array(np.where(ok, p.max(1), 0.0)), *more], names=[*keep, "lang_pred", "score", *["away"] * len(more)])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double", *["away double"] * bool(likely)]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
@@ -219,9 +284,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     return predict(docs, network, text, (id_col,)).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", least: float = 0.4, **how) -> DataFrame:
-    """The rows of `docs` in which a language is found with a score of at least `least`, with their columns."""
-    network = fit(*sample(docs, F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False)), text, lang, id_col, **how))
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", least: float = 0.4, away: float = 8.0, **how) -> DataFrame:
+    """The rows of `docs` in which a language is found with a score of at least `least`, and whose byte pairs are no less
+    likely in a learnt language than `away` spreads below its own, with their columns."""
+    langs, x, y = sample(docs, F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False)), text, lang, id_col, **how)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text"))
-    found = predict(row, network, "_text", ("_row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = predict(row, fit(langs, x, y), "_text", ("_row",), Likelihood.fit(langs, x, y) if langs else None)
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    if langs:
+        found = found.where(F.col("away") <= away)
     return found.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
