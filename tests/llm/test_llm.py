@@ -279,6 +279,12 @@ def test_network_learns_and_tables_agree(spark):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint(r["doc_id"] for r in kept.collect()) and kept.count() == len(rows) - 3
 
 
+def test_every_label_is_learnt(spark):
+    rows = [(i, f"text {i} of label", f"l{i % 230:03}", "s", 0) for i in range(690)]
+    langs, x, y = langid.sample(spark.createDataFrame(rows, DOCS), F.lit(True), per_lang=2, windows=1)
+    assert langs == [f"l{k:03}" for k in range(230)] and set(y.tolist()) == set(range(230))
+
+
 def test_texts_of_no_learnt_language_are_not_accepted(spark):
     """One, two or three learnt languages, for which the softmax is 1/3 at least: another one and gibberish go."""
     r = random.Random(9)

@@ -3,7 +3,7 @@
 Text is read as UTF-8 bytes in fixed windows of 128.  Bytes are embedded, convolved by filters of several widths,
 rectified and max-pooled over the window; a softmax layer gives the language.  The network is trained in numpy by Adam
 on windows of a bounded sample: up to `per_lang` labelled documents of each language, chosen by hash, and up to
-`windows` windows of each.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
+`windows` windows of each.  Every label is learnt, however many there are; the sample grows with their number.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
 
 A softmax over the learnt languages is sure of one for any text, so `accepted` also asks how likely the text's byte pairs
 are in the language found (or, if they lie over FAR spreads off, in the nearest): the mean log-likelihood of a pair may lie
@@ -194,10 +194,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = 300, windows: int = 24, most_langs: int = 200) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = 300, windows: int = 24) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, windows, labels): the bounded training sample, the same for the same documents."""
     learn = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(4), id_col).alias("h"))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = learn.groupBy("lang").count().orderBy("lang").collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.empty((0, WINDOW), np.int32), np.empty(0, np.int64)
