@@ -205,6 +205,17 @@ def test_maps(spark):
     assert wide.where("year = 2030 and lon = 1.0").first()["m_s"] == 2.5
 
 
+def test_maps_of_all_cells(spark):
+    raster = schema.raster_impacts(spark.createDataFrame([("i", 0.0, x, g, g * x) for x in (1.0, 2.0) for g in (1.5, 2.0, 3.0)] + [("i", 1.0, 1.0, 1.5, 1.0)], RASTER), check=False)
+    p = path(spark, [("m", "s", "SSP1", 2020, 1.504), ("m", "s", "SSP1", 2030, 2.5), ("m", "s", "SSP1", 2040, 1.0)])
+    rows = maps.emulate(p, raster, gaps=True)
+    got = {(r["lat"], r["lon"], r["year"]): (r["value"], r["status"]) for r in rows.collect()}
+    assert rows.count() == len(got) == 9 and rows.columns == maps.emulate(p, raster).columns
+    assert got[1.0, 1.0, 2030] == (None, "ok") and got[1.0, 1.0, 2040] == (None, "below")
+    few = {(r["lat"], r["lon"], r["year"]): (r["value"], r["status"]) for r in maps.emulate(p, raster).collect()}
+    assert few.items() <= got.items() and set(got) - set(few) == {(1.0, 1.0, 2030)}
+
+
 def test_maps_limits_are_kept(spark):
     raster = schema.raster_impacts(spark.createDataFrame([("i", 0.0, 0.0, g, g) for g in (1.0, 4.0)], RASTER))
     p = path(spark, [("m", "s", "SSP1", y, g) for y, g in ((2020, 1.2), (2030, 3.5), (2040, 3.51), (2050, 1.19))])

@@ -23,10 +23,11 @@ def targets(path: DataFrame, raster: DataFrame, years: list[int] | None = None,
     return t.select(*KEY, "year", "gwl", numeric.centi(F.col("gwl")).alias("gwl_c"), status.alias("status"))
 
 
-def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None, strict: bool = False, config: EngineConfig = DEFAULT, honour_user: bool = False) -> DataFrame:
+def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None, strict: bool = False, config: EngineConfig = DEFAULT, honour_user: bool = False, gaps: bool = False) -> DataFrame:
     """model, scenario, indicator, lat, lon, year, gwl, value, status for every scenario, indicator and cell.
 
-    Out of bounds and in gaps of a cell's levels the value is null.  With `strict` only one scenario or one indicator
+    Out of bounds the value is null.  A cell whose own levels don't hold one in bounds has no row for it, or with `gaps`
+    one with a null.  With `strict` only one scenario or one indicator
     may have several of the other."""
     if strict and path.select(*KEY).distinct().count() > 1 and raster.select("indicator").distinct().count() > 1:
         raise ValueError("several scenarios and several indicators")
@@ -39,8 +40,10 @@ def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None,
     p = cube.bucketed(cube.pieces(raster, cell), config.bucket)
     ok = t.where("status = 'ok'").join(p, "bucket").where("gwl_c >= lo_c and gwl_c < hi_c")
     ok = ok.select(*KEY, *cell, "year", "gwl", cube.value_at().alias("value"), "status")
-    # levels that no piece of a cell holds, in or out of bounds: a null for each cell
     cells = raster.select(*cell).distinct()
+    if gaps:  # a null for each cell and level that no piece holds, in or out of bounds
+        every = t.crossJoin(cells).select(*KEY, *cell, "year", "gwl", "status")
+        return every.join(ok.select(*KEY, *cell, "year", "value"), [*KEY, *cell, "year"], "left").select(*KEY, *cell, "year", "gwl", "value", "status")
     out = t.where("status != 'ok'").crossJoin(cells).select(*KEY, *cell, "year", "gwl", F.lit(None).cast("double").alias("value"), "status")
     return ok.unionByName(out)
 

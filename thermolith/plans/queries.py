@@ -224,25 +224,37 @@ def missing_ssps(s, d):
     return table.missing_ssps(path(s, d), fx.cube(s, d).where("ssp != 'SSP1'"))
 
 
-def _maps(s, d, scenario: str | None = None, indicator: str | None = None):
+def _maps(s, d, scenario: str | None = None, indicator: str | None = None, gaps: bool = False):
     p, g = path(s, d), fx.raster(s, d)
     p = p if scenario is None else p.where(F.col("scenario") == scenario).where("model = 'BUILDING'")
-    return maps.emulate(p, g if indicator is None else g.where(F.col("indicator") == indicator), DECADES)
+    return maps.emulate(p, g if indicator is None else g.where(F.col("indicator") == indicator), DECADES, gaps=gaps)
 
 
 @query
-def map_emulation_multi_scenario(s, d):
-    return _maps(s, d, indicator="price").withColumn("value", r("value"))
+def map_emulation_multi_scenario(s, d, gaps=False):
+    return _maps(s, d, indicator="price", gaps=gaps).withColumn("value", r("value"))
 
 
 @query
-def map_emulation_multi_indicator(s, d):
-    return _maps(s, d, scenario="1-URGENT").withColumn("value", r("value"))
+def map_emulation_multi_indicator(s, d, gaps=False):
+    return _maps(s, d, scenario="1-URGENT", gaps=gaps).withColumn("value", r("value"))
 
 
 @query
-def map_range_mask_999(s, d):
-    return maps.with_sentinel(_maps(s, d, indicator="quantity")).groupBy("model", "scenario", "year", "status").agg(F.count(F.lit(1)).alias("cells"), r(F.min("value")).alias("low"), r(F.max("value")).alias("high"))
+def map_range_mask_999(s, d, gaps=False):
+    return maps.with_sentinel(_maps(s, d, indicator="quantity", gaps=gaps)).groupBy("model", "scenario", "year", "status").agg(F.count(F.lit(1)).alias("cells"), r(F.min("value")).alias("low"), r(F.max("value")).alias("high"))
+
+
+def _with_gaps(f: Query) -> Query:
+    def whole(s, d):
+        return f(s, d, True)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    return query(whole)
+
+
+for _f in (map_emulation_multi_scenario, map_emulation_multi_indicator, map_range_mask_999):
+    _with_gaps(_f)
 
 
 @query
