@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermolith import schema
 from thermolith.config import EngineConfig
-from thermolith.functions import numeric, text
+from thermolith.functions import metrics, numeric, text
 from thermolith.operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, table
 from thermolith.sources import cubes, iamc, params
 
@@ -111,6 +111,9 @@ def test_bounds_and_warnings(spark):
     assert pathway.bounds(p, raster, EngineConfig(temp_max=2.0), honour_user=True).first()["high"] == 2.0
     w = pathway.warnings(p).first()
     assert (w["drawdown"], w["too_hot"], w["too_cold"]) == (True, False, True)
+    for last, want in ((1.7, False), (1.69, True)):  # a fall of 0.15 is none, though 1.85 - 1.70 is more in doubles
+        w = pathway.warnings(path(spark, [("m", "s", "SSP1", 2020, 1.85), ("m", "s", "SSP1", 2050, last), ("m", "s", "SSP1", 2051, 1.2)]), years=[2020, 2050]).first()
+        assert w["drawdown"] is want and w["last_gwl"] == last
 
 
 def test_annual_and_cumulative(spark):
@@ -172,7 +175,7 @@ def brute_table(path_rows, knot_rows):
         c = min(levels, key=lambda a: (abs(a / 100 - g), -a))
         for (i, u, r, sp, yy), grid in grids.items():
             if sp == (ssp if ssp in ("SSP1", "SSP2") else "SSP2") and yy == cy and c in grid:
-                out.setdefault((m, s, r, "RIME|" + i, u, cy), []).append(grid[c])
+                out.setdefault((m, s, r, "Impacts|" + i, u, cy), []).append(grid[c])
     return {k: sum(v) / len(v) for k, v in out.items()}
 
 
@@ -194,26 +197,58 @@ def test_years_collapse(spark):
         table.emulate_strict(path(spark, [("m", "s", "SSP3", 2020, 1.0)]), k)
 
 
-def test_maps(spark):
-    raster = schema.raster_impacts(spark.createDataFrame([("i", 0.0, x, g, g * x) for x in (1.0, 2.0) for g in (1.5, 2.0, 3.0)] + [("i", 1.0, 1.0, 1.5, 1.0)], RASTER), check=False)
-    p = path(spark, [("m", "s", "SSP1", 2020, 1.504), ("m", "s", "SSP1", 2030, 2.5), ("m", "s", "SSP1", 2040, 1.0)])
-    got = {(r["lat"], r["lon"], r["year"]): (r["value"], r["status"]) for r in maps.emulate(p, raster).collect()}
-    assert got[0.0, 2.0, 2020] == (3.0, "ok") and got[0.0, 1.0, 2030] == (2.5, "ok") and got[1.0, 1.0, 2020] == (1.0, "ok")
-    assert (1.0, 1.0, 2030) not in got and got[0.0, 1.0, 2040] == (None, "below")
-    assert maps.with_sentinel(maps.emulate(p, raster)).where("year = 2040").first()["value"] == 999.0
-    wide = maps.to_wide(maps.emulate(p, raster), ["m_s"])
-    assert wide.where("year = 2030 and lon = 1.0").first()["m_s"] == 2.5
+def _sparse_raster(spark):
+    return schema.raster_impacts(spark.createDataFrame([("i", 0.0, x, g, g * x) for x in (1.0, 2.0) for g in (1.5, 2.0, 3.0)] + [("i", 1.0, 1.0, 1.5, 1.0), ("i", 2.0, 1.0, 2.0, None)], RASTER), check=False)
 
 
-def test_maps_of_all_cells(spark):
-    raster = schema.raster_impacts(spark.createDataFrame([("i", 0.0, x, g, g * x) for x in (1.0, 2.0) for g in (1.5, 2.0, 3.0)] + [("i", 1.0, 1.0, 1.5, 1.0)], RASTER), check=False)
+def test_maps(spark):
+    """A row for each cell and year: null out of bounds, and where the cell's own levels don't hold the level."""
     p = path(spark, [("m", "s", "SSP1", 2020, 1.504), ("m", "s", "SSP1", 2030, 2.5), ("m", "s", "SSP1", 2040, 1.0)])
-    rows = maps.emulate(p, raster, gaps=True)
+    rows = maps.emulate(p, _sparse_raster(spark))
     got = {(r["lat"], r["lon"], r["year"]): (r["value"], r["status"]) for r in rows.collect()}
-    assert rows.count() == len(got) == 9 and rows.columns == maps.emulate(p, raster).columns
-    assert got[1.0, 1.0, 2030] == (None, "ok") and got[1.0, 1.0, 2040] == (None, "below")
-    few = {(r["lat"], r["lon"], r["year"]): (r["value"], r["status"]) for r in maps.emulate(p, raster).collect()}
-    assert few.items() <= got.items() and set(got) - set(few) == {(1.0, 1.0, 2030)}
+    assert rows.count() == len(got) == 12
+    assert got[0.0, 2.0, 2020] == (3.0, "ok") and got[0.0, 1.0, 2030] == (2.5, "ok") and got[1.0, 1.0, 2020] == (1.0, "ok")
+    assert got[1.0, 1.0, 2030] == got[2.0, 1.0, 2030] == (None, "ok") and got[0.0, 1.0, 2040] == got[2.0, 1.0, 2040] == (None, "below")
+    assert maps.with_sentinel(rows).where("year = 2040").first()["value"] == 999.0
+    wide = maps.to_wide(rows, ["m_s"])
+    assert wide.where("year = 2030 and lon = 1.0 and lat = 0.0").first()["m_s"] == 2.5
+    assert values(maps.by_indicator(rows, ["i"]).where("lat = 0.0 and lon = 1.0"), "year", "i") == [(2020, 1.5), (2030, 2.5), (2040, None)]
+    with pytest.raises(Exception, match="several rows"):
+        maps.to_wide(rows.unionByName(rows.withColumn("model", F.lit("m")).where("year = 2030")), ["m_s"]).collect()
+
+
+def test_maps_against_brute_force(spark):
+    """Off-grid and missing levels; every level that numpy's interpolation knows, and nulls elsewhere."""
+    r = random.Random(4)
+    raster, knots_of = [], {}
+    for lat in range(12):
+        levels = sorted(r.sample([1.0, 1.5, 1.733, 2.0, 2.505, 3.0], r.randint(1, 6)))
+        knots_of[float(lat)] = [(g, round(r.uniform(0, 9), 3)) for g in levels]
+        raster += [("i", float(lat), 0.0, g, v) for g, v in knots_of[float(lat)]]
+    years = [(2020 + k, round(r.uniform(0.9, 3.2), 3)) for k in range(60)]
+    rows = maps.emulate(path(spark, [("m", "s", "SSP1", y, g) for y, g in years]), spark.createDataFrame(raster, RASTER), config=EngineConfig(temp_min=0.0, temp_max=9.0)).collect()
+    assert len(rows) == 12 * 60
+    low, high = min(x[3] for x in raster), max(x[3] for x in raster)
+    for x in rows:
+        g, own = x["gwl"], knots_of[x["lat"]]
+        if low <= g <= high and own[0][0] <= g <= own[-1][0]:
+            assert x["status"] == "ok" and x["value"] == pytest.approx(float(np.interp(g, *zip(*own, strict=True))), abs=1e-9)
+        else:
+            assert x["value"] is None and x["status"] == ("above" if g > high else "below" if g < low else "ok")
+
+
+def test_maps_extremes_are_of_the_years_asked_for(spark):
+    raster = schema.raster_impacts(spark.createDataFrame([("i", 0.0, 0.0, g, g) for g in (1.0, 3.0)], RASTER))
+    p = path(spark, [("m", "s", "SSP1", 2030, 1.1), ("m", "s", "SSP1", 2035, 3.4), ("m", "s", "SSP1", 2040, 1.6)])
+    assert values(maps.emulate(p, raster, [2030, 2040], config=EngineConfig(temp_max=2.0)), "year", "status") == [(2030, "below"), (2040, "ok")]
+    assert pathway.bounds(p, raster, years=[2030, 2040]).first()["max_gwl"] == 1.6 and pathway.bounds(p, raster).first()["max_gwl"] == 3.4
+
+
+def test_maps_have_no_nested_loops(spark):
+    p = path(spark, [("m", "s", "SSP1", 2020, 1.5)])
+    plan = maps.emulate(p, _sparse_raster(spark))._jdf.queryExecution().executedPlan().toString()
+    cut = [x for x in plan.splitlines() if "NestedLoopJoin" in x or "CartesianProduct" in x]
+    assert len(cut) <= 3  # the one-row ends of the axis
 
 
 def test_maps_limits_are_kept(spark):
@@ -245,8 +280,13 @@ def test_dashboard(spark, tmp_path):
     assert dashboard.frame(df, 2030).count() == 2
     name = dashboard.render(dashboard.frame(df, 2030), str(tmp_path / "x.html"))
     assert "<svg" in open(name).read()
+    assert "hsl(160 50%" in open(dashboard.render(dashboard.frame(df, 2030), str(tmp_path / "y.html"), cmap="viridis", clim=(0.0, 5.0))).read()
     with pytest.raises(ValueError):
         dashboard.render(cells, "x.txt")
+    with pytest.raises(ValueError):
+        dashboard.render(cells, str(tmp_path / "z.html"), cmap="none")
+    with pytest.raises(ValueError, match="nothing"):
+        dashboard.frame(df, 2030, ["i", "nothing"])
 
 
 def test_schema_checks(spark):
@@ -301,11 +341,8 @@ def test_cube_sources(spark, tmp_path):
 
 
 def test_params(spark, tmp_path):
-    f = params.frame(spark, params.example())
+    f = params.frame(spark, params.load(params.EXAMPLE))
     assert f.count() == 3 and f.where("var_name = 'price'").first()["score_range"] == [100000.0, 50000.0, 25000.0, 0.0]
-    yaml = pytest.importorskip("yaml")
-    (tmp_path / "p.yml").write_text(yaml.safe_dump(params.example()))
-    assert params.load(str(tmp_path / "p.yml")) == params.example()
 
 
 def test_stream(spark, tmp_path):
@@ -318,6 +355,55 @@ def test_stream(spark, tmp_path):
     assert values(spark.read.parquet(str(tmp_path / "out")), "year", "value") == values(table.lookup(p, k), "year", "value")
 
 
+def test_regions_without_impacts_stay(spark):
+    k = knots(spark, [("i", "u", region, ssp, g, 2020, g) for region, ssp in (("r", "SSP1"), ("r", "SSP2"), ("q", "SSP2")) for g in (1.0, 2.0)])
+    p = path(spark, [("m", "s", "SSP1", 2020, 1.5), ("m", "t", "SSP2", 2020, 1.5)])
+    assert values(table.emulate(p, k), "scenario", "region", "value") == [("s", "r", 1.5), ("t", "q", 1.5), ("t", "r", 1.5)]
+    assert values(table.emulate(p, k, all_regions=True), "scenario", "region", "value") == [("s", "q", None), ("s", "r", 1.5), ("t", "q", 1.5), ("t", "r", 1.5)]
+
+
+def test_axes_of_cubes(spark):
+    k = knots(spark, [("i", "u", "r", "SSP1", 1.0, 2020, 1.0), ("i", "u", "r", "SSP2", 2.0, 2030, 2.0)])
+    assert cube.dense(k).count() == 8 and cube.dense(k).where("value is not null").count() == 2
+    side = cube.align(k, k.where("year = 2030"), ("ssp", "year"), ("a", "b"))
+    assert values(side, "ssp", "year", "a", "b") == [("SSP1", 2020, 1.0, None), ("SSP2", 2030, 2.0, 2.0)]
+    assert values(cube.at_years(k, [2030]), "value") == [(2.0,)] and cube.at_years(k, [2020, 2025], strict=False).count() == 1
+    with pytest.raises(KeyError, match="2025"):
+        cube.at_years(k, [2020, 2025])
+    assert values(filters.nth(k, "gwl", 1), "value") == [(2.0,)] and values(filters.nth(k, "gwl", -2), "value") == [(1.0,)]
+    assert filters.nth(k, "gwl", 2).count() == filters.nth(k, "gwl", -3).count() == 0
+    odd = k.withColumn("value", F.when(F.col("year") == 2020, F.lit(float("inf"))).otherwise(F.col("value")))
+    assert values(filters.windowed(odd, {}), "value") == [(None,), (2.0,)] and values(filters.windowed(k, {"i": (-2.0, 2.0)}), "value") == [(None,), (1.0,)]
+    two = spark.createDataFrame([("heat|a",), ("heatwave|a",)], "variable string")
+    assert values(filters.of_stem(two, "heat"), "variable") == [("heat|a",)]
+
+
+def test_prepared_cube(spark):
+    k = knots(spark, [("i", "u", "r", "SSP1", g, y, g * y) for g in (1.0, 2.0) for y in (2020, 2030)])
+    got = {(r["gwl_c"], r["year"]): r["value"] for r in cube.prepare(k, 2018, 2031).collect()}
+    assert len(got) == 101 * 14 and got[150, 2025] == pytest.approx(1.5 * 2025) and got[200, 2031] == 2 * 2030
+
+
+def test_files_by_template(spark, tmp_path):
+    for name in ("cdd_ssp1", "cdd_ssp2", "tr20_ssp1"):
+        spark.range(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = cubes.discover(spark, f"{tmp_path}/{{indicator}}_{{ssp}}.parquet")
+    assert [(x["indicator"], x["ssp"]) for x in got] == [("cdd", "ssp1"), ("cdd", "ssp2"), ("tr20", "ssp1")]
+    assert len(cubes.discover(spark, f"{tmp_path}/{{indicator}}_ssp1.parquet", one_each="indicator")) == 2
+    with pytest.raises(ValueError, match="cdd"):
+        cubes.discover(spark, f"{tmp_path}/{{indicator}}_{{ssp}}.parquet", one_each="indicator")
+
+
+def test_readers_of_other_formats(spark):
+    made = lambda s, p: s.createDataFrame([("i", "r", "SSP1", g, 2020, g) for g in (1.0, 2.0)], "indicator string, region string, ssp string, gwl double, year int, value double")
+    assert cubes.region_cube(spark, ["a.nc", "b.nc"], reader=made).count() == 4
+
+
+def test_metrics(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "value double")
+    assert tuple(metrics.of(df).first()) == (3, 2, 1.0, 3.0)
+
+
 def test_wide_and_long(spark):
     df = spark.createDataFrame([("m", 2020, 1.0), ("m", 2020, 3.0), ("n", 2021, 5.0)], "model string, year int, value double")
     assert values(reshape.to_long(reshape.to_wide(df, ["model"], [2020, 2021]), ["model"]), "model", "year", "value") == [("m", 2020, 2.0), ("n", 2021, 5.0)]

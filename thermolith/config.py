@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    prefix: str = "RIME|"
-    climate_prefix: str = "Climate impacts|RIME|"
+    prefix: str = "Impacts|"
+    climate_prefix: str = "Climate impacts|"
     year_start: int = 2020
     year_end: int = 2100
     years: tuple[int, ...] = tuple(range(2015, 2101, 5))

@@ -56,5 +56,5 @@ def to_gwl(cum: DataFrame, regr: dict | DataFrame | str | None = None, config: E
     return cum.withColumn("gwl", F.lit(float(regr["slope"])) * F.col("value") + F.lit(float(regr["intercept"])))
 
 
-def as_temperature(gwl: DataFrame, variable: str = "RIME|GSAT_tcre", unit: str = "°C") -> DataFrame:
+def as_temperature(gwl: DataFrame, variable: str = "Emulated|GSAT_tcre", unit: str = "°C") -> DataFrame:
     return gwl.withColumns({"value": F.col("gwl"), "variable": F.lit(variable), "unit": F.lit(unit)}).drop("gwl")

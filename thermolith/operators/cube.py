@@ -51,6 +51,26 @@ def pieces(knots: DataFrame, keys: list[str], smooth: float | None = None) -> Da
     return inner.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull() & (x["lo_c"] < x["hi_c"]))).alias("p")).select(*keys, "p.*")
 
 
+def covering(knots: DataFrame, keys: list[str], axis: DataFrame) -> DataFrame:
+    """`pieces`, and pieces without a value where a series has no knots, between the ends `first_c` and `last_c` of `axis`
+    (one row): each level of the axis lies in just one piece of each series, whatever knots it lacks."""
+    w = W.partitionBy(*keys).orderBy(F.col("value").isNull(), "gwl")
+    known = F.col("value").isNotNull()
+    k = knots.select(*keys, F.when(known, F.col("gwl")).alias("g0"), F.col("value").alias("v0"), F.lead(F.when(known, F.col("gwl"))).over(w).alias("g1"), F.lead("value").over(w).alias("v1"), (F.row_number().over(w) == 1).alias("head"))
+    k = k.where("v0 is not null or head").crossJoin(F.broadcast(axis.select("first_c", "last_c")))  # one row
+    cell = lambda g, f: f(numeric.half_even(F.col(g) * 100, 6)).cast("int")
+    lo, hi = cell("g0", F.ceil), F.coalesce(cell("g1", F.ceil), cell("g0", F.floor) + 1)
+    none = F.lit(None).cast("double")
+    part = lambda a, b, *x: F.struct(*(c.alias(n) for c, n in zip(x or (none,) * 4, ("g0", "v0", "g1", "v1"), strict=True)), a.alias("lo_c"), b.alias("hi_c"))
+    end = F.col("last_c") + 1
+    parts = F.array(
+        F.when(F.col("v0").isNotNull(), part(lo, hi, F.col("g0"), F.col("v0"), F.col("g1"), F.col("v1"))),
+        F.when(F.col("head"), part(F.col("first_c"), F.coalesce(lo, end))),
+        F.when(F.col("v0").isNotNull() & F.col("g1").isNull(), part(hi, end)),
+    )
+    return k.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull() & (x["lo_c"] < x["hi_c"]))).alias("p")).select(*keys, "p.*")
+
+
 def value_at(level_c: str = "gwl_c") -> F.Column:
     """Value of a piece at a level in hundredths."""
     g = F.col(level_c) / 100.0
@@ -66,6 +86,36 @@ def gwl_grid(knots: DataFrame, keys: list[str] | None = None, config: EngineConf
     return at.select(*keys, (F.col("gwl_c") / 100.0).alias("gwl"), "gwl_c", value_at().alias("value"))
 
 
+def prepare(impacts: DataFrame, first: int, last: int, keys: list[str] | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """A cube from sparse impacts: each level's years are filled from `first` to `last` first, then each year's levels."""
+    keys = keys or SERIES
+    return gwl_grid(fill_years(impacts, [*keys, "gwl"], first, last, include_end=True), [*keys, "year"], config)
+
+
+def dense(df: DataFrame, axes: tuple[str, ...] = ("gwl_c", "year", "ssp", "region"), by: tuple[str, ...] = ("indicator",)) -> DataFrame:
+    """Each group's rows at every combination of its own axis values, null where there is none.  Axes are bounded by their
+    nature (levels, years, SSPs, regions), their combinations are the cube itself."""
+    out = df.groupBy(*by).agg(*(F.collect_set(a).alias(a) for a in axes))
+    for a in axes:
+        out = out.withColumn(a, F.explode(a))
+    return out.join(df.select(*by, *axes, "value"), [*by, *axes], "left")
+
+
+def align(a: DataFrame, b: DataFrame, on: tuple[str, ...], names: tuple[str, str]) -> DataFrame:
+    """Two cubes side by side at all coordinates of either, null where one has none."""
+    side = lambda df, name: df.select(*on, F.col("value").alias(name))
+    return side(a, names[0]).join(side(b, names[1]), list(on), "full")
+
+
+def at_years(df: DataFrame, years: list[int], strict: bool = True) -> DataFrame:
+    """The rows at exactly these years; with `strict`, years that the cube lacks raise."""
+    if strict:
+        there = {r["year"] for r in df.where(F.col("year").isin(list(years))).select("year").distinct().collect()}  # no more than were asked for
+        if absent := sorted(set(years) - there):
+            raise KeyError(f"the cube has no {', '.join(map(str, absent))}")
+    return df.where(F.col("year").isin(list(years)))
+
+
 def bucketed(p: DataFrame, size: int) -> DataFrame:
     """Pieces once for each bucket of hundredths they touch: the equality key of range joins."""
     return p.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo_c") / size).cast("int"), F.floor((F.col("hi_c") - 1) / size).cast("int"))))

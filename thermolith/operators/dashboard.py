@@ -28,8 +28,14 @@ def colour_limits(df: DataFrame, keys: list[str] | None = None, sentinel: float
 
 
 def frame(df: DataFrame, year: int, indicators: list[str] | None = None, keys: tuple[str, ...] = ("model", "scenario", "indicator", "lat", "lon")) -> DataFrame:
-    """Cells of the chosen indicators at a year, with the colour limits of their indicator."""
-    if indicators:
+    """Cells of the chosen indicators at a year, with the colour limits of their indicator.  Indicators that the maps lack
+    raise."""
+    if indicators is not None:
+        if not isinstance(indicators, list):
+            raise ValueError("indicators must be a list")
+        there = {r["indicator"] for r in df.where(F.col("indicator").isin(indicators)).select("indicator").distinct().collect()}  # no more than were asked for
+        if absent := sorted(set(indicators) - there):
+            raise ValueError(f"the maps have no {', '.join(absent)}")
         df = df.where(F.col("indicator").isin(indicators))
     cells = at_year(df, year, list(keys))
     return cells.join(colour_limits(cells, ["indicator"]), "indicator").select(*keys, "year", "value", "low", "high")
@@ -40,8 +46,23 @@ def envelope(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group, "year").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def render(cells: DataFrame, path: str, title: str = "Impacts", columns: int = 3, most_cells: int = 200_000) -> str:
-    """Writes a static page with a grid for each indicator; more than `most_cells` cells raise."""
+#: Hue and saturation of colour maps by name; `_r` makes high values dark.
+COLOURS = {"magma": (320, 60), "viridis": (160, 50), "inferno": (20, 80), "blues": (210, 70), "greys": (0, 0)}
+
+
+def _shade(v: float | None, low: float | None, high: float | None, cmap: str) -> str:
+    if v is None or low is None or high is None:
+        return "#ddd"
+    hue, saturation = COLOURS[cmap.removesuffix("_r")]
+    part = 0 if high == low else min(1, max(0, (v - low) / (high - low)))
+    return f"hsl({hue} {saturation}% {95 - 65 * part if cmap.endswith('_r') else 30 + 65 * part}%)"
+
+
+def render(cells: DataFrame, path: str, title: str = "Impacts", columns: int = 3, most_cells: int = 200_000, cmap: str = "magma_r", clim: tuple[float, float] | None = None) -> str:
+    """Writes a static page with a grid for each indicator, coloured between the frame's limits or `clim`; more than
+    `most_cells` cells raise."""
+    if cmap.removesuffix("_r") not in COLOURS:
+        raise ValueError(f"no colour map {cmap}; there are {', '.join(COLOURS)}, each also with _r")
     if not isinstance(path, str) or not path.endswith(".html"):
         raise ValueError("the file name must end with .html")
     rows = cells.limit(most_cells + 1).collect()
@@ -54,9 +75,8 @@ def render(cells: DataFrame, path: str, title: str = "Impacts", columns: int = 3
     for (indicator, model, scenario), own in sorted(by.items()):
         lats, lons = sorted({r["lat"] for r in own}, reverse=True), sorted({r["lon"] for r in own})
         at = {(r["lat"], r["lon"]): r for r in own}
-        low, high = own[0]["low"], own[0]["high"]
-        shade = lambda v: "#ddd" if v is None else f"hsl(20 80% {95 - 65 * (0 if not high or high == low else min(1, max(0, (v - low) / (high - low))))}%)"  # noqa: B023, E731
-        cells_ = "".join(f'<rect x="{x}" y="{y}" width="1" height="1" fill="{shade(at[la, lo]["value"] if (la, lo) in at else None)}"/>' for y, la in enumerate(lats) for x, lo in enumerate(lons))
+        low, high = clim or (own[0]["low"], own[0]["high"])
+        cells_ = "".join(f'<rect x="{x}" y="{y}" width="1" height="1" fill="{_shade(at[la, lo]["value"] if (la, lo) in at else None, low, high, cmap)}"/>' for y, la in enumerate(lats) for x, lo in enumerate(lons))
         figures.append(f'<figure><figcaption>{html.escape(f"{indicator}, {model} {scenario}: {low} to {high}")}</figcaption><svg viewBox="0 0 {len(lons)} {len(lats)}">{cells_}</svg></figure>')
     page = f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><style>main{{display:grid;grid-template-columns:repeat({columns},1fr)}}</style><h1>{html.escape(title)}</h1><main>{"".join(figures)}</main>'
     with open(path, "w", encoding="utf-8") as f:

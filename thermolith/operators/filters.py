@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import numeric, text
 
 
 def _condition(df: DataFrame, column: str, wanted) -> Column:
@@ -39,6 +39,28 @@ def with_suffix(df: DataFrame, suffixes: list[str]) -> DataFrame:
     return df.where(rest.isin(suffixes))
 
 
+def of_stem(df: DataFrame, stem: str) -> DataFrame:
+    """Variables of exactly this stem: `heat` does not take in `heatwave|...`."""
+    return df.where(text.stem(F.col("variable")) == stem)
+
+
+def nth(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Rows at the n-th (from 0) value of an axis in order; negative n count from the last."""
+    order = F.col(column).asc() if n >= 0 else F.col(column).desc()
+    several = df.select(column).distinct().orderBy(order).limit(n + 1 if n >= 0 else -n)
+    last = several.agg(F.count(F.lit(1)).alias("_n"), (F.max(column) if n >= 0 else F.min(column)).alias("_value"))
+    enough = last.where(F.col("_n") == (n + 1 if n >= 0 else -n)).select("_value")
+    return df.join(F.broadcast(enough), F.col(column) == F.col("_value"), "left_semi")  # one row
+
+
+def windowed(df: DataFrame, windows: dict[str, tuple[float, float]]) -> DataFrame:
+    """Null for values that are no finite number, or not strictly inside the window of their indicator, if it has one."""
+    value = numeric.finite(F.col("value"))
+    for indicator, (low, high) in windows.items():
+        value = F.when((F.col("indicator") == indicator) & ~F.coalesce((F.col("value") > low) & (F.col("value") < high), F.lit(False)), F.lit(None)).otherwise(value)
+    return df.withColumn("value", value)
+
+
 def first_n(df: DataFrame, column: str, n: int) -> DataFrame:
     """Rows of the first n values of a column in order."""
     return df.join(df.select(column).distinct().orderBy(column).limit(n), column, "left_semi")

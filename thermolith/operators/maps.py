@@ -13,9 +13,16 @@ SENTINEL = 999.0
 KEY = ["model", "scenario"]
 
 
+def axis_of(raster: DataFrame) -> DataFrame:
+    """One row: the outermost levels, and the first and last hundredth between them."""
+    ends = raster.agg(F.min("gwl").alias("lo"), F.max("gwl").alias("hi"))
+    c = lambda g, f: f(numeric.half_even(F.col(g) * 100, 6)).cast("int")
+    return ends.select(F.explode(F.array("lo", "hi")).alias("gwl"), c("lo", F.ceil).alias("first_c"), c("hi", F.floor).alias("last_c"))
+
+
 def targets(path: DataFrame, raster: DataFrame, years: list[int] | None = None, config: EngineConfig = DEFAULT, honour_user: bool = False) -> DataFrame:
-    """Pathway rows with the level to look up and its status: ok, above or below the bounds."""
-    limits = pathway.bounds(path, raster, config, honour_user).select(*KEY, "high", "low")
+    """Pathway rows with the level to look up and its status: ok, above or below the bounds of the years asked for."""
+    limits = pathway.bounds(path, raster, config, honour_user, years).select(*KEY, "high", "low")
     t = path.where("gwl is not null").join(limits, KEY).withColumn("gwl", numeric.half_even(F.col("gwl"), 2))
     if years is not None:
         t = t.where(F.col("year").isin(list(years)))
@@ -23,29 +30,31 @@ def targets(path: DataFrame, raster: DataFrame, years: list[int] | None = None,
     return t.select(*KEY, "year", "gwl", numeric.centi(F.col("gwl")).alias("gwl_c"), status.alias("status"))
 
 
-def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None, strict: bool = False, config: EngineConfig = DEFAULT, honour_user: bool = False, gaps: bool = False) -> DataFrame:
+def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None, strict: bool = False, config: EngineConfig = DEFAULT, honour_user: bool = False) -> DataFrame:
     """model, scenario, indicator, lat, lon, year, gwl, value, status for every scenario, indicator and cell.
 
-    Out of bounds the value is null.  A cell whose own levels don't hold one in bounds has no row for it, or with `gaps`
-    one with a null.  With `strict` only one scenario or one indicator
-    may have several of the other."""
+    Out of bounds the value is null, and so it is where a cell's own levels don't hold one in bounds.  With `strict` only
+    one scenario or one indicator may have several of the other.
+
+    Each cell's pieces cover the raster's whole range of levels, with or without a value, so each pathway row meets just
+    one piece of each cell: an inner join on a bucket of levels and a salt of the cell, without nested loops.  Cells stay
+    where their salt is; the pathways, which are small beside the maps made of them, go to every salt."""
     if strict and path.select(*KEY).distinct().count() > 1 and raster.select("indicator").distinct().count() > 1:
         raise ValueError("several scenarios and several indicators")
     if strict and config.resolution > 0.01:
         step = round(config.resolution * 100)
         if targets(path, raster, years, config).where(F.col("gwl_c") % step != 0).limit(1).count():
             raise ValueError(f"levels off the grid of {config.resolution}")
-    t = targets(path, raster, years, config, honour_user).withColumn("bucket", F.floor(F.col("gwl_c") / config.bucket).cast("int"))
+    salts = int(path.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    axis = axis_of(raster)
+    ends = axis.agg(F.first("first_c").alias("first_c"), F.first("last_c").alias("last_c"))
+    # out of bounds any level will do
+    t = targets(path, axis, years, config, honour_user).crossJoin(F.broadcast(ends)).withColumn("at_c", F.when(F.col("status") == "ok", F.col("gwl_c")).otherwise(F.col("first_c")))
+    t = t.select("*", F.floor(F.col("at_c") / config.bucket).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     cell = ["indicator", "lat", "lon"]
-    p = cube.bucketed(cube.pieces(raster, cell), config.bucket)
-    ok = t.where("status = 'ok'").join(p, "bucket").where("gwl_c >= lo_c and gwl_c < hi_c")
-    ok = ok.select(*KEY, *cell, "year", "gwl", cube.value_at().alias("value"), "status")
-    cells = raster.select(*cell).distinct()
-    if gaps:  # a null for each cell and level that no piece holds, in or out of bounds
-        every = t.crossJoin(cells).select(*KEY, *cell, "year", "gwl", "status")
-        return every.join(ok.select(*KEY, *cell, "year", "value"), [*KEY, *cell, "year"], "left").select(*KEY, *cell, "year", "gwl", "value", "status")
-    out = t.where("status != 'ok'").crossJoin(cells).select(*KEY, *cell, "year", "gwl", F.lit(None).cast("double").alias("value"), "status")
-    return ok.unionByName(out)
+    p = cube.bucketed(cube.covering(raster, cell, ends), config.bucket).withColumn("salt", F.pmod(F.xxhash64(*cell), F.lit(salts)).cast("int"))
+    met = p.join(t, ["salt", "bucket"]).where("at_c >= lo_c and at_c < hi_c")
+    return met.select(*KEY, *cell, "year", "gwl", F.when(F.col("status") == "ok", cube.value_at()).alias("value"), "status")
 
 
 def with_sentinel(maps: DataFrame) -> DataFrame:
@@ -58,9 +67,16 @@ def labelled(maps: DataFrame) -> DataFrame:
 
 
 def to_wide(maps: DataFrame, labels: list[str]) -> DataFrame:
-    """One column for each scenario label; two scenarios with one label raise."""
-    named = labelled(maps)
-    clash = named.groupBy("label").agg(F.count_distinct("model", "scenario").alias("n")).where("n > 1").limit(1).collect()
-    if clash:
-        raise ValueError(f"several scenarios are called {clash[0]['label']}")
-    return named.groupBy("indicator", "lat", "lon", "year").pivot("label", labels).agg(F.first("value"))
+    """One column for each scenario label; two scenarios with one label raise when the rows are made."""
+    return labelled(maps).groupBy("indicator", "lat", "lon", "year").pivot("label", labels).agg(_only("label"))
+
+
+def by_indicator(maps: DataFrame, indicators: list[str]) -> DataFrame:
+    """One column for each indicator."""
+    return maps.groupBy(*KEY, "lat", "lon", "year").pivot("indicator", indicators).agg(_only("indicator"))
+
+
+def _only(name: str) -> F.Column:
+    """The value of the one row of a group."""
+    several = F.raise_error(F.concat(F.lit("several rows of a cell are called "), F.first(name))).cast("double")
+    return F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first("value"))

@@ -25,17 +25,19 @@ def lookup_ssp(label: Column, config: EngineConfig = DEFAULT) -> Column:
     return F.when(label.isin(*config.ssps), label).otherwise(F.lit(config.default_ssp))
 
 
-def make(ts: DataFrame, meta: DataFrame | None = None, variable: str | list[str] | None = None, ssp_column: str = "ssp_family", config: EngineConfig = DEFAULT) -> DataFrame:
+def make(ts: DataFrame, meta: DataFrame | None = None, variable: str | list[str] | None = None, ssp_column: str = "ssp_family", config: EngineConfig = DEFAULT, check: bool = True) -> DataFrame:
     """model, scenario, ssp, year, gwl (3 digits) of one temperature variable.
 
-    Without `variable` the table must have only one; patterns may match only one; names without match raise."""
+    Without `variable` the table must have only one; patterns may match only one; names without match raise.  That is
+    asked of the table by a job of its own, but not of streams, and not with `check` unset."""
     if variable is not None:
         ts = filters.select(ts, variable=variable)
-    found = [r["variable"] for r in ts.select("variable").distinct().limit(2).collect()]
-    if not found:
-        raise ValueError(f"no variable {variable}")
-    if len(found) > 1:
-        raise ValueError(f"more than one temperature variable: {', '.join(sorted(found))}, ...; name one")
+    if check and not ts.isStreaming:
+        found = [r["variable"] for r in ts.select("variable").distinct().limit(2).collect()]
+        if not found:
+            raise ValueError(f"no variable {variable}")
+        if len(found) > 1:
+            raise ValueError(f"more than one temperature variable: {', '.join(sorted(found))}, ...; name one")
     out = ts.select(*SCENARIO, "year", numeric.half_even(F.nanvl(F.col("value"), F.lit(None)), 3).alias("gwl"))
     if meta is None:
         return out.select(*SCENARIO, F.lit(config.default_ssp).alias("ssp"), "year", "gwl")
@@ -65,20 +67,26 @@ def spread_duplicates(pathway: DataFrame, seed: int = 0, width: float = 0.005) -
     return duplicates(pathway).withColumn("gwl", F.when(F.col("is_duplicate"), F.col("gwl") + width * draw).otherwise(F.col("gwl"))).drop("is_duplicate")
 
 
-def bounds(pathway: DataFrame, axis: DataFrame, config: EngineConfig = DEFAULT, honour_user: bool = False) -> DataFrame:
-    """Each scenario's extremes, the data's range and the bounds that hold: outside the data its range replaces the user's."""
+def _extremes(pathway: DataFrame, years: list[int] | None) -> DataFrame:
+    """Each scenario's extremes and last level, to two digits, in `years` (None: all)."""
     two = numeric.half_even(F.col("gwl"), 2)
-    own = pathway.where("gwl is not null").groupBy(*SCENARIO).agg(F.max(two).alias("max_gwl"), F.min(two).alias("min_gwl"), F.max_by(two, "year").alias("last_gwl"))
+    rows = pathway.where("gwl is not null")
+    if years is not None:
+        rows = rows.where(F.col("year").isin(list(years)))
+    return rows.groupBy(*SCENARIO).agg(F.max(two).alias("max_gwl"), F.min(two).alias("min_gwl"), F.max_by(two, "year").alias("last_gwl"))
+
+
+def bounds(pathway: DataFrame, axis: DataFrame, config: EngineConfig = DEFAULT, honour_user: bool = False, years: list[int] | None = None) -> DataFrame:
+    """Each scenario's extremes in `years`, the data's range and the bounds that hold: outside the data its range replaces the user's."""
     data = axis.agg(F.min("gwl").alias("data_min"), F.max("gwl").alias("data_max"))
     top, bottom = F.lit(config.temp_max), F.lit(config.temp_min)
-    out = own.crossJoin(F.broadcast(data))  # one row
+    out = _extremes(pathway, years).crossJoin(F.broadcast(data))  # one row
     high = F.when(F.col("max_gwl") > F.col("data_max"), F.least("data_max", top) if honour_user else F.col("data_max")).otherwise(top)
     low = F.when(F.col("min_gwl") < F.col("data_min"), F.greatest("data_min", bottom) if honour_user else F.col("data_min")).otherwise(bottom)
     return out.withColumns({"high": high, "low": low})
 
 
-def warnings(pathway: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """What to be cautious about in each scenario: a fall after the peak, and levels outside the bounds."""
-    two = numeric.half_even(F.col("gwl"), 2)
-    own = pathway.where("gwl is not null").groupBy(*SCENARIO).agg(F.max(two).alias("max_gwl"), F.min(two).alias("min_gwl"), F.max_by(two, "year").alias("last_gwl"))
-    return own.withColumns({"drawdown": F.col("max_gwl") - F.col("last_gwl") > config.drawdown_max, "too_hot": F.col("max_gwl") > config.temp_max, "too_cold": F.col("min_gwl") < config.temp_min})
+def warnings(pathway: DataFrame, config: EngineConfig = DEFAULT, years: list[int] | None = None) -> DataFrame:
+    """What to be cautious about in each scenario's `years`: a fall after the peak, to two digits, and levels outside the bounds."""
+    fall = numeric.half_even(F.col("max_gwl") - F.col("last_gwl"), 2)
+    return _extremes(pathway, years).withColumns({"drawdown": fall > config.drawdown_max, "too_hot": F.col("max_gwl") > config.temp_max, "too_cold": F.col("min_gwl") < config.temp_min})

@@ -36,13 +36,23 @@ def lookup(path: DataFrame, knots: DataFrame, config: EngineConfig = DEFAULT) ->
     return met.select(*KEY, "ssp", "indicator", "unit", "region", "year", "cube_year", "gwl", "gwl_c", cube.value_at().alias("value"))
 
 
-def emulate(path: DataFrame, knots: DataFrame, prefix: str | None = None, keep_requested_year: bool = False, config: EngineConfig = DEFAULT) -> DataFrame:
+def emulate(path: DataFrame, knots: DataFrame, prefix: str | None = None, keep_requested_year: bool = False, config: EngineConfig = DEFAULT, all_regions: bool = False) -> DataFrame:
     """model, scenario, region, variable, unit, year, value: impacts of every scenario.
 
-    Requested years that fall on one year of the cube are averaged under it, or with keep_requested_year stay apart."""
+    Requested years that fall on one year of the cube are averaged under it, or with keep_requested_year stay apart.
+    With `all_regions` each series of the cube has a row for each year of each scenario, null where it has no value."""
     prefix = config.prefix if prefix is None else prefix
     rows = lookup(path, knots, config).withColumn("out_year", F.col("year" if keep_requested_year else "cube_year"))
     out = rows.groupBy(*KEY, "indicator", "unit", "region", "out_year").agg(F.avg("value").alias("value"))
+    if all_regions:
+        series = ["indicator", "unit", "region"]
+        salts = int(path.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = targets(path, knots, config).select(*KEY, F.col("year" if keep_requested_year else "cube_year").alias("out_year")).distinct()
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(salts)).cast("int"))
+        named = knots.select(*series).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        every = asked.join(named, "salt").drop("salt")
+        same = [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*KEY, *series, "out_year")]
+        out = every.alias("e").join(out.alias("o"), same, "left").select(*(F.col(f"e.{c}") for c in (*KEY, *series, "out_year")), "o.value")
     return out.select(*KEY, "region", F.concat(F.lit(prefix), "indicator").alias("variable"), "unit", F.col("out_year").alias("year"), "value")
 
 

@@ -1,6 +1,7 @@
 """Canonical tables made from the driver's star schema.
 
-Averages are decimal sums divided as doubles, so they don't depend on the order of rows."""
+Averages are decimal sums divided as doubles, so they don't depend on the order of rows.  The cube, the raster and the
+paths stand for tables that are loaded once: they are small, and kept, as an operator reads its input more than once."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One temperature path for each market segment and order priority, a year for each month of orders."""
     year = (F.lit(2020) + (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int")
     g = _orders(spark, sf_dir).groupBy(F.col("c_mktsegment").alias("model"), F.col("o_orderpriority").alias("scenario"), year.alias("year")).agg(mean("o_totalprice").alias("m"))
-    return g.select("model", "scenario", F.lit("World").alias("region"), F.lit(VARIABLE).alias("variable"), F.lit("°C").alias("unit"), "year", half_even(1.1 + F.col("m") / 500000 * 2.4, 3).alias("value"))
+    return g.select("model", "scenario", F.lit("World").alias("region"), F.lit(VARIABLE).alias("variable"), F.lit("°C").alias("unit"), "year", half_even(1.1 + F.col("m") / 500000 * 2.4, 3).alias("value")).persist()
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     gwl, gwl_c = _gwl()
     keys = {"region": F.col("region"), "ssp": F.concat(F.lit("SSP"), (1 + F.col("o_custkey") % 5).cast("string")), "gwl": gwl, "gwl_c": gwl_c, "year": (2020 + 10 * (F.year("o_orderdate") - 1995)).cast("int")}
     g = _facts(spark, sf_dir).groupBy(*(c.alias(n) for n, c in keys.items())).agg(mean("l_extendedprice").alias("price"), mean("l_quantity").alias("quantity"), mean("l_discount").alias("discount"))
-    return _melted(g, list(keys))
+    return _melted(g, list(keys)).persist()
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     gwl, gwl_c = _gwl()
     keys = {"lat": (-85.0 + 10 * (F.col("l_partkey") % 18)).cast("double"), "lon": (-175.0 + 10 * (F.col("l_suppkey") % 36)).cast("double"), "gwl": gwl, "gwl_c": gwl_c}
     g = read(spark, sf_dir, "lineitem").groupBy(*(c.alias(n) for n, c in keys.items())).agg(mean("l_extendedprice").alias("price"), mean("l_quantity").alias("quantity"), mean("l_tax").alias("discount"))
-    return _melted(g, list(keys)).drop("unit")
+    return _melted(g, list(keys)).drop("unit").persist()
 
 
 def co2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +77,9 @@ def co2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("model", "scenario", F.lit("World").alias("region"), F.lit("Emissions|CO2").alias("variable"), F.lit("Mt CO2/yr").alias("unit"), "year", (F.col("m") / 10 - 20000).alias("value"))
 
 
-def impact_input(spark: SparkSession, sf_dir: str, region: str | None = "ASIA") -> DataFrame:
-    """The cube of one region, or of all with None, as impact rows: `ssp1_1p5`, and suffixed variables."""
+def impact_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube as impact rows: `ssp1_1p5`, and suffixed variables."""
     c = cube(spark, sf_dir)
-    c = c if region is None else c.where(F.col("region") == region)
     level = F.replace(F.format_number("gwl", 1), F.lit("."), F.lit("p"))
     return c.select(F.lit("Climate Solutions").alias("model"), F.concat_ws("_", F.lower("ssp"), level).alias("scenario"), "region", F.concat("indicator", F.when(F.col("indicator") == "price", "|Exposure|50.0th Percentile").when(F.col("indicator") == "quantity", "|Hazard|50.0th Percentile").otherwise("_ssp2|Hazard|95.0th Percentile")).alias("variable"), "unit", "year", "value")
 

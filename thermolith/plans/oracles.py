@@ -29,7 +29,9 @@ TABLES = {
     "facts": f"""SELECT r_name AS region, 'SSP' || (1 + o_custkey % 5) AS ssp, 1e0 + 0.5e0 * (l_linenumber - 1) AS gwl, CAST(100 + 50 * (l_linenumber - 1) AS INTEGER) AS gwl_c,
         CAST(2020 + 10 * (year(o_orderdate) - 1995) AS INTEGER) AS year, {mean("l_extendedprice")} AS price, {mean("l_quantity")} AS quantity, {mean("l_discount")} AS discount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4, 5""",
-    "cube": f"SELECT k.indicator, k.unit, g.region, g.ssp, g.gwl, g.gwl_c, g.year, {_PICK} AS value FROM facts g, {_MELT} k",
+    "everything": f"SELECT k.indicator, k.unit, g.region, g.ssp, g.gwl, g.gwl_c, g.year, {_PICK} AS value FROM facts g, {_MELT} k",
+    "cube": "SELECT * FROM everything",
+    "sparse": "SELECT * FROM everything",
     "cells": f"""SELECT -85e0 + 10 * (l_partkey % 18) AS lat, -175e0 + 10 * (l_suppkey % 36) AS lon, 1e0 + 0.5e0 * (l_linenumber - 1) AS gwl, CAST(100 + 50 * (l_linenumber - 1) AS INTEGER) AS gwl_c,
         {mean("l_extendedprice")} AS price, {mean("l_quantity")} AS quantity, {mean("l_tax")} AS discount FROM lineitem GROUP BY 1, 2, 3, 4""",
     "raster": f"SELECT k.indicator, g.lat, g.lon, g.gwl, g.gwl_c, {_PICK} AS value FROM cells g, {_MELT} k",
@@ -38,7 +40,7 @@ TABLES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
     "impacts": """SELECT 'Climate Solutions' AS model, lower(ssp) || '_' || replace(format('{:.1f}', gwl), '.', 'p') AS scenario, region,
         indicator || CASE indicator WHEN 'price' THEN '|Exposure|50.0th Percentile' WHEN 'quantity' THEN '|Hazard|50.0th Percentile' ELSE '_ssp2|Hazard|95.0th Percentile' END AS variable, unit, year, value
-        FROM cube WHERE region = 'ASIA'""",
+        FROM cube""",
     # the grid of 0.01 degrees, and every pathway row's nearest level and year on it
     "seg": "SELECT *, lead(gwl) OVER w AS g1, lead(value) OVER w AS v1, lag(gwl) OVER w IS NULL AS head FROM cube WINDOW w AS (PARTITION BY indicator, unit, region, ssp, year ORDER BY gwl)",
     "grid": """SELECT indicator, unit, region, ssp, year, CAST(c AS INTEGER) AS gwl_c, CASE WHEN c < gwl * 100 OR g1 IS NULL OR c / 100e0 = gwl THEN value ELSE value + (v1 - value) * ((c / 100e0 - gwl) / (g1 - gwl)) END AS value
@@ -47,16 +49,17 @@ TABLES = {
     "years": "SELECT t.year, arg_min(a.year, row(abs(a.year - t.year), -a.year)) AS cube_year FROM (SELECT DISTINCT year FROM path) t, (SELECT DISTINCT year FROM cube) a GROUP BY t.year",
     "targets": "SELECT p.model, p.scenario, CASE WHEN p.ssp IN ('SSP1', 'SSP2', 'SSP3', 'SSP4', 'SSP5') THEN p.ssp ELSE 'SSP2' END AS ssp, p.year, y.cube_year, p.gwl, l.gwl_c FROM path p JOIN levels l USING (gwl) JOIN years y USING (year)",
     "looked": "SELECT t.*, g.indicator, g.unit, g.region, g.value FROM targets t JOIN grid g ON g.ssp = t.ssp AND g.year = t.cube_year AND g.gwl_c = t.gwl_c",
-    "tab": "SELECT model, scenario, region, 'RIME|' || indicator AS variable, unit, cube_year AS year, avg(value) AS value FROM looked GROUP BY ALL",
+    "tab": "SELECT model, scenario, region, 'Impacts|' || indicator AS variable, unit, cube_year AS year, avg(value) AS value FROM looked GROUP BY ALL",
     # maps
     "two": "SELECT model, scenario, year, round_even(gwl * 100, 0) / 100 AS gwl FROM path",
-    "own": "SELECT model, scenario, max(gwl) AS max_gwl, min(gwl) AS min_gwl, arg_max(gwl, year) AS last_gwl FROM two GROUP BY ALL",
+    "asked": "SELECT * FROM two WHERE year BETWEEN 2015 AND 2100 AND year % 5 = 0",
+    "own": "SELECT model, scenario, max(gwl) AS max_gwl, min(gwl) AS min_gwl, arg_max(gwl, year) AS last_gwl FROM asked GROUP BY ALL",
     "bound": "SELECT o.*, d.data_min, d.data_max, CASE WHEN max_gwl > data_max THEN data_max ELSE 3.5e0 END AS high, CASE WHEN min_gwl < data_min THEN data_min ELSE 1.2e0 END AS low FROM own o, (SELECT min(gwl) AS data_min, max(gwl) AS data_max FROM raster) d",
-    "tmap": "SELECT t.*, CASE WHEN t.gwl > b.high THEN 'above' WHEN t.gwl < b.low THEN 'below' ELSE 'ok' END AS status FROM two t JOIN bound b USING (model, scenario) WHERE t.year % 10 = 0",
-    "rseg": "SELECT *, lead(gwl) OVER w AS g1, lead(value) OVER w AS v1 FROM raster WINDOW w AS (PARTITION BY indicator, lat, lon ORDER BY gwl)",
-    "maps": """SELECT t.model, t.scenario, s.indicator, s.lat, s.lon, t.year, t.gwl, CASE WHEN t.gwl = s.gwl THEN s.value ELSE s.value + (s.v1 - s.value) * ((t.gwl - s.gwl) / (s.g1 - s.gwl)) END AS value, t.status
-        FROM tmap t JOIN rseg s ON t.gwl >= s.gwl AND (t.gwl < s.g1 OR s.g1 IS NULL AND t.gwl = s.gwl) WHERE t.status = 'ok'
-        UNION ALL SELECT t.model, t.scenario, c.indicator, c.lat, c.lon, t.year, t.gwl, NULL, t.status FROM tmap t, (SELECT DISTINCT indicator, lat, lon FROM raster) c WHERE t.status <> 'ok'""",
+    "tmap": "SELECT t.*, CASE WHEN t.gwl > b.high THEN 'above' WHEN t.gwl < b.low THEN 'below' ELSE 'ok' END AS status FROM asked t JOIN bound b USING (model, scenario)",
+    "rseg": "SELECT *, lead(gwl) OVER w AS g1, lead(value) OVER w AS v1 FROM raster WHERE value IS NOT NULL WINDOW w AS (PARTITION BY indicator, lat, lon ORDER BY gwl)",
+    "maps": """SELECT t.model, t.scenario, c.indicator, c.lat, c.lon, t.year, t.gwl, CASE WHEN t.status <> 'ok' THEN NULL WHEN t.gwl = s.gwl THEN s.value ELSE s.value + (s.v1 - s.value) * ((t.gwl - s.gwl) / (s.g1 - s.gwl)) END AS value, t.status
+        FROM tmap t CROSS JOIN (SELECT DISTINCT indicator, lat, lon FROM raster) c LEFT JOIN rseg s ON s.indicator = c.indicator AND s.lat = c.lat AND s.lon = c.lon AND t.gwl >= s.gwl AND (t.gwl < s.g1 OR s.g1 IS NULL AND t.gwl = s.gwl)""",
+    "next": "SELECT *, lead(year) OVER w AS y1, lead(value) OVER w AS v1 FROM maps WINDOW w AS (PARTITION BY model, scenario, indicator, lat, lon ORDER BY year)",
     # carbon
     "cseg": "SELECT *, lead(year) OVER w AS y1, lead(value) OVER w AS v1 FROM co2 WINDOW w AS (PARTITION BY model, scenario, region, variable, unit ORDER BY year)",
     "annual": """SELECT model, scenario, region, variable, unit, CAST(y AS INTEGER) AS year, CASE WHEN y = year THEN value ELSE value + (v1 - value) * ((y - year) / CAST(y1 - year AS DOUBLE)) END AS value
@@ -71,8 +74,8 @@ TABLES = {
     "z": "SELECT *, (future - hist) / nullif(std, 0e0) AS z FROM sc",
 }
 NEEDS = {
-    "resolved": ["meta"], "path": ["scen", "resolved"], "cube": ["facts"], "raster": ["cells"], "impacts": ["cube"], "seg": ["cube"], "grid": ["seg"], "levels": ["path", "grid"], "years": ["path", "cube"], "targets": ["path", "levels", "years"],
-    "looked": ["targets", "grid"], "tab": ["looked"], "two": ["path"], "own": ["two"], "bound": ["own", "raster"], "tmap": ["two", "bound"], "rseg": ["raster"], "maps": ["tmap", "rseg", "raster"],
+    "resolved": ["meta"], "path": ["scen", "resolved"], "everything": ["facts"], "cube": ["everything"], "sparse": ["everything"], "raster": ["cells"], "impacts": ["cube"], "seg": ["cube"], "grid": ["seg"], "levels": ["path", "grid"], "years": ["path", "cube"], "targets": ["path", "levels", "years"],
+    "looked": ["targets", "grid"], "tab": ["looked"], "two": ["path"], "asked": ["two"], "own": ["asked"], "bound": ["own", "raster"], "tmap": ["asked", "bound"], "rseg": ["raster"], "maps": ["tmap", "rseg", "raster"], "next": ["maps"],
     "cseg": ["co2"], "annual": ["cseg"], "cum": ["annual"], "points": ["cum", "path"], "line": ["points"], "sc": ["raster"], "z": ["sc"],
 }
 
@@ -81,6 +84,15 @@ NEEDS = {
 CO2_PATH = {"path": ("SELECT c.model, c.scenario, m.ssp_family AS ssp, c.year, round_even((0.0005099869587542405e0 * c.value + 1.3024249460191835e0) * 1e3, 0) / 1e3 AS gwl FROM cum c JOIN resolved m USING (model, scenario) WHERE c.year % 10 = 0", ["cum", "resolved"])}
 
 
+#: Maps of the decades: what is asked for decides the extremes too.
+DECADES = {"asked": ("SELECT * FROM two WHERE year BETWEEN 2020 AND 2100 AND year % 10 = 0", ["two"])}
+
+
+def at_year(y: int) -> str:
+    """Each cell of the maps at a year: its own value, or between its neighbouring years."""
+    return f"SELECT model, scenario, indicator, lat, lon, CAST({y} AS INTEGER) AS year, CASE WHEN year = {y} THEN value ELSE value + (v1 - value) * (({y} - year) / CAST(y1 - year AS DOUBLE)) END AS value FROM next WHERE year = {y} OR year < {y} AND y1 > {y}"
+
+
 def with_tables(names: str, select: str, other: dict[str, tuple[str, list[str]]] | None = None) -> str:
     """The select behind WITH clauses for the named tables and all they need; `other` replaces tables and their needs."""
     order: list[str] = []
@@ -116,17 +128,21 @@ def _bivariate(keys: str) -> str:
 
 IMPACT = f"model, scenario, region, variable, unit, year, {r('value')} AS value"
 MAP = f"model, scenario, indicator, lat, lon, year, gwl, {r('value')} AS value, status"
-_ONE = "model = 'BUILDING' AND scenario = '1-URGENT'"
+_LABELS = {f"{m}_{p}": (m, p) for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
+_FILL = """SELECT *, last_value(CASE WHEN value IS NOT NULL THEN y END IGNORE NULLS) OVER before AS y0, last_value(value IGNORE NULLS) OVER before AS v0, first_value(CASE WHEN value IS NOT NULL THEN y END IGNORE NULLS) OVER after AS y1, first_value(value IGNORE NULLS) OVER after AS v1
+    FROM (SELECT s.*, y, c.value FROM (SELECT DISTINCT indicator, unit, region, ssp, gwl_c FROM {cube}) s CROSS JOIN range({first}, {last} + 1) t(y) LEFT JOIN {cube} c ON c.indicator = s.indicator AND c.region = s.region AND c.ssp = s.ssp AND c.gwl_c = s.gwl_c AND c.year = y)
+    WINDOW before AS (PARTITION BY indicator, region, ssp, gwl_c ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), after AS (PARTITION BY indicator, region, ssp, gwl_c ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+_FILLED = "CASE WHEN y0 = y1 THEN v0 ELSE coalesce(v0 + (v1 - v0) * ((y - y0) / CAST(y1 - y0 AS DOUBLE)), v0, v1) END"
 _SUFFIXES = ", ".join(f"'|{kind}|{p}th Percentile'" for kind in ("Exposure", "Hazard") for p in ("5.0", "50.0", "95.0"))
 
 
 def oracle_sql() -> dict[str, str]:
     w = with_tables
-    wide = ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(2020, 2025))
+    wide = ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(2020, 2100))
     decades = ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(2020, 2081, 10))
     return {
         "iamc_long_to_wide": w("scen", f"SELECT model, scenario, region, variable, unit, {wide} FROM scen GROUP BY ALL"),
-        "iamc_wide_to_long": w("scen", "SELECT * FROM scen WHERE year BETWEEN 2020 AND 2024"),
+        "iamc_wide_to_long": w("scen", "SELECT * FROM scen"),
         "filter_wildcard_variable": w("impacts", f"SELECT {IMPACT} FROM impacts WHERE variable LIKE '%|50.0th Percentile'"),
         "filter_meta_category": w("scen meta", "SELECT s.* FROM scen s SEMI JOIN (SELECT * FROM meta WHERE category IN ('C1', 'C2')) m USING (model, scenario)"),
         "filter_years": w("scen", "SELECT * FROM scen WHERE year IN (2030, 2050)"),
@@ -140,50 +156,67 @@ def oracle_sql() -> dict[str, str]:
         "parse_ssp_gwl": w("impacts", "SELECT DISTINCT scenario, upper(split_part(scenario, '_', 1)) AS ssp, CAST(replace(split_part(scenario, '_', 2), 'p', '.') AS DOUBLE) AS gwl FROM impacts"),
         "remove_percentile_suffix": w("impacts", "SELECT DISTINCT variable, replace(variable, '|50.0th Percentile', '') AS short FROM impacts"),
         "impact_cube_from_input": w("cube", f"""SELECT indicator || CASE indicator WHEN 'price' THEN '|Exposure' WHEN 'quantity' THEN '|Hazard' ELSE '_ssp2|Hazard|95.0th Percentile' END AS indicator, unit, region, ssp, gwl, gwl_c, year, {r("value")} AS value
-            FROM cube WHERE region = 'ASIA'"""),
+            FROM cube"""),
+        "stem_cube": w("cube", f"SELECT 'price|Exposure' AS indicator, unit, region, ssp, gwl, gwl_c, year, {r('value')} AS value FROM cube WHERE indicator = 'price'"),
+        "drop_empty_rows": w("scen", "SELECT model, scenario, region, variable, unit, " + ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(2020, 2025)) + " FROM scen WHERE model <> 'BUILDING' AND year <= 2024 GROUP BY ALL"),
+        "outlier_windows": w("cube", f"SELECT * REPLACE ({r("CASE indicator WHEN 'price' THEN CASE WHEN value > 30000 AND value < 40000 THEN value END WHEN 'discount' THEN CASE WHEN value > -0.05e0 AND value < 0.05e0 THEN value END ELSE value END")} AS value) FROM cube"),
+        "select_by_position": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube WHERE gwl_c = (SELECT DISTINCT gwl_c FROM cube ORDER BY 1 LIMIT 1 OFFSET 1) AND year = (SELECT DISTINCT year FROM cube WHERE gwl_c = (SELECT DISTINCT gwl_c FROM cube ORDER BY 1 LIMIT 1 OFFSET 1) ORDER BY 1 DESC LIMIT 1 OFFSET 1)"),
+        "exact_year_select": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube WHERE year IN (2030, 2050)"),
+        "dense_cube": w("cube", f"""SELECT g.*, {r("c.value")} AS value FROM (SELECT * FROM (SELECT DISTINCT indicator FROM cube), (SELECT DISTINCT gwl_c FROM cube WHERE region <> 'ASIA' OR year < 2050), (SELECT DISTINCT year FROM cube WHERE region <> 'ASIA' OR year < 2050),
+            (SELECT DISTINCT ssp FROM cube WHERE region <> 'ASIA' OR year < 2050), (SELECT DISTINCT region FROM cube WHERE region <> 'ASIA' OR year < 2050)) g LEFT JOIN (SELECT * FROM cube WHERE region <> 'ASIA' OR year < 2050) c USING (indicator, gwl_c, year, ssp, region)"""),
+        "aligned_cubes": w("cube", f"""SELECT region, ssp, gwl_c, year, {r("p.value")} AS price, {r("q.value")} AS quantity FROM (SELECT * FROM cube WHERE indicator = 'price' AND year >= 2030) p FULL JOIN (SELECT * FROM cube WHERE indicator = 'quantity' AND ssp <> 'SSP3') q USING (region, ssp, gwl_c, year)"""),
         "pathway_ssp_resolved": w("resolved", "SELECT * FROM resolved"),
         "pathway_meta_join": w("path", "SELECT * FROM path"),
         "append_scenarios": w("scen", "SELECT * FROM scen WHERE scenario LIKE '1-%' UNION ALL SELECT * FROM scen WHERE scenario LIKE '2-%'"),
         "distinct_axes": w("cube", "SELECT count(DISTINCT indicator) AS n_indicator, count(DISTINCT region) AS n_region, count(DISTINCT ssp) AS n_ssp, count(DISTINCT gwl) AS n_gwl, count(DISTINCT year) AS n_year FROM cube"),
         "dedup_meta": w("meta", "SELECT * FROM meta"),
         "annual_interpolation": w("annual", f"SELECT {IMPACT} FROM annual"),
-        "year_fill_both_edges": w("cube", f"""SELECT indicator, region, ssp, CAST(y AS INTEGER) AS year, {r("CASE WHEN y <= 2030 THEN a WHEN y < 2040 THEN a + (b - a) * ((y - 2030) / 10e0) WHEN y < 2050 THEN b + (c - b) * ((y - 2040) / 10e0) WHEN y < 2060 THEN c + (e - c) * ((y - 2050) / 10e0) ELSE e END")} AS value FROM (
-            SELECT indicator, region, ssp, max(CASE WHEN year = 2030 THEN value END) AS a, max(CASE WHEN year = 2040 THEN value END) AS b, max(CASE WHEN year = 2050 THEN value END) AS c, max(CASE WHEN year = 2060 THEN value END) AS e
-            FROM cube WHERE indicator = 'price' AND gwl_c = 150 GROUP BY ALL), range(2020, 2071) t(y)"""),
-        "gwl_grid_interpolation": w("grid", f"SELECT indicator, unit, region, ssp, year, gwl_c / 100e0 AS gwl, gwl_c, {r('value')} AS value FROM grid WHERE indicator = 'price' AND year = 2050"),
+        "year_fill_both_edges": w("cube", f"SELECT indicator, unit, region, ssp, gwl_c, CAST(y AS INTEGER) AS year, {r(_FILLED)} AS value FROM ({_FILL.format(cube='(SELECT * FROM cube WHERE year BETWEEN 2030 AND 2060)', first=2020, last=2070)})"),
+        "gwl_grid_interpolation": w("grid", f"SELECT indicator, unit, region, ssp, year, gwl_c / 100e0 AS gwl, gwl_c, {r('value')} AS value FROM grid"),
+        "prepared_cube": w("grid", f"SELECT indicator, unit, region, ssp, gwl_c, {r('avg(value)')} AS mean_value, count(*) AS n FROM grid GROUP BY ALL", {"cube": (f"SELECT indicator, unit, region, ssp, gwl_c / 100e0 AS gwl, gwl_c, CAST(y AS INTEGER) AS year, {_FILLED} AS value FROM ({_FILL.format(cube='sparse', first=2020, last=2080)})", ["sparse"])}),
+        "cube_round_trip": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube"),
+        "iamc_csv_round_trip": w("scen", "SELECT * FROM scen"),
         "nearest_gwl_lookup": w("targets", "SELECT * FROM targets"),
-        "nearest_year_collapse_mean": w("tab", f"SELECT region, variable, year, {r('avg(value)')} AS mean_value, count(*) AS n FROM tab WHERE variable = 'RIME|quantity' GROUP BY ALL"),
+        "nearest_year_collapse_mean": w("tab", f"SELECT region, variable, year, {r('avg(value)')} AS mean_value, count(*) AS n FROM tab GROUP BY ALL"),
         "table_emulation": w("tab", f"SELECT {IMPACT} FROM tab"),
-        "table_emulation_requested_years": w("looked", f"SELECT model, scenario, region, 'RIME|' || indicator AS variable, unit, year, {r('value')} AS value FROM looked WHERE year % 10 = 0"),
-        "table_emulation_wide": w("tab", f"SELECT model, scenario, region, variable, unit, {decades} FROM (SELECT * REPLACE ({r('value')} AS value) FROM tab WHERE variable = 'RIME|price') GROUP BY ALL"),
+        "table_emulation_requested_years": w("looked", f"SELECT model, scenario, region, 'Impacts|' || indicator AS variable, unit, year, {r('value')} AS value FROM looked WHERE year % 10 = 0"),
+        "table_emulation_wide": w("tab", f"SELECT model, scenario, region, variable, unit, {decades} FROM (SELECT * REPLACE ({r('value')} AS value) FROM tab) GROUP BY ALL"),
+        "table_emulation_all_regions": w("tab", f"""SELECT e.model, e.scenario, e.region, 'Impacts|' || e.indicator AS variable, e.unit, e.cube_year AS year, {r("t.value")} AS value
+            FROM (SELECT * FROM (SELECT DISTINCT model, scenario, cube_year FROM targets), (SELECT DISTINCT indicator, unit, region FROM cube)) e LEFT JOIN tab t ON t.model = e.model AND t.scenario = e.scenario AND t.region = e.region AND t.variable = 'Impacts|' || e.indicator AND t.year = e.cube_year""",
+            {"cube": ("SELECT * FROM everything WHERE region <> 'ASIA' OR ssp <> 'SSP2'", ["everything"])}),
+        "table_emulation_metrics": w("tab", "SELECT count(*) AS n_rows, count(value) AS n_values, " + f"{r('min(value)')} AS low, {r('max(value)')} AS high FROM tab"),
         "table_emulation_from_co2": w("looked", f"SELECT model, scenario, region, 'Climate impacts|' || indicator AS variable, unit, cube_year AS year, {r('avg(value)')} AS value FROM looked GROUP BY ALL", CO2_PATH),
         "missing_ssps": w("path", "SELECT DISTINCT ssp FROM path WHERE ssp = 'SSP1'"),
-        "map_emulation_multi_scenario": w("maps", f"SELECT {MAP} FROM maps WHERE indicator = 'price'"),
-        "map_emulation_multi_indicator": w("maps", f"SELECT {MAP} FROM maps WHERE {_ONE}"),
-        "map_range_mask_999": w("maps", f"SELECT model, scenario, year, status, count(*) AS cells, {r('min(v)')} AS low, {r('max(v)')} AS high FROM (SELECT *, CASE WHEN status <> 'ok' THEN 999e0 ELSE value END AS v FROM maps WHERE indicator = 'quantity') GROUP BY ALL"),
-        "pathway_caution_checks": w("own", "SELECT *, max_gwl - last_gwl > 0.15e0 AS drawdown, max_gwl > 3.5e0 AS too_hot, min_gwl < 1.2e0 AS too_cold FROM own"),
+        "map_emulation_multi_scenario": w("maps", f"SELECT {MAP} FROM maps", DECADES),
+        "map_emulation_multi_indicator": w("maps", "SELECT model, scenario, lat, lon, year, " + ", ".join(f"{r(f"max(CASE WHEN indicator = '{i}' THEN value END)")} AS {i}" for i in ("discount", "price", "quantity")) + " FROM maps GROUP BY ALL", DECADES),
+        "map_scenario_columns": w("maps", "SELECT indicator, lat, lon, year, " + ", ".join(f"""{r(f"max(CASE WHEN model = '{m}' AND scenario = '{p}' THEN value END)")} AS "{x}\"""" for x, (m, p) in _LABELS.items()) + " FROM maps GROUP BY ALL", DECADES),
+        "map_range_mask_999": w("maps", f"SELECT model, scenario, indicator, year, status, count(*) AS cells, count(v) AS valued, {r('min(v)')} AS low, {r('max(v)')} AS high FROM (SELECT *, CASE WHEN status <> 'ok' THEN 999e0 ELSE value END AS v FROM maps) GROUP BY ALL", DECADES),
+        "pathway_caution_checks": w("own", "SELECT *, round_even((max_gwl - last_gwl) * 100, 0) / 100 > 0.15e0 AS drawdown, max_gwl > 3.5e0 AS too_hot, min_gwl < 1.2e0 AS too_cold FROM own"),
         "effective_bounds": w("bound", "SELECT * FROM bound"),
         "pathway_extremes": w("path", "SELECT model, scenario, min(gwl) AS low, max(gwl) AS high, arg_max(gwl, year) AS last FROM path GROUP BY ALL"),
         "unit_conversion": w("co2", f"SELECT model, scenario, year, {r('value * 1e-3')} AS gt FROM co2"),
         "cumulative_co2": w("cum", f"SELECT {IMPACT} FROM cum WHERE year % 10 = 0"),
         "co2_to_gwl_default": w("cum", f"SELECT model, scenario, year, {r('value')} AS cumulative, {r('0.0005099869587542405e0 * value + 1.3024249460191835e0')} AS gwl FROM cum"),
-        "co2_to_gwl_as_temperature": w("cum", f"SELECT model, scenario, region, 'RIME|GSAT_tcre' AS variable, '°C' AS unit, year, {r('0.0005099869587542405e0 * value + 1.3024249460191835e0')} AS value FROM cum WHERE year % 10 = 0"),
+        "co2_to_gwl_as_temperature": w("cum", f"SELECT model, scenario, region, 'Emulated|GSAT_tcre' AS variable, '°C' AS unit, year, {r('0.0005099869587542405e0 * value + 1.3024249460191835e0')} AS value FROM cum WHERE year % 10 = 0"),
         "tcre_regression": w("line", f"SELECT {r('slope', 9)} AS slope, {r('intercept', 9)} AS intercept, {r('r', 9)} AS r, {r('r * r', 9)} AS r2 FROM line"),
         "co2_to_gwl_regression": w("cum line", f"SELECT model, scenario, year, {r('slope * value + intercept')} AS gwl FROM cum, line WHERE year % 10 = 0"),
         "duplicate_temps_flag": w("path", "SELECT *, row_number() OVER (PARTITION BY model, scenario, gwl ORDER BY year) > 1 AS is_duplicate FROM path"),
-        "map_year_interpolation": w("maps", f"SELECT model, scenario, indicator, lat, lon, CAST(2035 AS INTEGER) AS year, {r('max(CASE WHEN year = 2030 THEN value END) + (max(CASE WHEN year = 2040 THEN value END) - max(CASE WHEN year = 2030 THEN value END)) * 0.5e0')} AS value FROM maps WHERE {_ONE} AND indicator = 'price' AND year IN (2030, 2040) GROUP BY ALL"),
-        "colour_limits": w("maps", "SELECT indicator, round_even(min(value), 0) AS low, round_even(max(value), 0) AS high FROM maps WHERE model = 'BUILDING' AND scenario = '2-HIGH' GROUP BY indicator"),
-        "dashboard_frame": w("maps", f"SELECT model, scenario, indicator, lat, lon, year, {r('value')} AS value, round_even(min(value) OVER w, 0) AS low, round_even(max(value) OVER w, 0) AS high FROM maps WHERE {_ONE} AND indicator IN ('price', 'quantity') AND year = 2040 WINDOW w AS (PARTITION BY indicator)"),
+        "map_year_interpolation": w("next", f"SELECT * REPLACE ({r('value')} AS value) FROM ({at_year(2035)})", DECADES),
+        "colour_limits": w("maps", "SELECT indicator, round_even(min(value), 0) AS low, round_even(max(value), 0) AS high FROM maps GROUP BY indicator", DECADES),
+        "dashboard_frame": w("next", f"SELECT * REPLACE ({r('value')} AS value), round_even(min(value) OVER w, 0) AS low, round_even(max(value) OVER w, 0) AS high FROM ({at_year(2040)}) WHERE indicator IN ('price', 'quantity') WINDOW w AS (PARTITION BY indicator)", DECADES),
         "zscore_change": w("z", f"SELECT indicator, lat, lon, {r('z')} AS z FROM z"),
-        "score_bin": w("sc", f"SELECT lat, lon, {r('future')} AS future, {r(_bin('future', ['10e0', '20e0', '25e0', '30e0']))} AS score FROM sc WHERE indicator = 'quantity'"),
+        "score_bin": w("sc", f"SELECT indicator, lat, lon, {r('future')} AS future, {r(_bin('future', ['10e0', '20e0', '25e0', '30e0']))} AS score FROM sc"),
         "quartiles": w("sc", "SELECT indicator, class, " + ", ".join(f"{r(f'quantile_cont(future, {q})')} AS q{k}" for k, q in enumerate((0, 0.25, 0.5, 0.75))) + " FROM sc GROUP BY indicator, class"),
         "bivariate_score": w("z", _bivariate("indicator")),
         "class_bivariate_score": w("z", _bivariate("indicator, class")),
-        "mask_join": w("raster sc", f"SELECT r.lat, r.lon, r.indicator, r.gwl, r.gwl_c, {r('r.value')} AS value, m.class FROM raster r JOIN (SELECT lat, lon, class FROM sc WHERE indicator = 'quantity' AND class <= 2) m ON r.lat = m.lat AND r.lon = m.lon WHERE r.indicator = 'price'"),
-        "raster_union": w("raster", f"SELECT indicator, lat, lon, gwl, gwl_c, {r('value')} AS value FROM raster WHERE indicator <> 'discount'"),
+        "mask_join": w("raster sc", f"SELECT r.lat, r.lon, r.indicator, r.gwl, r.gwl_c, {r('r.value')} AS value, m.class FROM raster r JOIN (SELECT DISTINCT lat, lon, class FROM sc WHERE class <= 2) m ON r.lat = m.lat AND r.lon = m.lon"),
+        "raster_union": w("raster", f"SELECT indicator, lat, lon, gwl, gwl_c, {r('value')} AS value FROM raster"),
         "envelope_by_category": w("scen meta", "SELECT category, year, min(value) AS low, max(value) AS high FROM scen JOIN meta USING (model, scenario) GROUP BY ALL"),
         "scenario_labels": w("meta", "SELECT model, scenario, translate(model || ' 1.1/x,y', ' /,.', '____') || '_' || scenario AS label FROM meta"),
         "axis_validation": w("cube", "SELECT indicator, count(DISTINCT gwl) AS n_gwl, min(gwl) AS min_gwl, max(gwl) AS max_gwl, count(DISTINCT gwl) > 1 AND min(gwl) > 0.5 AS valid FROM cube GROUP BY indicator"),
         "duplicate_key_check": w("cube", "SELECT indicator, region, ssp, gwl_c, year, CAST(2 AS BIGINT) AS n FROM cube WHERE year = 2030"),
+        "indicator_params_table": """SELECT * FROM (VALUES ('trade', 'price', '2b', 'price', 'Mean price', 'USD', 'magma_r', 'absolute', 'RdBu', 0e0, 100000e0, -100000e0, 100000e0, '100000.0 50000.0 25000.0 0.0'),
+            ('trade', 'discount', '2b', 'discount', 'Mean discount', '%', 'magma_r', 'absolute', 'RdBu', 0e0, 1e0, -1e0, 1e0, '1.0 0.5 0.25 0.0'), ('volume', 'quantity', '3b', 'quantity', 'Mean quantity', 'items', 'magma_r', 'absolute', 'RdBu', 0e0, 50e0, -50e0, 50e0, '50.0 25.0 12.5 0.0'))
+            t(group_name, var_name, protocol, short_name, long_name, unit, ind_cmap, diff, diff_cmap, ind_min, ind_max, diff_min, diff_max, score_range)""",
         "half_even_rounding": "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 1000 * 100, 0) / 100 AS rounded FROM lineitem",
     }

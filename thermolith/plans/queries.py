@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import numeric, text
+from ..config import DEFAULT
+from ..functions import metrics, numeric, text
 from ..operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, table
-from ..sources import params
+from ..sources import cubes, iamc, params, scratch
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
-YEARS = [2020, 2021, 2022, 2023, 2024]
+YEARS = list(range(2020, 2100))
 DECADES = list(range(2020, 2101, 10))
+INDICATORS = ["discount", "price", "quantity"]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 ID = ["model", "scenario", "region", "variable", "unit"]
 SUFFIXES = ["|Exposure|50.0th Percentile", "|Hazard|50.0th Percentile", "|Hazard|5.0th Percentile", "|Hazard|95.0th Percentile", "|Exposure|5.0th Percentile", "|Exposure|95.0th Percentile"]
 _registered: dict[str, Query] = {}
@@ -52,8 +56,8 @@ def iamc_wide_to_long(s, d):
 
 
 @query
-def filter_wildcard_variable(s, d, region="ASIA"):
-    return filters.select(fx.impact_input(s, d, region), variable="*|50.0th Percentile").withColumn("value", r("value"))
+def filter_wildcard_variable(s, d):
+    return filters.select(fx.impact_input(s, d), variable="*|50.0th Percentile").withColumn("value", r("value"))
 
 
 @query
@@ -72,18 +76,18 @@ def filter_complement(s, d):
 
 
 @query
-def filter_substring_any(s, d, region="ASIA"):
-    return filters.containing(fx.impact_input(s, d, region), "variable", ["quant", "disc"]).withColumn("value", r("value"))
+def filter_substring_any(s, d):
+    return filters.containing(fx.impact_input(s, d), "variable", ["quant", "disc"]).withColumn("value", r("value"))
 
 
 @query
-def filter_substring_none(s, d, region="ASIA"):
-    return filters.containing(fx.impact_input(s, d, region), "variable", ["95.0th"], keep=False).withColumn("value", r("value"))
+def filter_substring_none(s, d):
+    return filters.containing(fx.impact_input(s, d), "variable", ["95.0th"], keep=False).withColumn("value", r("value"))
 
 
 @query
-def filter_suffix_whitelist(s, d, region="ASIA"):
-    return filters.with_suffix(fx.impact_input(s, d, region), SUFFIXES).withColumn("value", r("value"))
+def filter_suffix_whitelist(s, d):
+    return filters.with_suffix(fx.impact_input(s, d), SUFFIXES).withColumn("value", r("value"))
 
 
 @query
@@ -92,40 +96,73 @@ def first_n_indicators(s, d):
 
 
 @query
-def strip_ssp_suffix(s, d, region="ASIA"):
-    return fx.impact_input(s, d, region).select("variable", text.strip_ssp(F.col("variable")).alias("stripped")).distinct()
+def strip_ssp_suffix(s, d):
+    return fx.impact_input(s, d).select("variable", text.strip_ssp(F.col("variable")).alias("stripped")).distinct()
 
 
 @query
-def stem_of_variable(s, d, region="ASIA"):
-    return fx.impact_input(s, d, region).select("variable", text.stem(F.col("variable")).alias("stem")).distinct()
+def stem_of_variable(s, d):
+    return fx.impact_input(s, d).select("variable", text.stem(F.col("variable")).alias("stem")).distinct()
 
 
 @query
-def parse_ssp_gwl(s, d, region="ASIA"):
-    return fx.impact_input(s, d, region).select("scenario", text.ssp_of(F.col("scenario")).alias("ssp"), text.gwl_of(F.col("scenario")).alias("gwl")).distinct()
+def parse_ssp_gwl(s, d):
+    return fx.impact_input(s, d).select("scenario", text.ssp_of(F.col("scenario")).alias("ssp"), text.gwl_of(F.col("scenario")).alias("gwl")).distinct()
 
 
 @query
-def remove_percentile_suffix(s, d, region="ASIA"):
-    return fx.impact_input(s, d, region).select("variable", text.remove_literal(F.col("variable"), "|50.0th Percentile").alias("short")).distinct()
+def remove_percentile_suffix(s, d):
+    return fx.impact_input(s, d).select("variable", text.remove_literal(F.col("variable"), "|50.0th Percentile").alias("short")).distinct()
 
 
 @query
-def impact_cube_from_input(s, d, region="ASIA"):
-    return cube.from_impacts(fx.impact_input(s, d, region)).withColumn("value", r("value"))
+def impact_cube_from_input(s, d):
+    return cube.from_impacts(fx.impact_input(s, d)).withColumn("value", r("value"))
 
 
-def _of_all_regions(f: Query) -> Query:
-    def whole(s, d):
-        return f(s, d, None)
+@query
+def stem_cube(s, d):
+    """The cube of one stem, by the exact stem."""
+    rows = fx.impact_input(s, d)
+    other = rows.withColumn("variable", F.concat(F.lit("pricey"), F.substring("variable", 6, 100))).where("variable like 'pricey%'")
+    return cube.from_impacts(filters.of_stem(rows.unionByName(other), "price")).withColumn("value", r("value"))
+
+
+@query
+def drop_empty_rows(s, d):
+    """Wide rows with no value in any of the years asked for go."""
+    wide = reshape.to_wide(fx.scenarios(s, d).where("model != 'BUILDING' or year > 2024"), ID, list(range(2020, 2030)))
+    return filters.drop_empty(wide.select(*ID, *(str(y) for y in range(2020, 2025))), [str(y) for y in range(2020, 2025)])
+
+
+@query
+def outlier_windows(s, d):
+    return filters.windowed(fx.cube(s, d), {"price": (30000.0, 40000.0), "discount": (-0.05, 0.05)}).withColumn("value", r("value"))
+
+
+@query
+def select_by_position(s, d):
+    """The second warming level and the last but one year."""
+    return filters.nth(filters.nth(fx.cube(s, d), "gwl_c", 1), "year", -2).withColumn("value", r("value"))
 
-    whole.__name__ = f"{f.__name__}_whole"
-    return query(whole)
 
+@query
+def exact_year_select(s, d):
+    return cube.at_years(fx.cube(s, d), [2030, 2050]).withColumn("value", r("value"))
 
-for _f in (filter_wildcard_variable, filter_substring_any, filter_substring_none, filter_suffix_whitelist, strip_ssp_suffix, stem_of_variable, parse_ssp_gwl, remove_percentile_suffix, impact_cube_from_input):
-    _of_all_regions(_f)
+
+@query
+def dense_cube(s, d):
+    """A sparse cube at every combination of its axes."""
+    return cube.dense(fx.cube(s, d).where("region != 'ASIA' or year < 2050")).withColumn("value", r("value"))
+
+
+@query
+def aligned_cubes(s, d):
+    """Two indicators side by side, with different holes."""
+    c = fx.cube(s, d)
+    sides = c.where("indicator = 'price' and year >= 2030"), c.where("indicator = 'quantity' and ssp != 'SSP3'")
+    return cube.align(*sides, ("region", "ssp", "gwl_c", "year"), ("price", "quantity")).withColumns({n: r(n) for n in ("price", "quantity")})
 
 
 @query
@@ -162,25 +199,36 @@ def annual_interpolation(s, d):
 
 @query
 def year_fill_both_edges(s, d):
-    c = fx.cube(s, d).where("indicator = 'price' and gwl_c = 150 and year between 2030 and 2060")
-    return cube.fill_years(c, ["indicator", "region", "ssp"], 2020, 2071).withColumn("value", r("value"))
+    """The years 2030 to 2060 filled, and carried on to both sides."""
+    c = fx.cube(s, d).where("year between 2030 and 2060")
+    return cube.fill_years(c, ["indicator", "unit", "region", "ssp", "gwl_c"], 2020, 2071).withColumn("value", r("value"))
 
 
 @query
 def gwl_grid_interpolation(s, d):
-    c = fx.cube(s, d).where("indicator = 'price' and year = 2050")
-    return cube.gwl_grid(c).withColumn("value", r("value"))
+    return cube.gwl_grid(fx.cube(s, d)).withColumn("value", r("value"))
 
 
 @query
-def year_fill_both_edges_whole(s, d):
-    c = fx.cube(s, d).where("year between 2030 and 2060")
-    return cube.fill_years(c, ["indicator", "unit", "region", "ssp", "gwl_c"], 2020, 2071).withColumn("value", r("value"))
+def prepared_cube(s, d):
+    """Years, then levels filled; means over the years, so that the rows are few."""
+    out = cube.prepare(fx.cube(s, d), 2020, 2080)
+    return out.groupBy("indicator", "unit", "region", "ssp", "gwl_c").agg(r(F.avg("value")).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
 @query
-def gwl_grid_interpolation_whole(s, d):
-    return cube.gwl_grid(fx.cube(s, d)).withColumn("value", r("value"))
+def cube_round_trip(s, d):
+    """A cube written in a folder for each indicator and read back."""
+    to = scratch.folder(s, "cube")
+    cubes.write(fx.cube(s, d), to)
+    return cubes.region_cube(s, to, check=False).withColumn("value", r("value"))
+
+
+@query
+def iamc_csv_round_trip(s, d):
+    to = scratch.folder(s, "iamc")
+    iamc.write_wide_csv(fx.scenarios(s, d), to, YEARS)
+    return iamc.read(s, f"{to}/*.csv")
 
 
 @query
@@ -190,7 +238,7 @@ def nearest_gwl_lookup(s, d):
 
 @query
 def nearest_year_collapse_mean(s, d):
-    out = table.emulate(path(s, d), fx.cube(s, d).where("indicator = 'quantity'"))
+    out = table.emulate(path(s, d), fx.cube(s, d))
     return out.groupBy("region", "variable", "year").agg(r(F.avg("value")).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
@@ -207,15 +255,28 @@ def table_emulation_requested_years(s, d):
 
 @query
 def table_emulation_wide(s, d):
-    out = table.emulate(path(s, d), fx.cube(s, d).where("indicator = 'price'")).withColumn("value", r("value"))
+    out = table.emulate(path(s, d), fx.cube(s, d)).withColumn("value", r("value"))
     return reshape.to_wide(out, ID, list(range(2020, 2081, 10)))
 
 
+@query
+def table_emulation_all_regions(s, d):
+    """A region without impacts for an SSP keeps its rows, with nulls."""
+    return table.emulate(path(s, d), fx.cube(s, d).where("region != 'ASIA' or ssp != 'SSP2'"), all_regions=True).withColumn("value", r("value"))
+
+
+@query
+def table_emulation_metrics(s, d):
+    """What one run of the emulation says of its rows, gathered while they are made."""
+    seen = metrics.of(table.emulate(path(s, d), fx.cube(s, d)))
+    return seen.withColumns({"low": r("low"), "high": r("high")})
+
+
 @query
 def table_emulation_from_co2(s, d):
     """Emissions to cumulative CO2, to warming, to regional impacts."""
     warming = carbon.as_temperature(carbon.to_gwl(carbon.prepare(fx.co2(s, d), years=DECADES)))
-    p = pathway.make(warming, fx.meta(s, d), "RIME|GSAT_tcre")
+    p = pathway.make(warming, fx.meta(s, d), "Emulated|GSAT_tcre")
     return table.emulate(p, fx.cube(s, d), prefix="Climate impacts|").withColumn("value", r("value"))
 
 
@@ -224,47 +285,44 @@ def missing_ssps(s, d):
     return table.missing_ssps(path(s, d), fx.cube(s, d).where("ssp != 'SSP1'"))
 
 
-def _maps(s, d, scenario: str | None = None, indicator: str | None = None, gaps: bool = False):
-    p, g = path(s, d), fx.raster(s, d)
-    p = p if scenario is None else p.where(F.col("scenario") == scenario).where("model = 'BUILDING'")
-    return maps.emulate(p, g if indicator is None else g.where(F.col("indicator") == indicator), DECADES, gaps=gaps)
+def _maps(s, d):
+    return maps.emulate(path(s, d), fx.raster(s, d), DECADES)
 
 
 @query
-def map_emulation_multi_scenario(s, d, gaps=False):
-    return _maps(s, d, indicator="price", gaps=gaps).withColumn("value", r("value"))
+def map_emulation_multi_scenario(s, d):
+    """Every scenario and indicator, a row for each cell and year."""
+    return _maps(s, d).withColumn("value", r("value"))
 
 
 @query
-def map_emulation_multi_indicator(s, d, gaps=False):
-    return _maps(s, d, scenario="1-URGENT", gaps=gaps).withColumn("value", r("value"))
+def map_emulation_multi_indicator(s, d):
+    """A column for each indicator."""
+    out = maps.by_indicator(_maps(s, d), INDICATORS)
+    return out.withColumns({i: r(i) for i in INDICATORS})
 
 
 @query
-def map_range_mask_999(s, d, gaps=False):
-    return maps.with_sentinel(_maps(s, d, indicator="quantity", gaps=gaps)).groupBy("model", "scenario", "year", "status").agg(F.count(F.lit(1)).alias("cells"), r(F.min("value")).alias("low"), r(F.max("value")).alias("high"))
+def map_scenario_columns(s, d):
+    """A column for each scenario."""
+    labels = [f"{m}_{p}" for m in SEGMENTS for p in PRIORITIES]
+    out = maps.to_wide(_maps(s, d), labels)
+    return out.withColumns({x: r(F.col(f"`{x}`")) for x in labels})
 
 
-def _with_gaps(f: Query) -> Query:
-    def whole(s, d):
-        return f(s, d, True)
-
-    whole.__name__ = f"{f.__name__}_whole"
-    return query(whole)
-
-
-for _f in (map_emulation_multi_scenario, map_emulation_multi_indicator, map_range_mask_999):
-    _with_gaps(_f)
+@query
+def map_range_mask_999(s, d):
+    return maps.with_sentinel(_maps(s, d)).groupBy("model", "scenario", "indicator", "year", "status").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("valued"), r(F.min("value")).alias("low"), r(F.max("value")).alias("high"))
 
 
 @query
 def pathway_caution_checks(s, d):
-    return pathway.warnings(path(s, d))
+    return pathway.warnings(path(s, d), years=list(DEFAULT.years))
 
 
 @query
 def effective_bounds(s, d):
-    return pathway.bounds(path(s, d), fx.raster(s, d))
+    return pathway.bounds(path(s, d), fx.raster(s, d), years=list(DEFAULT.years))
 
 
 @query
@@ -319,18 +377,17 @@ def duplicate_temps_spread(s, d):
 
 @query
 def map_year_interpolation(s, d):
-    m = _maps(s, d, scenario="1-URGENT", indicator="price")
-    return dashboard.at_year(m, 2035, ["model", "scenario", "indicator", "lat", "lon"]).withColumn("value", r("value"))
+    return dashboard.at_year(_maps(s, d), 2035, ["model", "scenario", "indicator", "lat", "lon"]).withColumn("value", r("value"))
 
 
 @query
 def colour_limits(s, d):
-    return dashboard.colour_limits(maps.with_sentinel(_maps(s, d, scenario="2-HIGH")), ["indicator"])
+    return dashboard.colour_limits(maps.with_sentinel(_maps(s, d)), ["indicator"])
 
 
 @query
 def dashboard_frame(s, d):
-    return dashboard.frame(_maps(s, d, scenario="1-URGENT"), 2040, ["price", "quantity"]).withColumn("value", r("value"))
+    return dashboard.frame(_maps(s, d), 2040, ["price", "quantity"]).withColumn("value", r("value"))
 
 
 @query
@@ -340,7 +397,7 @@ def zscore_change(s, d):
 
 @query
 def score_bin(s, d):
-    return scores.binned_fixed(fx.score_cells(s, d), [10.0, 20.0, 25.0, 30.0], "future", "score").where("indicator = 'quantity'").select("lat", "lon", r("future").alias("future"), r("score").alias("score"))
+    return scores.binned_fixed(fx.score_cells(s, d), [10.0, 20.0, 25.0, 30.0], "future", "score").select("indicator", "lat", "lon", r("future").alias("future"), r("score").alias("score"))
 
 
 @query
@@ -366,15 +423,15 @@ def class_bivariate_score(s, d):
 
 @query
 def mask_join(s, d):
-    mask = fx.score_cells(s, d).where("indicator = 'quantity' and class <= 2").select("lat", "lon", "class")
-    return scores.within(fx.raster(s, d).where("indicator = 'price'"), mask).withColumn("value", r("value"))
+    mask = fx.score_cells(s, d).where("class <= 2").select("lat", "lon", "class").distinct()
+    return scores.within(fx.raster(s, d), mask).withColumn("value", r("value"))
 
 
 @query
 def raster_union(s, d):
     g = fx.raster(s, d)
-    one, two = (schema.raster_impacts(g.where(F.col("indicator") == i).drop("indicator").withColumnRenamed("gwl", "Threshold"), i) for i in ("price", "quantity"))
-    return one.unionByName(two).withColumn("value", r("value"))
+    one, two, three = (schema.raster_impacts(g.where(F.col("indicator") == i).drop("indicator").withColumnRenamed("gwl", "Threshold"), i) for i in INDICATORS)
+    return one.unionByName(two).unionByName(three).withColumn("value", r("value"))
 
 
 @query
@@ -405,4 +462,4 @@ def half_even_rounding(s, d):
 
 @query
 def indicator_params_table(s, d):
-    return params.frame(s, params.example())
+    return params.frame(s, params.load(params.EXAMPLE)).withColumn("score_range", F.array_join(F.col("score_range").cast("array<string>"), " "))

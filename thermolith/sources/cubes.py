@@ -12,36 +12,62 @@ from .. import schema
 from ..functions import text
 
 Preprocess = Callable[[DataFrame], DataFrame]
+#: Reads one path of another format (netCDF, ...) as a long frame; there is no decoder of these here.
+Reader = Callable[[SparkSession, str], DataFrame]
 
 
-def _load(spark: SparkSession, source, what: str, preprocess: Preprocess | None) -> DataFrame:
+def _load(spark: SparkSession, source, what: str, preprocess: Preprocess | None, reader: Reader | None = None) -> DataFrame:
     """All files of a path, a glob or a list of these; columns may differ and are matched by name."""
     if isinstance(source, DataFrame):
         return preprocess(source) if preprocess else source
     paths = [source] if isinstance(source, str) else list(source) if isinstance(source, (list, tuple)) else None
     if not paths or not all(isinstance(p, str) for p in paths):
         raise ValueError(f"no {what}: {source!r}")
-    if preprocess is None:
+    if preprocess is None and reader is None:
         return spark.read.option("mergeSchema", "true").parquet(*paths)
-    frames = [preprocess(spark.read.parquet(p)) for p in paths]
+    one = reader or (lambda s, p: s.read.parquet(p))
+    frames = [preprocess(one(spark, p)) if preprocess else one(spark, p) for p in paths]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
-def region_cube(spark: SparkSession, source, preprocess: Preprocess | None = None, check: bool = True) -> DataFrame:
-    return schema.region_impacts(_load(spark, source, "regional cube", preprocess), check)
+def region_cube(spark: SparkSession, source, preprocess: Preprocess | None = None, check: bool = True, reader: Reader | None = None) -> DataFrame:
+    return schema.region_impacts(_load(spark, source, "regional cube", preprocess, reader), check)
 
 
-def raster_cube(spark: SparkSession, source, indicator: str | None = None, preprocess: Preprocess | None = None, check: bool = True, swap_xy: bool = False) -> DataFrame:
+def raster_cube(spark: SparkSession, source, indicator: str | None = None, preprocess: Preprocess | None = None, check: bool = True, swap_xy: bool = False, reader: Reader | None = None) -> DataFrame:
     """A raster; its indicators lose what follows _ssp."""
-    df = _load(spark, source, "raster", preprocess)
+    df = _load(spark, source, "raster", preprocess, reader)
     out = schema.raster_impacts(df, indicator, check, swap_xy)
     return out.withColumn("indicator", text.strip_ssp(F.col("indicator")))
 
 
-def raster_by_level(spark: SparkSession, paths: list[str], pattern: str, indicator: str | None = None) -> DataFrame:
+def discover(spark: SparkSession, template: str, one_each: str | None = None) -> list[dict[str, str]]:
+    """The files that a template such as `out/{indicator}_{ssp}.parquet` names, each with what its placeholders hold.
+
+    With `one_each` no value of that placeholder may have two files.  Only names are listed, no file is read."""
+    holes = re.findall(r"\{(\w+)\}", template)
+    glob = re.sub(r"\{\w+\}", "*", template)
+    pattern = re.escape(template.rsplit("/", 1)[-1])
+    for h in holes:
+        pattern = pattern.replace(re.escape(f"{{{h}}}"), f"(?P<{h}>[^/]+?)", 1)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    out = []
+    for status in found:
+        name = status.getPath().toString()
+        if m := re.fullmatch(pattern, name.rsplit("/", 1)[-1]):
+            out.append({"path": name} | m.groupdict())
+    if one_each:
+        seen = [x[one_each] for x in out]
+        if twice := sorted({x for x in seen if seen.count(x) > 1}):
+            raise ValueError(f"several files of {', '.join(twice)}")
+    return sorted(out, key=lambda x: x["path"])
+
+
+def raster_by_level(spark: SparkSession, paths: list[str], pattern: str, indicator: str | None = None, preprocess: Preprocess | None = None) -> DataFrame:
     """One raster from one file (or folder) for each level: group `gwl` of `pattern`, with p for the point, is the level, and
     group `indicator`, if there is one, the indicator."""
     named = re.compile(pattern)
@@ -54,7 +80,7 @@ def raster_by_level(spark: SparkSession, paths: list[str], pattern: str, indicat
     df = df.withColumn("gwl", level)
     if "indicator" in groups:
         df = df.withColumn("indicator", F.regexp_extract("_file", java, groups["indicator"]))
-    return raster_cube(spark, df.drop("_file"), indicator)
+    return raster_cube(spark, df.drop("_file"), indicator, preprocess)
 
 
 def write(df: DataFrame, path: str, by: tuple[str, ...] = ("indicator",)) -> None:

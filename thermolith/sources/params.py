@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TEXT = ("short_name", "long_name", "unit", "ind_cmap", "diff", "diff_cmap")
@@ -9,10 +11,8 @@ NUMBERS = ("ind_min", "ind_max", "diff_min", "diff_max")
 SCHEMA = "group_name string, var_name string, protocol string, short_name string, long_name string, unit string, ind_cmap string, diff string, diff_cmap string, ind_min double, ind_max double, diff_min double, diff_max double, score_range array<double>"
 
 
-def example() -> dict:
-    """Parameters of the fixtures' indicators."""
-    leaf = lambda name, unit, low, high: {"short_name": name, "long_name": f"Mean {name}", "unit": unit, "ind_min": low, "ind_max": high, "ind_cmap": "magma_r", "diff": "absolute", "diff_min": -high, "diff_max": high, "diff_cmap": "RdBu", "score_range": [high, high / 2, high / 4, low]}
-    return {"protocol": {"trade": "2b", "volume": "3b"}, "indicators": {"trade": {"price": leaf("price", "USD", 0, 100000), "discount": leaf("discount", "%", 0, 1)}, "volume": {"quantity": leaf("quantity", "items", 0, 50)}}}
+#: Parameters of the fixtures' indicators.
+EXAMPLE = str(Path(__file__).with_name("example.yml"))
 
 
 def load(path: str) -> dict:

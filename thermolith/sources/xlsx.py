@@ -1,15 +1,16 @@
-"""Sheets of Excel files as a Python data source, by the standard library."""
+"""Sheets of Excel files, read through Spark's file systems and parsed by the standard library."""
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -22,9 +23,9 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
+def rows(content: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
     """Cells of a sheet (by name, else the first) as text."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot().iter(f"{MAIN}si")]
@@ -50,38 +51,28 @@ def rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
             yield out
 
 
-class XlsxSource(DataSource):
-    """Options: path, sheet.  All columns are text; the first row names them."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "thermolith_xlsx"
-
-    def schema(self) -> StructType:
-        head = next(rows(self.options["path"], self.options.get("sheet")))
-        return StructType([StructField(_name(c, i), StringType()) for i, c in enumerate(head)])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return XlsxReader(self.options["path"], self.options.get("sheet"), len(schema))
-
-
 def _name(cell: str | None, i: int) -> str:
     return f"column_{i}" if cell is None else cell[:-2] if re.fullmatch(r"\d+\.0", cell) else cell
 
 
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, sheet: str | None, width: int):
-        self.path, self.sheet, self.width = path, sheet, width
-
-    def read(self, partition) -> Iterator[tuple]:
-        body = rows(self.path, self.sheet)
-        next(body)
-        for r in body:
-            yield tuple((r + [None] * self.width)[: self.width])
-
-
 def read(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet as text columns; the file must be readable at the same path by all executors."""
-    spark.dataSource.register(XlsxSource)
-    reader = spark.read.format("thermolith_xlsx").option("path", path)
-    return (reader if sheet is None else reader.option("sheet", sheet)).load()
+    """A sheet as text columns, named by its first row.  One file is one task; its sheet's rows are made one by one."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def head(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([next(rows(x, sheet))], pa.list_(pa.string()))], names=["cells"])
+
+    names = [_name(c, i) for i, c in enumerate(files.mapInArrow(head, "cells array<string>").first()["cells"])]
+
+    def body(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                cells = rows(x, sheet)
+                next(cells)
+                while part := [(r + [None] * len(names))[: len(names)] for r, _ in zip(cells, range(1000), strict=False)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], names=["cells"])
+
+    cells = files.mapInArrow(body, "cells array<string>")
+    return cells.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)))
