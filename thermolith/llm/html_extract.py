@@ -2,18 +2,23 @@
 
 A page is read once into text blocks, each with its path of block tags and classes from the root.  Text length and
 punctuation are aggregated per path and divided by the path's blocks; these two ratios are smoothed over neighbouring
-blocks, fused by multiplication and averaged per path again; paths above a share of the text-weighted mean are content.
-The smallest element that holds all content, the headings before it and the paragraphs that stand loose beside it is the
-article, and all its blocks are kept; an <article> or <main> with nearly all content is the article itself.
-
-Containers that HTML itself names as no content (navigation, page headers and footers, asides, forms, scripts, ...) and
-such whose class, id or role says so (adverts, notices, sidebars, reader comments, ...) are left out before.  A class or id
-says so by a whole name, not by a part of one (`no-comments`, `has-sidebar`), and never of most of a page's sentences
-unless an <article> or <main> has text; adverts and reader comments, which may outgrow an article, are left out unless
-there are no other sentences.
-
-Null, empty and text-less pages give an empty text.  Tags may be unclosed, unopened or badly nested.  Whole pages are
-read, in time linear in their length.  Repeated rows and other columns are untouched.
+blocks, fused by multiplication and averaged per path again: the path's score.  A heading counts as the text that it heads.
+Priors weigh the scores of paths, none of them decides alone: the share of the path's text that is outside links, names
+(class, id, role) that say no content, and standing outside an <article> or <main> where the page has text in one.
+
+Paths whose score reaches `share` of the text-weighted mean score are content.  Paths with most of their text inside the
+smallest element that holds all blocks of these need `low` of the mean only, so short lines, lists and captions of an article
+stay, and menus, adverts and comments in it go.  What is returned are the blocks of these paths, and of no other.
+
+As scores count against the page's own mean, a name that wraps a whole page changes nothing.  A name says no content by a
+whole name, not by a part of one (`no-comments`, `has-sidebar`), and is not believed of most of a page's sentences, unless an
+<article> or <main> has text elsewhere; adverts and reader comments, which may outgrow an article, are believed unless there
+are no other sentences.  What HTML itself names as no content (navigation, page headers and footers, asides, forms, scripts)
+or hides is never read.
+
+Null, empty and text-less pages give an empty text.  Tags may be unclosed, unopened or badly nested.  Whole pages are read,
+in time linear in their length, however long.  Scores that tie with a threshold reach it.  An empty table gives no rows;
+repeated rows give repeated results; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +41,9 @@ PUNCTUATION = re.compile(r"[.,;:!?、。，…¿¡]")
 # Names of HTML elements.
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("head nav footer header aside form noscript template menu dialog button select datalist iframe object svg math canvas audio video map".split())
+LEFT_OUT = frozenset("head nav footer header aside form noscript template menu dialog button select datalist iframe canvas audio video map".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HOLDERS = frozenset("html body div section main article center table tbody tr td".split())
 #: What a start tag ends, if it is the innermost of its kind.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of class, id or role that say: no article text.
@@ -60,7 +64,6 @@ class Element:
     path: int
     parent: Element | None = None
     out: bool = False  # in a part that is left out
-    says: str = ""  # NAMED or OTHER: its name says that it's no content
     inside: bool = False  # in an article
     heading_only: bool = False
     first: int = 0  # blocks first to last - 1 lie below it
@@ -68,11 +71,25 @@ class Element:
     children: list[Element] = field(default_factory=list)
 
 
-HIDDEN, NAMED, OTHER = "hidden", "named", "other"
+@dataclass
+class Block:
+    text: str
+    element: Element
+    linked: int  # characters inside links, at most
+
+
+@dataclass
+class Path:
+    parent: int
+    says: str  # NAMED, HEADER or OTHER: its last element's name says that it's no content
+    inside: bool  # in an article
+
+
+HIDDEN, NAMED, HEADER, OTHER = "hidden", "named", "header", "other"
 
 
 def _says_no(attributes: str) -> str:
-    """HIDDEN, NAMED or OTHER for what is no content by its attributes, else empty."""
+    """HIDDEN, NAMED, HEADER or OTHER for what is no content by its attributes, else empty."""
     said = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -82,8 +99,10 @@ def _says_no(attributes: str) -> str:
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = WORD.findall(token)
-                if not NO_CONTENT.isdisjoint(words) and all(w in NO_CONTENT or w in PARTS for w in words):
-                    said = OTHER if said == OTHER or not OTHERS.isdisjoint(words) else NAMED
+                against = NO_CONTENT.intersection(words)
+                if against and all(w in NO_CONTENT or w in PARTS for w in words):
+                    now = OTHER if not OTHERS.isdisjoint(words) else HEADER if against == {"header"} else NAMED
+                    said = max(said, now, key=("", HEADER, NAMED, OTHER).index)
     return said
 
 
@@ -98,14 +117,15 @@ def _sentences(text: str) -> int:
     return len(text) if PUNCTUATION.search(text) else 0
 
 
-def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Element]:
-    """Text blocks in page order, each with its element, and the root.  Paths are numbers.  Without `names`, inline parts
+def parse(page: str, names: bool = True) -> tuple[list[Block], Element, list[Path]]:
+    """Text blocks in page order, each with its element, the root, and the paths by number.  Without `names`, inline parts
     are not left out for theirs."""
     root = Element("", 0)
     here, blocks, text = root, [], []
-    numbers: dict[tuple[int, str], int] = {}
+    paths, numbers = [Path(0, "", False)], {}
     inline: list = []  # an inline part that says it is no content: its tag, how often that is open, the text before, how it says so
     dropped = 0  # sentences of inline parts left out for their names
+    link, linked = False, 0
 
     def drop() -> None:
         nonlocal dropped
@@ -115,12 +135,14 @@ def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Ele
         inline.clear()
 
     def close() -> None:
+        nonlocal link, linked
         if inline:
             drop()
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined and not here.out and not (here.heading_only and here.tag not in HEADINGS):
-            blocks.append((joined, here))
+            blocks.append(Block(joined, here, min(linked, len(joined))))
+        link, linked = False, 0
 
     def leave(to: Element) -> Element:
         """Ends all elements up to `to`, which stays open."""
@@ -133,11 +155,13 @@ def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Ele
     at, n, lower = 0, len(page), None
     while at < n:
         token = TOKEN.search(page, at)
+        until = n if token is None else token.start()
+        if until > at:
+            text.append(page[at:until])
+            if link:
+                linked += until - at
         if token is None:
-            text.append(page[at:])
             break
-        if token.start() > at:
-            text.append(page[at : token.start()])
         at = token.end()
         tag = token[2] or token[5]
         if not tag:
@@ -152,10 +176,13 @@ def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Ele
                 close()
                 if to is not root:
                     here = leave(to.parent)
-            elif inline and inline[0] == tag:
-                inline[1] -= 1
-                if not inline[1]:
-                    drop()
+            else:
+                if tag == "a":
+                    link = False
+                if inline and inline[0] == tag:
+                    inline[1] -= 1
+                    if not inline[1]:
+                        drop()
             continue
         attributes = token[3] or token[6] or ""
         if tag in RAW:
@@ -171,6 +198,7 @@ def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Ele
             continue
         no = _says_no(attributes) if attributes and not attributes.isspace() else ""
         if not block:
+            link = link or tag == "a"
             if inline and inline[0] == tag:
                 inline[1] += 1
             elif no and not inline and (names or no == HIDDEN):
@@ -188,100 +216,106 @@ def parse(page: str, names: bool = True) -> tuple[list[tuple[str, Element]], Ele
             if to.tag in ENDS[tag]:
                 here = leave(to.parent)
         own_header = tag == "header" and here.inside
-        may = tag not in ("html", "body", "article", "main")
-        out = here.out or tag in LEFT_OUT and not own_header or no == HIDDEN and may
-        path = numbers.setdefault((here.path, tag + _class(attributes)), len(numbers) + 1)
-        child = Element(tag, path, here, out, no if may else "", here.inside or tag in ("article", "main"), here.heading_only or own_header, len(blocks))
+        out = here.out or tag in LEFT_OUT and not own_header or no == HIDDEN and tag not in ("html", "body", "article", "main")
+        says = "" if tag in ("html", "body", "main") or tag == "article" and no != OTHER else no
+        key = here.path, tag + _class(attributes), says
+        path = numbers.setdefault(key, len(paths))
+        if path == len(paths):
+            paths.append(Path(here.path, says, paths[here.path].inside or tag in ("article", "main") and not says))
+        child = Element(tag, path, here, out, paths[path].inside, here.heading_only or own_header, len(blocks))
         here.children.append(child)
         here = child
     close()
     leave(root)
     root.last = len(blocks)
-    if dropped > sum(_sentences(t) for t, _ in blocks):
+    if dropped > sum(_sentences(b.text) for b in blocks):
         return parse(page, False)
-    return _named_left_out(blocks, root), root
-
-
-def _named_left_out(blocks: list[tuple[str, Element]], root: Element) -> list[tuple[str, Element]]:
-    """The blocks without those of elements whose names say no content, and the elements' bounds set to what is left."""
-    sums = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
-    sentences, text, marked = (sums([f(t, e) for t, e in blocks]) for f in (lambda t, e: _sentences(t), lambda t, e: len(t), lambda t, e: len(t) * e.inside))
-    kept = np.ones(len(blocks), bool)
-    elements, open_ = [], [root]
-    while open_:
-        e = open_.pop()
-        elements.append(e)
-        if e.says:
-            has, long, inside = (int(x[e.last] - x[e.first]) for x in (sentences, text, marked))
-            other = int(sentences[-1]) - has
-            elsewhere = not e.inside and marked[-1] > inside
-            if has <= other or elsewhere or e.says == OTHER and (other or 2 * long <= text[-1]):
-                kept[e.first : e.last] = False
-        open_.extend(e.children)
-    now = np.concatenate([[0], np.cumsum(kept)]).tolist()
-    for e in elements:
-        e.first, e.last = now[e.first], now[e.last]
-    return [b for b, k in zip(blocks, kept.tolist(), strict=True) if k]
-
-
-def content_paths(blocks: list[tuple[str, Element]], share: float = 0.2) -> set[int]:
-    """Paths whose smoothed and fused ratios reach `share` of the text-weighted mean."""
-    paths = [e.path for _, e in blocks]
-    number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
-    of = np.array([number[p] for p in paths])
-    length = np.array([len(t) for t, _ in blocks], float)
-    points = np.array([len(PUNCTUATION.findall(t)) for t, _ in blocks], float)
+    return blocks, root, paths
+
+
+def _named(blocks: list[Block], paths: list[Path]) -> tuple[np.ndarray, np.ndarray]:
+    """For each path, whether names on it that are believed say no content; and the same without names of headers."""
+    n = len(paths)
+    sums = np.zeros((3, n), np.int64)  # below each path: characters of sentences, of all text, of text in an article
+    for b in blocks:
+        sums[:, b.element.path] += _sentences(b.text), len(b.text), len(b.text) * b.element.inside
+    for p in range(n - 1, 0, -1):  # a path has a larger number than its parent
+        sums[:, paths[p].parent] += sums[:, p]
+    sentences, text, marked = sums
+    named, other_named = np.zeros(n, bool), np.zeros(n, bool)
+    for p in range(1, n):
+        path = paths[p]
+        believed = False
+        if path.says:
+            other = int(sentences[0] - sentences[p])
+            elsewhere = not path.inside and marked[0] > marked[p]
+            believed = int(sentences[p]) <= other or elsewhere or path.says == OTHER and bool(other or 2 * text[p] <= text[0])
+        named[p] = named[path.parent] or believed
+        other_named[p] = other_named[path.parent] or believed and path.says != HEADER
+    return named, other_named
+
+
+KERNEL = np.array([0.25, 0.5, 0.25])
+#: Priors of paths that names speak against, and of those outside the page's <article> or <main>.
+AGAINST, OUTSIDE = 0.001, 0.1
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    y = np.pad(x, 1, mode="edge")
+    return y[:-2] * KERNEL[0] + y[1:-1] * KERNEL[1] + y[2:] * KERNEL[2]
+
+
+def path_scores(blocks: list[Block], paths: list[Path]) -> dict[int, float]:
+    """The score of each path that has blocks."""
+    own = [b.element.path for b in blocks]
+    number = {p: i for i, p in enumerate(dict.fromkeys(own))}
+    of = np.array([number[p] for p in own])
     count = np.bincount(of)
-    kernel = np.array([0.25, 0.5, 0.25])
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        y = np.pad(x, 1, mode="edge")
-        return y[:-2] * kernel[0] + y[1:-1] * kernel[1] + y[2:] * kernel[2]
-
-    fused = smooth((np.bincount(of, length) / count)[of]) * (0.5 + smooth((np.bincount(of, points) / count)[of]))
-    ratio = np.bincount(of, fused) / count
-    limit = share * (ratio[of] * length).sum() / length.sum()
-    return {p for p, i in number.items() if ratio[i] >= limit}
-
-
-def article(blocks: list[tuple[str, Element]], root: Element, paths: set[int], nearly: float = 0.9) -> Element:
-    """The outermost <article> or <main> with nearly all content and no title left outside, or else the smallest holder of
-    all content, of every heading that content follows, and of sentences straight in the elements around that holder."""
-    upto = np.concatenate([[0], np.cumsum([len(t) if e.path in paths else 0 for t, e in blocks])])
-    content = [i for i, (_, e) in enumerate(blocks) if e.path in paths]
-    titles = [i for i, (_, e) in enumerate(blocks) if e.tag == "h1"]
-    open_ = [root]
-    while open_:
-        e = open_.pop()
-        if e.tag not in ("article", "main"):
-            open_.extend(reversed(e.children))
-        elif upto[e.last] - upto[e.first] >= nearly * upto[-1] and (any(e.first <= i < e.last for i in titles) or not any(i < e.first for i in titles)):
-            return e
-    first = min((i for i in range(content[0]) if blocks[i][1].tag in HEADINGS), default=content[0])
-    loose: dict[int, tuple[int, int]] = {}  # the first and last sentence straight in an element
-    for i, (t, e) in enumerate(blocks):
-        if PUNCTUATION.search(t):
-            around = id(e.parent if e.tag in ("p", "pre", "blockquote") else e)
-            loose[around] = loose.get(around, (i, i))[0], i
+    length = np.array([len(b.text) for b in blocks], float)
+    points = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
+    outside = 1 - np.bincount(of, [float(b.linked) for b in blocks]) / np.bincount(of, length)
+    named, other_named = _named(blocks, paths)
+    inside = any(b.element.inside for b in blocks)
+    prior = np.array([outside[k] * (AGAINST if named[p] else 1.0) * (OUTSIDE if inside and not paths[p].inside else 1.0) for k, p in zip(of, own, strict=True)])
+    ratio, marks = (np.bincount(of, length) / count)[of], (np.bincount(of, points) / count)[of]
+    below = None
+    for i in range(len(blocks) - 1, -1, -1):
+        if blocks[i].element.tag not in HEADINGS:
+            below = i
+        elif below is not None:
+            ratio[i], marks[i] = ratio[below], marks[below]
+            prior[i] = prior[below] if not other_named[own[i]] else min(prior[below], prior[i])
+    fused = _smooth(ratio) * (0.5 + _smooth(marks)) * prior
+    return dict(zip(number, (np.bincount(of, fused) / count).tolist(), strict=True))
+
+
+def content_paths(blocks: list[Block], root: Element, paths: list[Path], share: float = 0.1, low: float = 0.01) -> set[int]:
+    """Paths whose score reaches `share` of the text-weighted mean; and those that reach `low` of it and have most of their
+    text in the smallest element that holds all blocks of the former."""
+    scores = path_scores(blocks, paths)
+    length = [len(b.text) for b in blocks]
+    mean = sum(scores[b.element.path] * n for b, n in zip(blocks, length, strict=True)) / sum(length)
+    content = {p for p, x in scores.items() if x >= share * mean}
+    chosen = [i for i, b in enumerate(blocks) if b.element.path in content]
     here = root
-    while here.tag not in ("article", "main"):
-        a, b = loose.get(id(here), (first, first))
-        a, b = min(a, first), max(b, content[-1])
-        inner = next((c for c in here.children if c.tag in HOLDERS and c.first <= a and b < c.last), None)
-        if inner is None:
-            break
+    while inner := next((c for c in here.children if c.first <= chosen[0] and chosen[-1] < c.last), None):
         here = inner
-    return here
+    whole, within = dict.fromkeys(scores, 0), dict.fromkeys(scores, 0)
+    for i, b in enumerate(blocks):
+        whole[b.element.path] += length[i]
+        within[b.element.path] += length[i] * (here.first <= i < here.last)
+    return content | {p for p, x in scores.items() if x >= low * mean and 2 * within[p] > whole[p]}
 
 
 def main_text(page: str | None) -> str:
+    """The blocks of content paths, in page order, one a line."""
     if not page:
         return ""
-    blocks, root = parse(page)
+    blocks, root, paths = parse(page)
     if not blocks:
         return ""
-    found = article(blocks, root, content_paths(blocks))
-    return "\n".join(blocks[i][0] for i in range(found.first, found.last))
+    chosen = content_paths(blocks, root, paths)
+    return "\n".join(b.text for b in blocks if b.element.path in chosen)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), name: str = "text") -> DataFrame:
