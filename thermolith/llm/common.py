@@ -6,10 +6,12 @@ bytes, so every executor computes the same values.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +25,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable checkpoint files, which outlive any executor.
+#: Has Spark remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests) is one made here."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of finished plans
-    return out
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go with them: what they have written stands without these."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
-_stored: list[str] = []
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from reliable checkpoint files, which outlive any executor."""
+    shared_dir(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows from compressed Parquet files in the shared folder: `cut` for wide or many rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _stored.append(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of finished plans
+    path = path or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all stored tables, for when no frame that reads them is left."""
-    jvm = spark.sparkContext._jvm
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class Tables:
+    """Stored tables of one operator, deleted when it ends.  What the operator returns must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}")
+        return store(df, self.paths[-1])
+
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all tables but the `keep` latest."""
+        hadoop, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext._jsc.hadoopConfiguration()
+        while len(self.paths) > keep:
+            path = hadoop.Path(self.paths.pop(0))
+            path.getFileSystem(conf).delete(path, True)
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder for written tables, beside its checkpoints, where every executor sees it."""
+    """This application's folder for written tables, beside its checkpoints, where every executor sees it.
+
+    It is spark.checkpoint.dir; only where that is unset and all executors are this machine (tests) is one made here."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if top is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+#: Keys with at least this part of all rows are dealt over several places; so there are no more of them than this.
+HEAVY = 1000
+
+
+def spread(rows: DataFrame, info: DataFrame, on: list[str], count: str, total: int, by: list[str] | None = None) -> DataFrame:
+    """rows join info, which has one row for each key with the number `count` of its rows, `total` in all.
+
+    A key with a thousandth of all rows or more is dealt over as many places as its share of the shuffle's partitions, and
+    its row of info goes to each.  There are a thousand such keys at most, which bounds the list that is broadcast.  Rows are
+    dealt by a hash of `by` (all columns) and of the task they come from."""
+    places = F.ceil(F.col(count) * partitions(rows.sparkSession) / max(total, 1)).cast("int")
+    heavy = F.broadcast(info.where(F.col(count) * HEAVY >= total).select(*(F.col(c).alias(f"_h{i}") for i, c in enumerate(on)), F.greatest(places, F.lit(1)).alias("_places")))
+    same = lambda df: reduce(lambda a, b: a & b, (df[c] == heavy[f"_h{i}"] for i, c in enumerate(on)))
+    marked = rows.join(heavy, same(rows), "left")
+    salt = F.pmod(F.xxhash64(*(by or rows.columns), F.spark_partition_id()), F.col("_places"))
+    marked = marked.withColumn("_salt", F.when(F.col("_places").isNull(), 0).otherwise(salt).cast("int")).select(*rows.columns, "_salt")
+    copied = info.withColumn("_salt", F.explode(F.when(F.col(count) * HEAVY >= total, F.sequence(F.lit(0), F.greatest(places, F.lit(1)) - 1)).otherwise(F.array(F.lit(0)))))
+    return marked.join(copied, [*on, "_salt"]).drop("_salt")
+
+
+def integral(docs: DataFrame, column: str) -> None:
+    """Raises unless the column holds whole numbers."""
+    kind = docs.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must hold integers, not {kind}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

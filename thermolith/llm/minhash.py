@@ -8,16 +8,23 @@ all registers, corrected for the chance collisions of compressed registers, drop
 sets of the whole texts decide the rest.  With 42 bands of 6 registers a pair at similarity 0.8 is missed with
 probability 3e-6.
 
-Documents with equal sets are one class and only its smallest id goes on.  Inside a band key documents are not paired
-with each other: each is compared with the key's pivot, the document that shares keys with most others, which is often
-the text that the others were copied from.  Where a key then still holds several components, the documents connected by
-such keys form a cluster, and those outside the cluster's largest component are compared with all of it, in blocks of
-bounded size on both sides; of each component only one link is reported.  So the links found give the same components
-as all links.  Components come from alternating large and small stars over checkpointed edges.
+Rows with equal sets are one class, numbered; what follows is about classes.  Inside a band key classes are not paired
+with each other: each is compared with the key's pivot, the class that shares keys with most others, which is often the
+text that the others were copied from.  Where a key then still holds several components, the classes connected by such keys
+form a cluster, and those outside the cluster's largest component are compared with all of it, in blocks of bounded size on
+both sides; of each component only one link is reported.  So the links found give the same components as all links.  This
+last step takes time that grows with the product of a cluster's largest component and the rest; there is no exact way known
+to us that doesn't for texts that share bands but no link.  Components come from alternating large and small stars over
+stored edges.
+
+No step gathers a key's rows in one task: counts, least values and pivots come from aggregates that are combined before the
+shuffle, and joins deal keys with a thousandth of all rows or more over several places.
 
 Null, empty and word-less texts have an empty set and no links.  Texts with fewer words than a shingle have the whole
-sequence as one.  Rows without an id take no part: their component is null and they are kept.  Rows with one id are one
-document and share a component; they are kept or dropped together.  Other columns are not touched.
+sequence as one; very long texts are read whole.  Ids must be integers; anything else raises.  Rows without an id take no
+part: their component is null and they are kept.  Rows of one id with different sets are documents of their own, each with
+its own component, whose number is the least id in it; rows of one id with one set are one document and are kept or dropped
+together.  An empty table gives no rows.  Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -27,7 +34,6 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -111,12 +117,12 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """id, n (set size), k1, k2 (set fingerprint), regs."""
-    rows = docs.select(F.col(id_col).alias("doc"), common.as_bytes(text).alias("t"))
+    """doc, th (hash of the text), n (set size), k1, k2 (set fingerprint), regs."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), common.as_bytes(text).alias("t"))
 
     def run(batches):
         for b in batches:
-            for first, end, off, data in common.slices(b.column(1)):
+            for first, end, off, data in common.slices(b.column(2)):
                 row, h = shingles(data, off, width)
                 n = np.bincount(row, minlength=end - first)
                 upto = np.concatenate([[0], np.cumsum(n)])
@@ -126,9 +132,9 @@ def signatures(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame
                     keys.append((s[upto[1:]] - s[upto[:-1]]).astype(np.int64))
                 regs = registers(row, h, end - first)
                 packed = pa.Array.from_buffers(pa.binary(), len(regs), [None, pa.py_buffer((np.arange(len(regs) + 1) * 2 * BUCKETS).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(regs))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), packed], names=["doc", "n", "k1", "k2", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), b.column(1).slice(first, end - first), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), packed], names=["doc", "th", "n", "k1", "k2", "regs"])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, n long, k1 long, k2 long, regs binary")
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, th long, n long, k1 long, k2 long, regs binary")
 
 
 def _registers_of(column: pa.Array) -> np.ndarray:
@@ -136,16 +142,16 @@ def _registers_of(column: pa.Array) -> np.ndarray:
     return data[off[0] : off[-1]].view(np.uint16).reshape(-1, BUCKETS) if len(column) else np.empty((0, BUCKETS), np.uint16)
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """(key, doc) for each band of each class representative."""
+def bands(classes: DataFrame) -> DataFrame:
+    """(key, node) for each band of each class."""
 
     def run(batches):
         for b in batches:
             keys = band_keys(_registers_of(b.column(1)))
-            docs = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), docs], names=["key", "doc"])
+            nodes = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), nodes], names=["key", "node"])
 
-    return reps.select("doc", "regs").mapInArrow(run, "key long, doc long")
+    return classes.select("node", "regs").mapInArrow(run, "key long, node long")
 
 
 def shared_sizes(sets: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,12 +164,17 @@ def shared_sizes(sets: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray,
 
 
 def confirmed(pairs: DataFrame, known: DataFrame, width: int, percent: int, sigmas: float = 6.0) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
+    """The pairs (a, b), a a pivot, whose sets have 100 * intersection >= percent * union.
 
-    `known` has doc, n, regs and the whole text t; pairs whose sizes or estimates rule the threshold out are not verified."""
+    `known` has node, n, regs and the whole text t; pairs whose sizes or estimates rule the threshold out are not verified.
+    A pivot's row goes to as many places as its pairs need."""
     threshold = percent / 100
-    side = lambda x: known.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("t").alias(f"t{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("t").alias(f"t{x}"))
+    total, joined = pairs.count(), pairs
+    for x in ("b", "a"):
+        counted = side(x).join(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("_n")), x)
+        joined = common.spread(joined, counted, [x], "_n", total, ["a", "b"]).drop("_n")
+    joined = joined.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
     def run(batches):
         for t in batches:
@@ -210,19 +221,19 @@ def crossing(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
     return np.concatenate(out[0]) if out[0] else np.empty(0, np.int64), np.concatenate(out[1]) if out[1] else np.empty(0, np.int64)
 
 
-def cross_links(open_keys: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
-    """Links (a, b) between labels, for pairs of documents of different labels in the clusters that rows (key, doc, label) connect."""
-    key = W.partitionBy("key")
-    edges = open_keys.select("doc", F.min("doc").over(key).alias("first")).where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    clusters = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    members = common.cut(open_keys.select("doc", "label").distinct().join(clusters, "doc"))
+def cross_links(tables: common.Tables, open_keys: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
+    """Links (a, b) between labels, for pairs of classes of different labels in the clusters that rows (key, node, label) connect."""
+    firsts = open_keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("_n"))
+    edges = common.spread(open_keys.select("key", "node"), firsts, ["key"], "_n", open_keys.count())
+    clusters = components(edges.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("cluster"))
+    members = tables.store(open_keys.select("node", "label").distinct().join(clusters, "node"))
     sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("main"))
-    sizes = sizes.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("m") / right_block).alias("rights"), F.ceil((F.col("m") - F.col("main.n")) / left_block).alias("lefts"))
-    placed = members.join(sizes, "cluster").withColumn("h", F.xxhash64("doc"))
-    right = placed.select("cluster", "doc", "label", F.lit(False).alias("left"), F.pmod("h", "rights").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"))
-    left = placed.where("label != main").select("cluster", "doc", "label", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.pmod("h", "lefts").alias("i"))
-    rows = right.unionByName(left).join(known.select("doc", "t"), "doc")
+    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    sizes = sizes.select("cluster", "main", "m", F.ceil(F.col("m") / right_block).alias("rights"), F.ceil((F.col("m") - F.col("most")) / left_block).alias("lefts"))
+    placed = common.spread(members, sizes, ["cluster"], "m", members.count()).withColumn("h", F.xxhash64("node"))
+    right = placed.select("cluster", "node", "label", F.lit(False).alias("left"), F.pmod("h", "rights").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"))
+    left = placed.where("label != main").select("cluster", "node", "label", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.pmod("h", "lefts").alias("i"))
+    rows = right.unionByName(left).join(known.select("node", "t"), "node")
 
     def run(t: pa.Table) -> pa.Table:
         sides = []
@@ -250,63 +261,88 @@ def components(links: DataFrame) -> DataFrame:
     def state(e):
         return e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
 
-    def stars(edges, large):
+    def stars(edges, large, total):
         """Each node's neighbours (of the smaller ones: with `large` unset) are hung on the smallest of them and itself."""
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             near = near.union(near.select("v", "u"))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-        hung = near.join(least, F.col("u") == F.col("w"))
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        hung = common.spread(near, least.withColumn("m", F.least("m", "u")), ["u"], "_n", total)
         if large:
             out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = hung.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        return out.where("a != b")
-
-    edges = common.cut(links.where("a != b").select("a", "b").distinct())
-    before = state(edges)
-    while before[0]:
-        edges = common.cut(stars(stars(edges, True), False).distinct())
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    one = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    return one.union(one.select("component", "component").distinct())
+        return out.where("a != b").distinct()
+
+    spark = links.sparkSession
+    with common.Tables(spark) as tables:
+        edges = tables.store(links.where("a != b").select("a", "b").distinct())
+        before = state(edges)
+        while before[0]:
+            grown = tables.store(stars(edges, True, 2 * before[0]))
+            edges = tables.store(stars(grown, False, grown.count()))
+            tables.drop(keep=1)
+            now = state(edges)
+            if now == before:
+                break
+            before = now
+        one = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
+        return common.store(one.union(one.select("component", "component").distinct()))
+
+
+def _verdicts(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+    """doc, th (hash of the text), n and component of every row of `docs`."""
+    common.integral(docs, id_col)
+    spark = docs.sparkSession
+    with common.Tables(spark) as tables:
+        full = tables.store(signatures(docs, id_col, text, width))
+        able = full.where((F.col("n") > 0) & F.col("doc").isNotNull())
+        classes = able.groupBy("k1", "k2").agg(F.min(F.col("doc").cast("long")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        classes = tables.store(classes.withColumn("node", F.monotonically_increasing_id()))  # written, the numbers stay
+        signed = tables.store(full.drop("regs"))
+        tables.drop(keep=2)
+        # keys that classes share
+        shared = bands(classes).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = tables.store(common.spread(bands(classes), shared, ["key"], "size", BANDS * classes.count()))
+        total = met.count()
+        weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
+        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text).alias("th"), common.as_bytes(text).alias("t"))
+        wanted = classes.join(weight.select("node"), "node").select("node", "rep", "k1", "k2", "n", "regs")
+        first = signed.where("n > 0").groupBy(F.col("doc").cast("long").alias("rep"), "k1", "k2").agg(F.min("th").alias("th"))
+        wanted = wanted.join(first, ["rep", "k1", "k2"])
+        known = tables.store(texts.join(wanted, ["rep", "th"]).dropDuplicates(["rep", "th"]).select("node", "n", "regs", "t"))
+        # a class for each key that all others of the key are compared with; the hash orders equal weights
+        order = F.least(F.col("weight"), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+        pivots = met.join(weight, "node").groupBy("key").agg(F.max_by("node", order).alias("pivot"), F.max("size").alias("_n"))
+        pairs = common.spread(met.select("key", "node"), pivots, ["key"], "_n", total).where("node != pivot")
+        pairs = tables.store(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        links = tables.store(confirmed(pairs, known, width, percent))
+        found = components(links)
+        labelled = tables.store(met.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+        mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi and _n > 2")  # two classes have been compared
+        open_keys = tables.store(common.spread(labelled, mixed, ["key"], "_n", total).select("key", "node", "label"))
+        if not open_keys.isEmpty():  # components of components
+            above = components(cross_links(tables, open_keys, known, width, percent)).select(F.col("node").alias("_low"), F.col("component").alias("_high"))
+            joined = found.join(above, F.col("component") == F.col("_low"), "full")
+            found = tables.store(joined.select(F.coalesce("node", "_low").alias("node"), F.coalesce("_high", "component").alias("component")).distinct())
+        # a component's number is its least id
+        linked = classes.select("node", "rep", "k1", "k2").join(found, "node")
+        least = linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n"))
+        numbered = common.spread(linked, least, ["component"], "_n", linked.count()).select("k1", "k2", "least")
+        named = classes.select("k1", "k2", "rep", "copies").join(numbered, ["k1", "k2"], "left").select("k1", "k2", "copies", F.coalesce("least", "rep").alias("component"))
+        takes_part = (F.col("n") > 0) & F.col("doc").isNotNull()
+        done = common.spread(signed.where(takes_part), named, ["k1", "k2"], "copies", signed.count()).select("doc", "th", "n", "component")
+        alone = signed.where(~takes_part).select("doc", "th", "n", F.col("doc").cast("long").alias("component"))
+        return common.store(done.unionByName(alone))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept of every row of `docs`."""
-    signed = common.cut(signatures(docs, id_col, text, width))
-    able = signed.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    classes = able.groupBy("k1", "k2").agg(F.min("doc").alias("rep"))
-    reps = able.join(classes.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi").select(F.col("doc").cast("long").alias("doc"), "n", "regs")
-    key = W.partitionBy("key")
-    met = bands(reps).withColumns({"size": F.count(F.lit(1)).over(key), "lo": F.min("doc").over(key), "hi": F.max("doc").over(key)}).where("lo != hi")
-    met = common.cut(met.select("key", "doc", "size"))
-    weight = met.groupBy("doc").agg(F.sum("size").alias("weight"))
-    ids = weight.select("doc")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), common.as_bytes(text).alias("t"))
-    known = common.store(reps.join(texts.join(ids, "doc", "left_semi"), "doc"))
-    pivot = F.max(F.struct("weight", (-F.col("doc")).alias("d"))).over(key)
-    pairs = met.join(weight, "doc").select("doc", (-pivot["d"]).alias("pivot")).where("doc != pivot")
-    pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    links = common.cut(confirmed(pairs, known, width, percent))
-    found = common.cut(components(links))
-    labelled = met.select("key", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("label"))
-    labelled = labelled.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key), "n": F.count(F.lit(1)).over(key)})
-    open_keys = common.cut(labelled.where("lo != hi and n > 2").select("key", "doc", "label"))  # two documents have been compared
-    if not open_keys.isEmpty():  # components of components
-        above = components(cross_links(open_keys, known, width, percent)).select(F.col("node").alias("_low"), F.col("component").alias("_high"))
-        joined = found.join(above, F.col("component") == F.col("_low"), "full")
-        found = common.cut(joined.select(F.coalesce("node", "_low").alias("node"), F.coalesce("_high", "component").alias("component")).distinct())
-    out = signed.select("doc", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
-    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
+    out = _verdicts(docs, id_col, text, width, percent).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, with their columns."""
-    dropped = near_duplicates(docs, id_col, text, **how).where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    dropped = _verdicts(docs, id_col, text, width, percent).where("doc != component").select(F.col("doc").alias("_dropped"), F.col("th").alias("_th")).distinct()
+    return docs.join(dropped, (docs[id_col] == dropped["_dropped"]) & (F.xxhash64(docs[text]) == dropped["_th"]), "left_anti")
