@@ -339,7 +339,7 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 2}, {"block_bytes": 500}])
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 500}, {"many": 1, "together": 40}, {"many": 2, "block_bytes": 300}])
 def test_repeated_spans(spark, texts, how):
     more = texts + ["ab" * 400, "x" * 100, "x" * 101, "x" * 99, "y" * 250 + texts[40], (texts[41] or "")[:150] + "z" + (texts[41] or "")[:150]]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(frame(spark, more), **how).collect()}

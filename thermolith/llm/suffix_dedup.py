@@ -3,27 +3,33 @@
 A byte goes if a string of `span` (100) bytes over it also starts earlier: in a document of smaller id, or earlier in its
 own document.
 
-1. Each 100-byte window is assigned to its minimizer, the leftmost least hash among its 24-byte strings.  Windows that
+1. Each 100-byte window is assigned to its minimizer, the leftmost least hash among its 40-byte strings.  Windows that
    share a minimizer form a context, a run of bytes.  Equal windows have equal minimizers, so equal strings only need to
    be looked for among contexts of one minimizer; minimizers met once hold nothing.
-2. Equal contexts of a minimizer need no comparison: all but the earliest are repeats.  The different ones go on.
+2. Equal contexts of a minimizer need no transform: all but the earliest are repeats.  Each task settles those among a
+   million contexts of its own and sends the earliest on, so a passage that a third of all documents share is a few rows of
+   each task.  The different ones go on.
 3. Contexts are gathered by minimizer into blocks of bounded memory and cut into shards.  Each shard gets a
    Burrows-Wheeler transform over symbols of 25 bytes (a context is 25 interleaved strings of such symbols), and the
    shards' transforms are merged by iterative interleave refinement: starting with one shard behind the other, each
    round deals the merged transform stably by symbol, which sorts the merged suffixes by one symbol more, while block
    starts give the common prefixes.  No suffix of the merged text is compared or sorted again.  After four rounds the
    runs with common prefixes of four symbols are the repeated 100-byte intervals.
-4. A minimizer with more than `hot` different contexts would not fit a block; the windows of these are grouped by a
-   128-bit hash instead, with partial aggregation.
-
-Symbols and strings are compared by 64-bit (contexts: with the minimizer, 128-bit) hashes.  Null texts are empty.  Null
-ids come last; documents alike in id are ordered by text hash; rows alike in both are one document and get the same
-result.  Other columns are not touched.
+4. A minimizer may have more different contexts than a block holds, or than one task should get: a thousandth of a task's
+   million and more are dealt over many places.  Each block still finds its own repeats; of what is left, one window of
+   each interval of such a minimizer is sent by a 128-bit hash of its bytes to those of the other blocks, which finds the
+   intervals that blocks share.  So blocks of any size and dealing give the same result.
+
+Symbols and strings are compared by 64-bit (contexts: with the minimizer, 128-bit) hashes.  Texts are read whole, however
+long.  Null texts are empty.  Ids must be integers; anything else raises.  Null ids come last; documents alike in id are
+ordered by text hash; rows alike in both are one document and get the same result.  An empty table gives no rows.  Other
+columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,7 @@ from pyspark.sql.window import Window as W
 from . import common
 
 U64 = np.uint64
-SPAN, GRAM, STRIDE = 100, 24, 25
+SPAN, GRAM, STRIDE = 100, 40, 25
 DEPTH = SPAN // STRIDE
 REACH = SPAN - GRAM + 1
 LAST = (1 << 63) - 1
@@ -166,11 +172,9 @@ def repeats(data: np.ndarray, off: np.ndarray, keys: list[np.ndarray], start: np
     return row[at], pos[at], np.diff(np.append(at, len(row)))
 
 
-CONTEXT = "ord long, th long, a long, nwin long, mh long"
-
-
 def _keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
     """(row, ord, th, t): `row` holds all other columns; `th` tells documents of one id apart and is 0 if ids are unique."""
+    common.integral(docs, id_col)
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d")).first()
     unique = ids["n"] == ids["d"]
     th = F.lit(0).cast("long") if unique else F.xxhash64(text)
@@ -178,26 +182,84 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
     return docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), th.alias("th"), common.as_bytes(text).alias("t")), unique
 
 
-def _contexts(keyed: DataFrame) -> DataFrame:
-    """(mh, ch, ord, th, spot) of every context; spot: start * 256 + number of windows."""
+#: Contexts that a task looks at together; a minimizer with a thousandth of them is dealt over several places.
+TOGETHER, MANY = 1_000_000, 1_000
+#: What a row of _contexts is: a context, one of a minimizer dealt over places, word that a minimizer is, a repeat.
+ONE, DEALT, WORD, AGAIN = 0, 1, 2, 3
+
+
+def _settled(mh, ch, order: list[np.ndarray], many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether an equal context stands earlier among these, whether the minimizer has `many` different ones)."""
+    by = np.lexsort((ch, mh))
+    m, c = mh[by], ch[by]
+    same = np.zeros(len(by), bool)
+    same[1:] = (m[1:] == m[:-1]) & (c[1:] == c[:-1])
+    again = np.zeros(len(by), bool)
+    member = same.copy()
+    member[:-1] |= same[1:]
+    among = by[member]
+    if len(among):
+        group = np.cumsum(~same)[member]
+        rank = np.lexsort([k[among] for k in order] + [group])
+        among, group = among[rank], group[rank]
+        least = among[np.searchsorted(group, group)]  # the earliest of the group; rows alike with it are it
+        again[among] = np.any([k[among] != k[least] for k in order], 0)
+    first = np.ones(len(by), bool)
+    first[1:] = m[1:] != m[:-1]
+    number = np.cumsum(first) - 1
+    crowd = np.bincount(number, weights=~same) >= many
+    crowded = np.zeros(len(by), bool)
+    crowded[by] = crowd[number]
+    return again, crowded
+
+
+def _contexts(keyed: DataFrame, together: int = TOGETHER, many: int = MANY) -> DataFrame:
+    """(mh, place, ch, ord, th, spot, kind) of every context; spot: start * 256 + number of windows."""
+    places = max(1, common.partitions(keyed.sparkSession))
+    names = ["mh", "place", "ch", "ord", "th", "spot", "kind"]
+
+    def rows(mh, place, ch, o, th, spot, kind):
+        kind = np.broadcast_to(np.int32(kind), len(mh)) if np.ndim(kind) == 0 else kind
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (mh.view(np.int64), place, ch.view(np.int64), o, th, spot, kind)], names=names)
+
+    def flush(held):
+        mh, ch, o, th, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+        again, crowded = _settled(mh, ch, [spot, th, o], many)
+        place = np.where(crowded & ~again, 1 + (ch % U64(places)).astype(np.int32), 0).astype(np.int32)
+        kind = np.where(again, AGAIN, np.where(crowded, DEALT, ONE)).astype(np.int32)
+        mh_to = np.where(again, common.mix(o.view(U64) * U64(31) + spot.view(U64)), mh)  # a repeat is dealt anywhere
+        for k in range(0, len(mh), 100_000):
+            e = slice(k, k + 100_000)
+            yield rows(mh_to[e], place[e], ch[e], o[e], th[e], spot[e], kind[e])
+        if crowded.any():
+            word = np.unique(mh[crowded])
+            none = np.zeros(len(word), np.int64)
+            yield rows(word, none.astype(np.int32), none.view(U64), none, none, none, WORD)
 
     def run(batches):
+        held, n = [], 0
         for b in batches:
             for first, end, off, data in common.slices(b.column(2), 1 << 20):
                 row, start, count, mh, ch = contexts(data, off)
-                row = pa.array(row)
-                part = lambda i: b.column(i).slice(first, end - first).take(row)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64)), part(0), part(1), pa.array(start * 256 + count)], names=["mh", "ch", "ord", "th", "spot"])
+                o, th = (b.column(i).to_numpy()[first:end][row] for i in (0, 1))
+                held.append((mh, ch, o, th, start * 256 + count))
+                n += len(mh)
+                if n >= together:
+                    yield from flush(held)
+                    held, n = [], 0
+        if n:
+            yield from flush(held)
 
-    return keyed.select("ord", "th", "t").mapInArrow(run, "mh long, ch long, ord long, th long, spot long")
+    return keyed.select("ord", "th", "t").mapInArrow(run, "mh long, place int, ch long, ord long, th long, spot long, kind int")
 
 
 def _cut_out(wanted: DataFrame, keyed: DataFrame, unique: bool) -> DataFrame:
     """Adds the bytes of each wanted context."""
-    lists = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("spot", "mh", "hot")).alias("w"))
+    lists = wanted.groupBy("ord", "th").agg(F.collect_list(F.struct("spot", "mh", "place", "dealt")).alias("w"))
     rows = keyed.select("ord", "th", "t")
     rows = rows if unique else rows.dropDuplicates(["ord", "th"])
     joined = rows.join(lists, ["ord", "th"]).select("ord", "th", "t", "w")
+    names = ["mh", "place", "dealt", "ord", "th", "spot", "c"]
 
     def run(batches):
         for b in batches:
@@ -217,87 +279,131 @@ def _cut_out(wanted: DataFrame, keyed: DataFrame, unique: bool) -> DataFrame:
                 text = data[np.repeat(s - (to - m), m) + np.arange(int(to[-1]))]
                 r = pa.array(row[first:end])
                 value = lambda f: w.values.field(f).slice(upto[0] + first, end - first)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([value("mh"), b.column(0).take(r), b.column(1).take(r), value("spot"), value("hot"), pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])], names=["mh", "ord", "th", "spot", "hot", "c"])
+                c = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
+                yield pa.RecordBatch.from_arrays([value("mh"), value("place"), value("dealt"), b.column(0).take(r), b.column(1).take(r), value("spot"), c], names=names)
                 first = end
 
-    return joined.mapInArrow(run, "mh long, ord long, th long, spot long, hot boolean, c binary")
-
-
-def _merged(cold: DataFrame, block_bytes: int) -> DataFrame:
-    """(ord, th, spot) of the repeats inside contexts, whole minimizers in each block."""
-
-    def blocks(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            while len(b):
-                mh = b.column(0).to_numpy()
-                off, _ = common.byte_view(b.column(4))
-                if size and mh[0] != held[-1].column(0)[len(held[-1]) - 1].as_py() and size >= block_bytes:
-                    yield pa.Table.from_batches(held)
-                    held, size = [], 0
-                # as far as the block goes, to the end of the minimizer there
-                stop = min(len(b), max(1, int(np.searchsorted(off - off[0], max(0, block_bytes - size), "left"))))
-                stop += int(np.argmax(np.append(mh[stop:] != mh[stop - 1], True)))
-                held.append(b.slice(0, stop))
-                size += int(off[stop] - off[0])
-                b = b.slice(stop)
-                if len(b):
-                    yield pa.Table.from_batches(held)
+    return joined.mapInArrow(run, "mh long, place int, dealt boolean, ord long, th long, spot long, c binary")
+
+
+def _blocks(batches, block_bytes: int):
+    """(table, False) of whole groups of equal (mh, place), and (table, True) of each part of a group that fills a block;
+    beyond the block's bytes a table holds no more than one batch."""
+    held: list[pa.RecordBatch] = []  # whole groups
+    part: list[pa.RecordBatch] = []  # the group that may go on
+    size = part_size = 0
+    last, parted = None, False
+
+    def bytes_of(b):
+        off, _ = common.byte_view(b.column(6))
+        return int(off[-1] - off[0])
+
+    for b in batches:
+        while len(b):
+            mh, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.append(np.flatnonzero((mh[1:] != mh[:-1]) | (place[1:] != place[:-1])) + 1, len(b))
+            key = mh[0], place[0]
+            if key != last:  # the group before has ended
+                if part and parted:
+                    yield pa.Table.from_batches(part), True
+                elif part:
+                    held, size = held + part, size + part_size
+                part, part_size, parted = [], 0, False
+                if size >= block_bytes:
+                    yield pa.Table.from_batches(held), False
                     held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held)
+                off, _ = common.byte_view(b.column(6))
+                at, begin = 0, int(edges[-2]) if len(edges) > 1 else 0
+                while at < begin:  # groups that end in this batch
+                    stop = int(np.searchsorted(off, off[at] + max(0, block_bytes - size), "left"))
+                    stop = int(edges[np.searchsorted(edges, min(begin, max(stop, at + 1)))])
+                    held.append(b.slice(at, stop - at))
+                    size += int(off[stop] - off[at])
+                    at = stop
+                    if size >= block_bytes:
+                        yield pa.Table.from_batches(held), False
+                        held, size = [], 0
+                now, b = b.slice(begin), b.slice(len(b))
+            else:
+                now, b = b.slice(0, int(edges[0])), b.slice(int(edges[0]))
+            part.append(now)
+            part_size += bytes_of(now)
+            last = now.column(0)[0].as_py(), now.column(1)[0].as_py()
+            if part_size >= block_bytes:
+                yield pa.Table.from_batches(part), True
+                part, part_size, parted = [], 0, True
+    if part and parted:
+        yield pa.Table.from_batches(part), True
+    elif part:
+        held += part
+    if held:
+        yield pa.Table.from_batches(held), False
+
+
+def _merged(cut: DataFrame, block_bytes: int) -> DataFrame:
+    """(ord, th, spot) of the repeats inside blocks, with null h1, h2; and of minimizers in several blocks one window of
+    each interval, with its hash."""
+    names = ["ord", "th", "spot", "h1", "h2"]
+
+    def left_over(data, off, o, th, spot, mine, row, pos, count):
+        """Windows of the contexts `mine` that no run (row, pos, count) takes, and their hashes."""
+        windows = np.where(mine, np.diff(off) - SPAN + 1, 0)
+        begin = np.cumsum(windows) - windows
+        free = np.ones(int(windows.sum()) + 1, np.int32)
+        gone = mine[row]
+        step = np.zeros(len(free), np.int32)
+        np.add.at(step, begin[row[gone]] + pos[gone], 1)
+        np.add.at(step, begin[row[gone]] + pos[gone] + count[gone], -1)
+        free = np.flatnonzero(np.cumsum(step)[:-1] == 0)
+        r = np.searchsorted(begin + windows, free, "right")
+        inner = free - begin[r]
+        at = off[:-1][r] + inner
+        prefix = common.prefix_hash(data)
+        h1 = common.span_hash(prefix, at, at + SPAN)
+        h2 = common.mix(common.span_hash(prefix, at, at + SPAN // 2) + U64(3) * common.span_hash(prefix, at + SPAN // 2, at + SPAN))
+        return o[r], th[r], ((spot[r] >> 8) + inner) * 256 + 1, h1.view(np.int64), h2.view(np.int64)
 
     def run(batches):
-        for t in blocks(batches):
+        for t, parted in _blocks(batches, block_bytes):
             c = t.column("c").combine_chunks()
             c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
             off, data = common.byte_view(c)
+            data, off = data[off[0] : off[-1]], off - off[0]
             o, th, spot = (t.column(x).to_numpy() for x in ("ord", "th", "spot"))
-            row, pos, count = repeats(data[off[0] : off[-1]], off - off[0], [o, th], spot >> 8)
-            yield pa.RecordBatch.from_arrays([pa.array(o[row]), pa.array(th[row]), pa.array(((spot[row] >> 8) + pos) * 256 + count)], names=["ord", "th", "spot"])
+            row, pos, count = repeats(data, off, [o, th], spot >> 8)
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(o[row]), pa.array(th[row]), pa.array(((spot[row] >> 8) + pos) * 256 + count), none, none], names=names)
+            mine = np.ones(len(o), bool) if parted else t.column("dealt").to_numpy()
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in left_over(data, off, o, th, spot, mine, row, pos, count)], names=names)
 
-    rows = cold.select("mh", "ord", "th", "spot", "c").repartition(common.partitions(cold.sparkSession), "mh").sortWithinPartitions("mh")
-    return rows.mapInArrow(run, "ord long, th long, spot long")
+    rows = cut.repartition(common.partitions(cut.sparkSession), "mh", "place").sortWithinPartitions("mh", "place")
+    return rows.select("mh", "place", "dealt", "ord", "th", "spot", "c").mapInArrow(run, "ord long, th long, spot long, h1 long, h2 long")
 
 
-def _hot(hot: DataFrame) -> DataFrame:
-    """(ord, th, spot) of the repeated windows of hot minimizers, one window each."""
-
-    def run(batches):
-        for b in batches:
-            for first, end, off, data in common.slices(b.column(3), 1 << 20):
-                size = np.diff(off) - SPAN + 1
-                row = np.repeat(np.arange(end - first), size)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                at = off[:-1][row] + inner
-                prefix = common.prefix_hash(data)
-                h = [common.span_hash(prefix, at, at + SPAN), common.mix(common.span_hash(prefix, at, at + SPAN // 2) + U64(3) * common.span_hash(prefix, at + SPAN // 2, at + SPAN))]
-                r = pa.array(row + first)
-                spot = ((b.column(2).to_numpy()[row + first] >> 8) + inner) * 256 + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in h] + [b.column(0).take(r), b.column(1).take(r), pa.array(spot)], names=["h1", "h2", "ord", "th", "spot"])
-
-    each = hot.select("ord", "th", "spot", "c").mapInArrow(run, "h1 long, h2 long, ord long, th long, spot long")
-    least = each.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(F.struct("ord", "th", "spot")).alias("first"))
-    both = each.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    return both.where(F.struct("ord", "th", "spot") != F.col("first")).select("ord", "th", "spot")
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = 10_000, block_bytes: int = 1 << 19) -> DataFrame:
-    """(ord, th, spot): runs of windows to remove; spot: start byte * 256 + number of windows (up to 77)."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = 1 << 19, together: int = TOGETHER, many: int = MANY) -> DataFrame:
+    """(ord, th, spot): runs of windows to remove; spot: start byte * 256 + number of windows (up to 61)."""
     keyed, unique = _keyed(docs, id_col, text)
-    parts = common.partitions(docs.sparkSession)
-    same = W.partitionBy("mh", "ch").orderBy("ord", "th", "spot")
-    group = W.partitionBy("mh")
-    met = _contexts(keyed).repartition(parts, "mh")
-    met = met.withColumn("first", (F.first("ord").over(same) == F.col("ord")) & (F.first("th").over(same) == F.col("th")) & (F.first("spot").over(same) == F.col("spot")))
-    met = met.withColumns({"lo": F.min("ch").over(group), "hi": F.max("ch").over(group), "kinds": F.sum(F.col("first").cast("int")).over(group)})
-    met = met.where(~F.col("first") | (F.col("lo") != F.col("hi"))).select("mh", "ord", "th", "spot", "first", (F.col("kinds") > hot).alias("hot"))
-    met = common.store(met)
-    again = met.where(~F.col("first")).select("ord", "th", "spot")
-    wanted = met.where("first").select("mh", "ord", "th", "spot", "hot").distinct() if not unique else met.where("first").select("mh", "ord", "th", "spot", "hot")
-    cut = common.store(_cut_out(wanted, keyed, unique))
-    return again.union(_merged(cut.where(~F.col("hot")), block_bytes)).union(_hot(cut.where("hot")))
+    spark = docs.sparkSession
+    with common.Tables(spark) as tables:
+        same = W.partitionBy("mh", "place", "ch").orderBy("ord", "th", "spot")
+        group = W.partitionBy("mh", "place")  # each task sends an equal context once
+        met = _contexts(keyed, together, many).repartition(common.partitions(spark), "mh", "place")
+        mine = F.when(F.col("kind") < WORD, F.col("ch"))
+        earliest = reduce(lambda a, b: a & b, (F.first(c).over(same) == F.col(c) for c in ("ord", "th", "spot")))
+        met = met.withColumn("first", (F.col("kind") < WORD) & earliest)
+        met = met.withColumns({"lo": F.min(mine).over(group), "hi": F.max(mine).over(group), "dealt": F.max(F.when(F.col("kind").isin(DEALT, WORD), True).otherwise(False)).over(group)})
+        wanted = F.col("first") & ((F.col("lo") != F.col("hi")) | F.col("dealt"))
+        met = met.where(f"kind != {WORD}").where(~F.col("first") | wanted).select("mh", "place", "ord", "th", "spot", "first", "dealt")
+        met = tables.store(met)
+        first = met.where("first").select("mh", "place", "ord", "th", "spot", "dealt")
+        cut = tables.store(_cut_out(first if unique else first.distinct(), keyed, unique))
+        merged = tables.store(_merged(cut, block_bytes))
+        found = met.where(~F.col("first")).select("ord", "th", "spot").union(merged.where("h1 is null").select("ord", "th", "spot"))
+        left = merged.where("h1 is not null")
+        least = left.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(F.struct("ord", "th", "spot")).alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        across = left.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.struct("ord", "th", "spot") != F.col("least"))
+        return common.store(found.union(across.select("ord", "th", "spot")))
 
 
 def _remaining(docs: DataFrame, id_col: str, text: str, fields: dict[str, str], make, **how) -> DataFrame:
