@@ -61,7 +61,7 @@ def encode(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 
 def write(docs: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text: str = "text", end: int = END, stripe: int = 8 << 20, stride: int = 5000, files: int | None = None) -> str:
-    """Writes (doc_id, ids) in ascending order of ids, over all files in the order of their names; returns the folder."""
+    """Writes (doc_id, ids) in ascending order of ids, over all files in the order of their numbers; returns the folder."""
     spark = docs.sparkSession
     path = path or f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).alias("doc_id"), common.as_bytes(text).alias("_text"))
@@ -81,22 +81,27 @@ def look_up(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files."""
-    stored = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
+    """doc_id, start (ids of all documents before it in the files), n_tokens, ids_crc32, from the files.
+
+    Files are in the order of the numbers that Spark's writer gives them, rows in that of the files."""
+    stored = read(spark, path).select("doc_id", "ids", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     def run(batches):
+        row = 0  # rows of a file's block come in their order, in one task
         for b in batches:
             lists = b.column(1)
+            at = pa.array(np.arange(row, row + len(b)))
+            row += len(b)
             off = lists.offsets.to_numpy().astype(np.int64)
             flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4"))
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), at, pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "block", "row", "n_tokens", "ids_crc32"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    rows = common.cut(stored.mapInArrow(run, f"doc_id {kind}, file string, n_tokens long, ids_crc32 long"))
+    rows = common.cut(stored.mapInArrow(run, f"doc_id {kind}, file long, block long, row long, n_tokens long, ids_crc32 long"))
     # files hold consecutive ranges: sums of files first, then inside each
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_sum"))
     files = files.select(F.col("file").alias("_file"), (F.sum("_sum").over(W.orderBy("file")) - F.col("_sum")).alias("_begin"))
-    inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens")
+    inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("block", "row").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens")
     out = rows.withColumn("_inside", inside).join(files, F.col("file") == F.col("_file"))
     return out.select("doc_id", (F.col("_begin") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
