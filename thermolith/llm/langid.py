@@ -3,7 +3,8 @@
 Text is read as UTF-8 bytes in fixed windows of 128.  Bytes are embedded, convolved by filters of several widths,
 rectified and max-pooled over the window; a softmax layer gives the language.  The network is trained in numpy by Adam
 on windows of a bounded sample: up to `per_lang` labelled documents of each language, chosen by hash, and up to
-`windows` windows of each.  Every label is learnt, however many there are; the sample grows with their number.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
+`windows` windows of each, `most` windows (of 128 bytes) in all, which bounds what the driver holds.  Every label is learnt,
+however many there are.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
 
 A softmax over the learnt languages is sure of one for any text, so `accepted` also asks how likely the text's byte pairs
 are in the language found (or, if they lie over FAR spreads off, in the nearest): the mean log-likelihood of a pair may lie
@@ -13,7 +14,9 @@ For prediction the embedding and the filters are multiplied out into tables over
 convolution becomes a few look-ups a byte.
 
 Null texts and texts without a letter are `und` with score 0.  With one language in the sample all others are that
-language; with none, `und`.  Null languages are never learnt from.  Ids, sources and labels are no inputs.
+language; with none, `und`.  Null languages are never learnt from.  Ids, sources and labels are no inputs: rows alike in
+text get the same language and score, and of languages with equal scores it is the first by name.  Very long texts are read
+whole, in parts.  An empty table gives no rows.  Other columns, whatever their names, are not read; `accepted` keeps them.
 """
 
 from __future__ import annotations
@@ -194,16 +197,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = 300, windows: int = 24) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, windows, labels): the bounded training sample, the same for the same documents."""
-    learn = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(4), id_col).alias("h"))
+def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = 300, windows: int = 24, most: int = 100_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, windows, labels): the bounded training sample, the same for the same documents.
+
+    With so many languages that these would have over `most` windows, all have fewer windows of each document, and if it
+    must be fewer documents; no language less than one."""
+    learn = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(4), id_col, text).alias("h"))
     counts = learn.groupBy("lang").count().orderBy("lang").collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.empty((0, WINDOW), np.int32), np.empty(0, np.int64)
+    windows = max(1, min(windows, most // (per_lang * len(langs))))
+    per_lang = max(1, min(per_lang, most // (windows * len(langs))))
     # rows under a hash limit that leaves about 1.5 times per_lang of each language, then the least of these
-    limit = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_lang / r["count"])))))
-    low = learn.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("lang")] * (1 << 30)).select("lang", "h", common.as_bytes("t").alias("t"))
+    known = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_lang / r["count"] + 30 / r["count"])) for r in counts], "lang string, part double")
+    low = learn.join(F.broadcast(known), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("part") * (1 << 30))  # a row for each label
+    picked: dict[str, list[int]] = {x: [] for x in langs}
+    for r in low.select("lang", "h").distinct().collect():
+        picked[r["lang"]].append(r["h"])
+    chosen = [(x, h) for x in langs for h in sorted(picked[x])[:per_lang]]
+    few = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
+    low = low.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", common.as_bytes("t").alias("t"))  # `most` rows or less
 
     def run(batches):
         for b in batches:
@@ -218,13 +232,9 @@ def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "
                 r = pa.array(row[chosen] + first)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.array(inner[chosen]), flat], names=["lang", "h", "i", "x"])
 
-    got = low.mapInArrow(run, "lang string, h long, i long, x binary").orderBy("h", "i", "x").limit(2 * per_lang * windows * len(langs)).collect()
-    number, seen = {x: i for i, x in enumerate(langs)}, {x: set() for x in langs}
-    kept = []
-    for r in got:
-        if r["h"] in seen[r["lang"]] or len(seen[r["lang"]]) < per_lang:
-            seen[r["lang"]].add(r["h"])
-            kept.append(r)
+    got = low.dropDuplicates(["lang", "h"]).mapInArrow(run, "lang string, h long, i long, x binary").collect()
+    number = {x: i for i, x in enumerate(langs)}
+    kept = sorted(got, key=lambda r: (r["h"], r["i"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in kept), "<u2").reshape(-1, WINDOW).astype(np.int32)
     return langs, x, np.array([number[r["lang"]] for r in kept], np.int64)
 
