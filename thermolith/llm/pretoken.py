@@ -7,6 +7,7 @@ keeps, and only words not met before are encoded.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -149,19 +150,16 @@ class Words:
 
 def encode_rows(texts: list[str], words: Words, bounds: Callable, special: dict[str, int], change: Callable[[str], str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array and the number of each text's ids.  Strings of `special` are single ids, found first."""
+    any_special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
     pieces, owner, fixed = [], [], []  # pieces of text; their rows; (piece before which it stands, row, id)
     for row, text in enumerate(texts):
-        rest = text
-        while special:
-            found = min(((rest.find(s), s) for s in special if s in rest), default=None)
-            if found is None:
-                break
-            at, s = found
-            pieces.append(rest[:at])
+        at = 0
+        for m in any_special.finditer(text) if any_special else ():
+            pieces.append(text[at : m.start()])
             owner.append(row)
-            fixed.append((len(pieces), row, special[s]))
-            rest = rest[at + len(s) :]
-        pieces.append(rest)
+            fixed.append((len(pieces), row, special[m[0]]))
+            at = m.end()
+        pieces.append(text[at:])
         owner.append(row)
     if change:
         pieces = [change(x) for x in pieces]
