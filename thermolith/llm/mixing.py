@@ -10,7 +10,9 @@ repeated pass by pass; the words before a document say when the demand reaches i
 training position.  The mix is range-sorted by position.  The last document of a source is cut so that the target is met.
 
 The seeded order is that of md5(seed, id).  Running sums are taken in two steps, over `slots` hash ranges of each source
-and inside them, so a source with a third of all rows is no single task.  Null texts have size 0 and are never taken.
+and inside them, so a source with a third of all rows is no single task; there are more ranges the more rows there are (at
+least 256), and their number changes no result.  The windows over the table of sources are one task: a row for each source,
+however many documents it has.  Null texts have size 0 and are never taken.
 Null sources come last, as a source of their own.  Rows alike in id are ordered by text hash; rows alike in both stand
 one after the other.  An empty table gives no rows.  Other columns are kept by `mix`.
 """
@@ -28,6 +30,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 
 
+#: Rows of a source that one task runs through, about.
+ROWS_A_SLOT = 250_000
+
+
 def words(text: str = "text") -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in a text; null: 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -73,9 +79,10 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     return rows.withColumn("_slot", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / (2**32 // slots)))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: int = 8, slots: int = 256) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: int = 8, slots: int | None = None) -> DataFrame:
     """A row for every row of `docs`: id, source, size, source_size, target, taken, and `turns`: an array of
     (pass, words, position) for each pass that takes any of it."""
+    slots = slots or max(256, 1 << (docs.count() // ROWS_A_SLOT).bit_length())
     rows = common.cut(sized(docs, id_col, text, source, seed, slots))
     parts = rows.groupBy("source", "_slot").agg(F.sum("size").alias("_part"))
     parts = parts.withColumn("_earlier", F.sum("_part").over(W.partitionBy("source").orderBy("_slot")) - F.col("_part"))
@@ -111,5 +118,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> D
         turns = turns.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_tie", "pass").orderBy("position")))
         rows = rows.withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.lit(0))))
         same &= (F.col("_tie2") == F.col("_tie")) & (F.col("_nth2") == F.col("_nth"))
-    both = rows.join(turns, same).repartitionByRange("position", "pass").sortWithinPartitions("position", "pass")
+    both = rows.join(turns, same).repartitionByRange("position", "pass", "_id2").sortWithinPartitions("position", "pass", "_id2")
     return both.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -49,7 +49,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", (F.rint(F.get("turns", F.lit(0))["position"] * 1e6) / 1e6).alias("position")).repartitionByRange("position").sortWithinPartitions("position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", (F.rint(F.get("turns", F.lit(0))["position"] * 1e6) / 1e6).alias("position")).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
