@@ -14,7 +14,7 @@ def quality_rules() -> str:
     good = " AND ".join(
         f"coalesce(({ratio(r)}) <= max(CASE WHEN f.rule = '{r.name}' THEN f.high END), true)" + (f" AND coalesce(({ratio(r)}) >= max(CASE WHEN f.rule = '{r.name}' THEN f.low END), true)" if r.low else "") for r in quality.RULES
     )
-    quart = lambda keys, n: f"""SELECT {keys}, rule, slack, min(CASE WHEN upto >= 0.25e0 * total THEN val END) AS q1, min(CASE WHEN upto >= 0.75e0 * total THEN val END) AS q3, any_value(total) AS total FROM (
+    quart = lambda keys, n: f"""SELECT {keys}, rule, slack, min(CASE WHEN upto >= 0.25e0 * total THEN val END) AS q1, min(CASE WHEN upto >= 0.5e0 * total THEN val END) AS q2, min(CASE WHEN upto >= 0.75e0 * total THEN val END) AS q3, any_value(total) AS total FROM (
         SELECT *, sum(n) OVER (PARTITION BY {keys}, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, rule) AS total, CASE WHEN bucket IS NULL THEN 0e0 ELSE pow({quality.GAMMA}e0, bucket) END AS val
         FROM (SELECT {keys}, rule, slack, b AS bucket, n FROM {n})) GROUP BY {keys}, rule, slack"""
     return rf"""WITH words AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
@@ -31,8 +31,9 @@ sketch AS MATERIALIZED (SELECT lang, source, rule, slack, CASE WHEN v > 0 THEN C
 fine AS (SELECT lang, source, rule, slack, coalesce(b0, -1099511627776) AS bb, n FROM sketch),
 own AS ({quart("lang, source", "(SELECT lang, source, rule, slack, CASE WHEN bb > -1000000 THEN bb END AS b, n FROM fine)").replace("ORDER BY bucket", "ORDER BY bucket NULLS FIRST")}),
 wide AS ({quart("lang", "(SELECT lang, rule, slack, CASE WHEN bb > -1000000 THEN bb END AS b, sum(n) AS n FROM fine GROUP BY ALL)").replace("ORDER BY bucket", "ORDER BY bucket NULLS FIRST")}),
-lean AS (SELECT o.lang, o.source, o.rule, o.slack, (o.q1 * o.total + w.q1 * 200e0) / (o.total + 200e0) AS q1, (o.q3 * o.total + w.q3 * 200e0) / (o.total + 200e0) AS q3 FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.rule = w.rule),
-f AS MATERIALIZED (SELECT lang, source, rule, q1 - greatest(slack, 6e0 * (q3 - q1)) AS low, q3 + greatest(slack, 6e0 * (q3 - q1)) AS high FROM lean)
+lean AS (SELECT o.lang, o.source, o.rule, o.slack, (o.q1 * o.total + w.q1 * 200e0) / (o.total + 200e0) AS q1, (o.q3 * o.total + w.q3 * 200e0) / (o.total + 200e0) AS q3, o.q2 AS m, least(o.q2 - o.q1, o.q3 - o.q2) AS near, w.q2 AS wm, least(w.q2 - w.q1, w.q3 - w.q2) AS wnear FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.rule = w.rule),
+away AS (SELECT *, greatest(slack, 6e0 * (q3 - q1)) AS width, near + greatest(slack, 12e0 * near) AS a, wnear + greatest(slack, 12e0 * wnear) AS wa FROM lean),
+f AS MATERIALIZED (SELECT lang, source, rule, greatest(q1 - width, least(m - a, wm - wa)) AS low, least(q3 + width, greatest(m + a, wm + wa)) AS high FROM away)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {good} AS kept, b.lang, b.source
 FROM base b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 GROUP BY b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, b.lang, b.source"""

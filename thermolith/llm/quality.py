@@ -48,7 +48,7 @@ RULES = (
     Rule("symbols", "n_symbols", "word_chars", 0.05),
     Rule("dup_lines", "n_dup_lines", "n_lines", 0.35),
     Rule("repeats", "n_repeat_words", "n_words", 0.35),
-    Rule("word_length", "word_chars", "n_words", 3.0, True),
+    Rule("word_length", "word_chars", "n_words", 1.5, True),
 )
 GAMMA = 1.02
 
