@@ -221,12 +221,14 @@ def crossing(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
     return np.concatenate(out[0]) if out[0] else np.empty(0, np.int64), np.concatenate(out[1]) if out[1] else np.empty(0, np.int64)
 
 
-def cross_links(tables: common.Tables, open_keys: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
-    """Links (a, b) between labels, for pairs of classes of different labels in the clusters that rows (key, node, label) connect."""
-    firsts = open_keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("_n"))
-    edges = common.spread(open_keys.select("key", "node"), firsts, ["key"], "_n", open_keys.count())
-    clusters = components(edges.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("cluster"))
-    members = tables.store(open_keys.select("node", "label").distinct().join(clusters, "node"))
+def cross_links(tables: common.Tables, nodes: DataFrame, met_labels: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
+    """Links (a, b) between labels, for pairs of classes of different labels in the clusters that rows (key, label) connect;
+    `nodes` are the classes (node, label)."""
+    firsts = met_labels.groupBy("key").agg(F.min("label").alias("first"))
+    edges = met_labels.join(firsts, "key").where("first != label").select(F.col("first").alias("a"), F.col("label").alias("b"))
+    clusters = components(edges).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    clusters = clusters.join(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), "label")
+    members = tables.store(common.spread(nodes, clusters, ["label"], "_n", nodes.count()).select("node", "label", "cluster"))
     sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
     sizes = sizes.select("cluster", "main", "m", F.ceil(F.col("m") / right_block).alias("rights"), F.ceil((F.col("m") - F.col("most")) / left_block).alias("lefts"))
@@ -319,12 +321,16 @@ def _verdicts(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
         links = tables.store(confirmed(pairs, known, width, percent))
         found = components(links)
         labelled = tables.store(met.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+        nodes = tables.store(labelled.select("node", "label").distinct())
         mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi and _n > 2")  # two classes have been compared
-        open_keys = tables.store(common.spread(labelled, mixed, ["key"], "_n", total).select("key", "node", "label"))
-        if not open_keys.isEmpty():  # components of components
-            above = components(cross_links(tables, open_keys, known, width, percent)).select(F.col("node").alias("_low"), F.col("component").alias("_high"))
-            joined = found.join(above, F.col("component") == F.col("_low"), "full")
-            found = tables.store(joined.select(F.coalesce("node", "_low").alias("node"), F.coalesce("_high", "component").alias("component")).distinct())
+        met_labels = tables.store(labelled.select("key", "label").distinct().join(mixed.select("key"), "key"))
+        renamed = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        if not met_labels.isEmpty():  # components of components
+            above = components(cross_links(tables, nodes, met_labels, known, width, percent)).select(F.col("node").alias("label"), F.col("component").alias("above"))
+            renamed = renamed.join(above, "label", "left").withColumn("component", F.coalesce("above", "label"))
+        else:
+            renamed = renamed.withColumn("component", F.col("label"))
+        found = tables.store(common.spread(nodes, renamed, ["label"], "_n", nodes.count()).select("node", "component"))
         # a component's number is its least id
         linked = classes.select("node", "rep", "k1", "k2").join(found, "node")
         least = linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n"))
