@@ -574,13 +574,6 @@ def test_long_text(spark):
     assert {x["kept"] for x in minhash.near_duplicates(df, width=2).collect()} <= {True, False}
 
 
-def test_release(spark, docs):
-    kept = common.store(docs.select("doc_id"))
-    assert kept.count() == docs.count()
-    common.release(spark)
-    assert not common._stored
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
