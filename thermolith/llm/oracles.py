@@ -74,6 +74,42 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
 
 
+def periodic_runs() -> str:
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return rf"""WITH RECURSIVE crc_steps(i, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) t(i) UNION ALL SELECT i, {step}, k + 1 FROM crc_steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+base AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS BIGINT) AS h FROM documents, crc),
+planned AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM base),
+words AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM planned),
+pos AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM words),
+same AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+run AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM stretch GROUP BY doc_id, s, l),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS DECIMAL(18,0)) * 1000000000 // q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+text_of AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id)
+SELECT w.doc_id, coalesce(r.n, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(r.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM words w LEFT JOIN best b USING (doc_id) LEFT JOIN text_of r USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+def block_norm(rounds: int = 10) -> str:
+    """Lloyd's rounds over whole squared distances; doubles hold these exactly."""
+    near = "(SELECT vec_id, n, x, k, d FROM (SELECT v.vec_id, v.n, v.x, c.k, list_dot_product(v.x, v.x) + list_dot_product(c.x, c.x) - 2 * list_dot_product(v.x, c.x) AS d FROM v, c{0} c) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, k) = 1)"
+    out = """WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8)"""
+    for r in range(rounds):
+        out += f""",
+a{r} AS MATERIALIZED {near.format(r)},
+m{r} AS (SELECT k, list(floor(s / n) ORDER BY i) AS x FROM (SELECT k, i, sum(y) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY k, i) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.k = m.k)"""
+    return out + f""",
+last AS MATERIALIZED {near.format(rounds)}
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256 FROM last a JOIN c{rounds} c ON a.k = c.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     assert mixing.WEIGHTS == (5.0, 2.0, 1.0)
-    return {"op1_quality_rules": quality_rules(), "op2_minhash": near_duplicates(), "op8_mixing": mixed(), "op10_topk": top_k()}
+    return {"op12_periodic_runs": periodic_runs(), "op13_blocknorm": block_norm(), "op1_quality_rules": quality_rules(), "op2_minhash": near_duplicates(), "op8_mixing": mixed(), "op10_topk": top_k()}

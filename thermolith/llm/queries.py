@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_extract, langid, minhash, mixing, oracles, quality, sharding, suffix_dedup, token_store, topk
+from . import blocknorm, bpe, common, html_extract, langid, minhash, mixing, oracles, periodic, piece_bpe, quality, sharding, suffix_dedup, token_store, topk
 
 SHARDS = 8
 
@@ -61,6 +61,38 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by crc32 of the id, with a periodic end: from word a on the next p words repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.concat_ws(" ", F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(with_periods(common.table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period", F.floor(1000 * F.col("strongest.length") / F.col("strongest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_blocknorm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    centroids = blocknorm.fit(vectors)
+    return blocknorm.with_inertia(blocknorm.assign(vectors, centroids), centroids)
+
+
 def oracle_sql() -> dict[str, str]:
     return oracles.oracle_sql()
 
