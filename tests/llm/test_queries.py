@@ -28,4 +28,4 @@ def test_query(spark, key):
         duck = duckdb.connect()
         for t in ("documents", "embeddings"):
             duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-        assert cells(got) == cells(duck.execute(SQL[key]).fetch_arrow_table())
+        assert cells(got) == cells(duck.execute(SQL[key]).to_arrow_table())
