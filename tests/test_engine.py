@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from thermolith import schema
 from thermolith.config import EngineConfig
 from thermolith.functions import metrics, numeric, text
-from thermolith.operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, table
+from thermolith.operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, selection, table
 from thermolith.sources import cubes, iamc, params
 
 TS = schema.SCENARIO_TS
@@ -226,7 +226,7 @@ def test_maps_against_brute_force(spark):
         knots_of[float(lat)] = [(g, round(r.uniform(0, 9), 3)) for g in levels]
         raster += [("i", float(lat), 0.0, g, v) for g, v in knots_of[float(lat)]]
     years = [(2020 + k, round(r.uniform(0.9, 3.2), 3)) for k in range(60)]
-    rows = maps.emulate(path(spark, [("m", "s", "SSP1", y, g) for y, g in years]), spark.createDataFrame(raster, RASTER), config=EngineConfig(temp_min=0.0, temp_max=9.0)).collect()
+    rows = maps.emulate(path(spark, [("m", "s", "SSP1", y, g) for y, g in years]), spark.createDataFrame(raster, RASTER), config=EngineConfig(temp_min=0.0, temp_max=9.0), bridge=True).collect()
     assert len(rows) == 12 * 60
     low, high = min(x[3] for x in raster), max(x[3] for x in raster)
     for x in rows:
@@ -416,3 +416,87 @@ def test_joins_stay_equi(spark):
     plan = table.emulate(p, k)._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.splitlines() if "NestedLoopJoin" in x and "Inner" in x]
     assert len(joins) <= 2  # the one-row tables of axes
+
+
+@pytest.mark.parametrize("q", [(0.0, 0.25, 0.5, 0.75), (0.1, 1.0), (0.5,)])
+def test_quantiles_by_selection(spark, q):
+    r = np.random.default_rng(3)
+    rows = [(int(g) if g else None, float(v) if r.random() > 0.05 else None, float(v) ** 3) for g, v in zip(r.integers(0, 4, 2000), r.normal(size=2000).round(2), strict=True)]
+    rows += [(9, None, 1.0), (10, 2.5, float("nan")), (11, -0.0, float("inf")), (11, 0.0, -float("inf")), (12, 5e-324, 1e307), (12, -5e-324, -1e307)]
+    got = {(x["g"], x["variable"]): x["quantiles"] for x in selection.quantiles(spark.createDataFrame(rows, "g int, a double, b double").repartition(3), ["g"], ["a", "b"], q).collect()}
+    of = lambda g, v: [x for r in rows if r[0] == g and (x := r["ab".index(v) + 1]) is not None and x == x]
+    assert set(got) == {(g, v) for g in (None, 1, 2, 3, 9, 10, 11, 12) for v in "ab" if of(g, v)}
+    for (g, v), found in got.items():
+        if g != 11:
+            assert found == pytest.approx(list(np.quantile(of(g, v), q)), rel=1e-12, abs=1e-300)
+    with pytest.raises(ValueError, match="between"):
+        selection.quantiles(spark.range(1), [], ["id"], (1.5,))
+
+
+def test_bits_are_in_the_order_of_numbers(spark):
+    x = [float(a) for k in range(-1074, 1024, 13) for a in (2.0**k, -(2.0**k), np.nextafter(2.0**k, 0), np.nextafter(2.0**k, 9e999))] + [0.0, -0.0, float("inf"), -float("inf"), 1.7976931348623157e308]
+    want = lambda v: (-1 if v < 0 else 1) * int(np.float64(abs(v)).view(np.int64))
+    assert all(r["b"] == want(r["x"]) for r in spark.createDataFrame([(v,) for v in x], "x double").select("x", selection.ordered_bits(F.col("x")).alias("b")).collect())
+    assert spark.createDataFrame([(None,), (float("nan"),)], "x double").select(selection.ordered_bits(F.col("x")).alias("b")).where("b is not null").count() == 0
+
+
+def test_maps_with_levels_that_cells_lack(spark):
+    """A level without a row or without a value gives none on both sides of it, but its neighbours keep theirs."""
+    raster = spark.createDataFrame([("i", 0.0, 0.0, 1.0, 10.0), ("i", 0.0, 0.0, 2.0, None), ("i", 0.0, 0.0, 3.0, 30.0), ("i", 1.0, 0.0, 1.0, 1.0), ("i", 1.0, 0.0, 3.0, 3.0)], RASTER)
+    p = path(spark, [("m", "s", "SSP1", 2020 + k, g) for k, g in enumerate((1.0, 1.5, 2.0, 2.5, 3.0))])
+    free = EngineConfig(temp_min=0.0, temp_max=9.0)
+    assert values(maps.emulate(p, raster, config=free), "lat", "year", "value") == [(la, 2020 + k, v) for la, v5 in ((0.0, (10.0, None, None, None, 30.0)), (1.0, (1.0, None, None, None, 3.0))) for k, v in enumerate(v5)]
+    assert values(maps.emulate(p, raster, config=free, bridge=True), "lat", "year", "value") == [(la, 2020 + k, g * s) for la, s in ((0.0, 10.0), (1.0, 1.0)) for k, g in enumerate((1.0, 1.5, 2.0, 2.5, 3.0))]
+    masked = maps.emulate(p, raster, config=EngineConfig(temp_min=2.0, temp_max=9.0), masked=False)
+    assert masked.count() == 6 and masked.where("status <> 'ok'").count() == 0
+
+
+def test_only_needed_levels_are_opened(spark, tmp_path):
+    raster = spark.createDataFrame([("i", float(la), 0.0, g, g * la) for la in range(4) for g in (1.0, 1.5, 2.0, 2.5, 3.0)], RASTER)
+    to = str(tmp_path / "levels")
+    cubes.write_levels(schema.raster_impacts(raster), to)
+    part, axes = cubes.read_levels(spark, to)
+    assert axes.collect() == [("i", [1.0, 1.5, 2.0, 2.5, 3.0])]
+    p = path(spark, [("m", "s", "SSP1", 2020, 1.6), ("m", "s", "SSP1", 2030, 1.5)])
+    out = maps.emulate(p, part, axes=axes)
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
+    for f in (tmp_path / "levels" / "indicator=i").glob("gwl=[23]*/*.parquet"):
+        if "gwl=2.0" not in str(f):
+            f.write_bytes(b"not a Parquet file")  # would fail if opened
+    assert values(out, "lat", "year", "value") == [(float(la), y, pytest.approx(g * la)) for la in range(4) for y, g in ((2020, 1.6), (2030, 1.5))]
+
+
+def test_files_grow_with_rows_and_keep_places(spark, tmp_path):
+    """One indicator has as many files as the shuffle has parts, sorted by place."""
+    big = spark.range(4000).select(F.lit("i").alias("indicator"), (F.col("id") % 200).cast("double").alias("lat"), F.floor(F.col("id") / 200).cast("double").alias("lon"), F.lit(1.0).alias("gwl"), F.rand(1).alias("value"))
+    cubes.write(big, str(tmp_path / "r"), files=5)
+    files = sorted((tmp_path / "r" / "indicator=i").glob("*.parquet"))
+    assert len(files) == 5
+    ends = sorted((x["a"], x["b"]) for x in spark.read.parquet(str(tmp_path / "r")).groupBy(F.col("_metadata.file_path")).agg(F.min("lat").alias("a"), F.max("lat").alias("b")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_dense_cubes_are_made_by_several_tasks(spark):
+    k = spark.range(300).select(F.lit("i").alias("indicator"), (F.col("id") % 60).cast("int").alias("gwl_c"), (F.col("id") % 50).cast("int").alias("year"), F.lit("SSP1").alias("ssp"), F.concat(F.lit("r"), F.col("id") % 20).alias("region"), F.lit(1.0).alias("value"))
+    out = cube.dense(k.dropDuplicates(["gwl_c", "year", "region"]))
+    assert out.count() == 60 * 50 * 20 and out.select("gwl_c", "year", "ssp", "region").distinct().count() == 60 * 50 * 20 and out.where("value is not null").count() == 300
+    assert cube.dense(k.where("false")).count() == 0
+
+
+def test_preprocess_is_one_scan(spark, tmp_path):
+    for n in range(30):
+        spark.createDataFrame([("i", "r", "SSP1", g, 2020, float(n)) for g in (1.0, 2.0)], "indicator string, region string, ssp string, gwl double, year int, value double").coalesce(1).write.parquet(str(tmp_path / f"f_{n}.parquet"))
+    named = lambda df: df.withColumn("region", F.regexp_extract("_file", r"f_(\d+)", 1))
+    out = cubes.region_cube(spark, [str(tmp_path / f"f_{n}.parquet") for n in range(30)], preprocess=named, check=False)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {(int(r["region"]), r["value"]) for r in out.collect()} == {(n, float(n)) for n in range(30)}
+
+
+def test_files_of_chosen_levels(spark, tmp_path):
+    for g in ("1p5", "2p0", "2p5"):
+        spark.createDataFrame([(0.0, 1.0, 2.0)], "lat double, lon double, value double").write.parquet(str(tmp_path / f"cdd_{g}.parquet"))
+    pattern = r"(?P<indicator>cdd)_(?P<gwl>\d+p\d+)\.parquet"
+    assert values(cubes.raster_by_level(spark, [str(tmp_path / "cdd*.parquet")], pattern, levels=[1.5, 2.5]), "gwl") == [(1.5,), (2.5,)]
+    with pytest.raises(ValueError, match="no file"):
+        cubes.raster_by_level(spark, [str(tmp_path / "cdd*.parquet")], pattern, levels=[9.0])
+    assert cubes.discover(spark, f"{tmp_path}/{{x}}.nothing") == []

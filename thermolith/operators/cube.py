@@ -10,6 +10,8 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import numeric
 
 SERIES = ["indicator", "unit", "region", "ssp"]
+#: Combinations of axis values that are made from one row.
+BLOCK = 10_000
 
 
 def from_impacts(df: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -51,26 +53,6 @@ def pieces(knots: DataFrame, keys: list[str], smooth: float | None = None) -> Da
     return inner.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull() & (x["lo_c"] < x["hi_c"]))).alias("p")).select(*keys, "p.*")
 
 
-def covering(knots: DataFrame, keys: list[str], axis: DataFrame) -> DataFrame:
-    """`pieces`, and pieces without a value where a series has no knots, between the ends `first_c` and `last_c` of `axis`
-    (one row): each level of the axis lies in just one piece of each series, whatever knots it lacks."""
-    w = W.partitionBy(*keys).orderBy(F.col("value").isNull(), "gwl")
-    known = F.col("value").isNotNull()
-    k = knots.select(*keys, F.when(known, F.col("gwl")).alias("g0"), F.col("value").alias("v0"), F.lead(F.when(known, F.col("gwl"))).over(w).alias("g1"), F.lead("value").over(w).alias("v1"), (F.row_number().over(w) == 1).alias("head"))
-    k = k.where("v0 is not null or head").crossJoin(F.broadcast(axis.select("first_c", "last_c")))  # one row
-    cell = lambda g, f: f(numeric.half_even(F.col(g) * 100, 6)).cast("int")
-    lo, hi = cell("g0", F.ceil), F.coalesce(cell("g1", F.ceil), cell("g0", F.floor) + 1)
-    none = F.lit(None).cast("double")
-    part = lambda a, b, *x: F.struct(*(c.alias(n) for c, n in zip(x or (none,) * 4, ("g0", "v0", "g1", "v1"), strict=True)), a.alias("lo_c"), b.alias("hi_c"))
-    end = F.col("last_c") + 1
-    parts = F.array(
-        F.when(F.col("v0").isNotNull(), part(lo, hi, F.col("g0"), F.col("v0"), F.col("g1"), F.col("v1"))),
-        F.when(F.col("head"), part(F.col("first_c"), F.coalesce(lo, end))),
-        F.when(F.col("v0").isNotNull() & F.col("g1").isNull(), part(hi, end)),
-    )
-    return k.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull() & (x["lo_c"] < x["hi_c"]))).alias("p")).select(*keys, "p.*")
-
-
 def value_at(level_c: str = "gwl_c") -> F.Column:
     """Value of a piece at a level in hundredths."""
     g = F.col(level_c) / 100.0
@@ -93,12 +75,24 @@ def prepare(impacts: DataFrame, first: int, last: int, keys: list[str] | None =
 
 
 def dense(df: DataFrame, axes: tuple[str, ...] = ("gwl_c", "year", "ssp", "region"), by: tuple[str, ...] = ("indicator",)) -> DataFrame:
-    """Each group's rows at every combination of its own axis values, null where there is none.  Axes are bounded by their
-    nature (levels, years, SSPs, regions), their combinations are the cube itself."""
-    out = df.groupBy(*by).agg(*(F.collect_set(a).alias(a) for a in axes))
+    """Each group's rows at every combination of its own axis values, null where there is none.
+
+    Axes are bounded by their nature (levels, years, SSPs, regions); their combinations, the cube itself, are numbered: a group's
+    numbers are cut into blocks that are spread over the tasks, and a number's digits, with the axes' sizes as their bases, say
+    which value of each axis it has.  So tasks grow with the rows, not with the groups."""
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.groupBy(*by).agg(*(F.sort_array(F.collect_set(a)).alias(f"_{a}") for a in axes))
+    size = F.lit(1).cast("long")
+    for a in axes:
+        size = size * F.size(f"_{a}")
+    blocks = found.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / BLOCK)))).repartition(spread, *by, "_block")
+    # where there is no value of an axis at all there is no combination
+    numbered = blocks.where(size > 0).withColumn("_n", F.explode(F.sequence(F.col("_block") * BLOCK, F.least(size, (F.col("_block") + 1) * BLOCK) - 1)))
+    out, rest = [], F.col("_n")
     for a in axes:
-        out = out.withColumn(a, F.explode(a))
-    return out.join(df.select(*by, *axes, "value"), [*by, *axes], "left")
+        out.append(F.get(f"_{a}", (rest % F.size(f"_{a}")).cast("int")).alias(a))
+        rest = F.floor(rest / F.size(f"_{a}"))
+    return numbered.select(*by, *out).join(df.select(*by, *axes, "value"), [*by, *axes], "left")
 
 
 def align(a: DataFrame, b: DataFrame, on: tuple[str, ...], names: tuple[str, str]) -> DataFrame:

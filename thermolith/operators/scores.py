@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from . import selection
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75)
 
@@ -17,7 +18,7 @@ def zscore(df: DataFrame, future: str = "future", hist: str = "hist", std: str =
 
 def quartiles(df: DataFrame, keys: list[str], value: str = "value", q: tuple[float, ...] = QUARTILES) -> DataFrame:
     """Exact quantiles with linear interpolation, as an array."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(x) for x in q))).alias("quartiles"))
+    return selection.quantiles(df, keys, [value], q, "quartiles").drop("variable")
 
 
 def binned(df: DataFrame, edges: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -34,8 +35,9 @@ def bivariate(df: DataFrame, keys: list[str], level: str = "future", fixed: dict
     """Adds z_score, level_score and their sum, scored by the quartiles of each group of `keys`.
 
     Indicators in `fixed` have their level scored by these edges instead."""
-    scored = binned(df, quartiles(df, keys, "z"), keys, "z", "z_score")
-    scored = binned(scored, quartiles(df, keys, level), keys, level, "level_score")
+    edges = selection.quantiles(df, keys, ["z", level], QUARTILES, "quartiles")
+    of = lambda v: edges.where(F.col("variable") == v).drop("variable")
+    scored = binned(binned(df, of("z"), keys, "z", "z_score"), of(level), keys, level, "level_score")
     for indicator, edges in (fixed or {}).items():
         own = numeric.piecewise_bin(F.col(level), [F.lit(float(x)) for x in edges])
         scored = scored.withColumn("level_score", F.when(F.col("indicator") == indicator, own).otherwise(F.col("level_score")))

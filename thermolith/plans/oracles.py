@@ -56,7 +56,8 @@ TABLES = {
     "own": "SELECT model, scenario, max(gwl) AS max_gwl, min(gwl) AS min_gwl, arg_max(gwl, year) AS last_gwl FROM asked GROUP BY ALL",
     "bound": "SELECT o.*, d.data_min, d.data_max, CASE WHEN max_gwl > data_max THEN data_max ELSE 3.5e0 END AS high, CASE WHEN min_gwl < data_min THEN data_min ELSE 1.2e0 END AS low FROM own o, (SELECT min(gwl) AS data_min, max(gwl) AS data_max FROM raster) d",
     "tmap": "SELECT t.*, CASE WHEN t.gwl > b.high THEN 'above' WHEN t.gwl < b.low THEN 'below' ELSE 'ok' END AS status FROM asked t JOIN bound b USING (model, scenario)",
-    "rseg": "SELECT *, lead(gwl) OVER w AS g1, lead(value) OVER w AS v1 FROM raster WHERE value IS NOT NULL WINDOW w AS (PARTITION BY indicator, lat, lon ORDER BY gwl)",
+    "steps": "SELECT indicator, gwl, lead(gwl) OVER (PARTITION BY indicator ORDER BY gwl) AS g1 FROM (SELECT DISTINCT indicator, gwl FROM raster)",
+    "rseg": "SELECT r.*, s.g1, n.value AS v1 FROM raster r JOIN steps s USING (indicator, gwl) LEFT JOIN raster n ON n.indicator = r.indicator AND n.lat = r.lat AND n.lon = r.lon AND n.gwl = s.g1",
     "maps": """SELECT t.model, t.scenario, c.indicator, c.lat, c.lon, t.year, t.gwl, CASE WHEN t.status <> 'ok' THEN NULL WHEN t.gwl = s.gwl THEN s.value ELSE s.value + (s.v1 - s.value) * ((t.gwl - s.gwl) / (s.g1 - s.gwl)) END AS value, t.status
         FROM tmap t CROSS JOIN (SELECT DISTINCT indicator, lat, lon FROM raster) c LEFT JOIN rseg s ON s.indicator = c.indicator AND s.lat = c.lat AND s.lon = c.lon AND t.gwl >= s.gwl AND (t.gwl < s.g1 OR s.g1 IS NULL AND t.gwl = s.gwl)""",
     "next": "SELECT *, lead(year) OVER w AS y1, lead(value) OVER w AS v1 FROM maps WINDOW w AS (PARTITION BY model, scenario, indicator, lat, lon ORDER BY year)",
@@ -75,11 +76,16 @@ TABLES = {
 }
 NEEDS = {
     "resolved": ["meta"], "path": ["scen", "resolved"], "everything": ["facts"], "cube": ["everything"], "sparse": ["everything"], "raster": ["cells"], "impacts": ["cube"], "seg": ["cube"], "grid": ["seg"], "levels": ["path", "grid"], "years": ["path", "cube"], "targets": ["path", "levels", "years"],
-    "looked": ["targets", "grid"], "tab": ["looked"], "two": ["path"], "asked": ["two"], "own": ["asked"], "bound": ["own", "raster"], "tmap": ["asked", "bound"], "rseg": ["raster"], "maps": ["tmap", "rseg", "raster"], "next": ["maps"],
+    "looked": ["targets", "grid"], "tab": ["looked"], "two": ["path"], "asked": ["two"], "own": ["asked"], "bound": ["own", "raster"], "tmap": ["asked", "bound"], "steps": ["raster"], "rseg": ["raster", "steps"], "maps": ["tmap", "rseg", "raster"], "next": ["maps"],
     "cseg": ["co2"], "annual": ["cseg"], "cum": ["annual"], "points": ["cum", "path"], "line": ["points"], "sc": ["raster"], "z": ["sc"],
 }
 
 
+#: Rasters with gaps: rows of a level on half the cells, values of another on a third.
+_GAPS = f"SELECT k.indicator, g.lat, g.lon, g.gwl, g.gwl_c, CASE WHEN NOT (g.gwl = 1.5 AND g.lon % 3 = 0) THEN {_PICK} END AS value FROM cells g, {_MELT} k WHERE NOT (g.gwl = 2.5 AND g.lat > 0)"
+GAPS = {"raster": (_GAPS, ["cells"])}
+BRIDGED = GAPS | {"rseg": ("SELECT *, lead(gwl) OVER w AS g1, lead(value) OVER w AS v1 FROM raster WHERE value IS NOT NULL WINDOW w AS (PARTITION BY indicator, lat, lon ORDER BY gwl)", ["raster"])}
+
 #: A path from cumulative CO2 in place of the temperatures.
 CO2_PATH = {"path": ("SELECT c.model, c.scenario, m.ssp_family AS ssp, c.year, round_even((0.0005099869587542405e0 * c.value + 1.3024249460191835e0) * 1e3, 0) / 1e3 AS gwl FROM cum c JOIN resolved m USING (model, scenario) WHERE c.year % 10 = 0", ["cum", "resolved"])}
 
@@ -188,6 +194,10 @@ def oracle_sql() -> dict[str, str]:
         "table_emulation_from_co2": w("looked", f"SELECT model, scenario, region, 'Climate impacts|' || indicator AS variable, unit, cube_year AS year, {r('avg(value)')} AS value FROM looked GROUP BY ALL", CO2_PATH),
         "missing_ssps": w("path", "SELECT DISTINCT ssp FROM path WHERE ssp = 'SSP1'"),
         "map_emulation_multi_scenario": w("maps", f"SELECT {MAP} FROM maps", DECADES),
+        "map_emulation_null_levels": w("maps", f"SELECT {MAP} FROM maps", DECADES | GAPS),
+        "map_emulation_bridged_levels": w("maps", f"SELECT {MAP} FROM maps", DECADES | BRIDGED),
+        "map_emulation_by_level": w("maps steps", f"""SELECT {MAP} FROM maps m WHERE status = 'ok' AND EXISTS (SELECT 1 FROM raster r WHERE r.indicator = m.indicator AND r.lat = m.lat AND r.lon = m.lon AND r.gwl IN (
+            SELECT unnest([s.gwl, CASE WHEN t.gwl > s.gwl THEN s.g1 ELSE s.gwl END]) FROM tmap t JOIN steps s ON t.gwl = s.gwl OR t.gwl > s.gwl AND t.gwl < s.g1 WHERE t.status = 'ok'))""", DECADES),
         "map_emulation_multi_indicator": w("maps", "SELECT model, scenario, lat, lon, year, " + ", ".join(f"{r(f"max(CASE WHEN indicator = '{i}' THEN value END)")} AS {i}" for i in ("discount", "price", "quantity")) + " FROM maps GROUP BY ALL", DECADES),
         "map_scenario_columns": w("maps", "SELECT indicator, lat, lon, year, " + ", ".join(f"""{r(f"max(CASE WHEN model = '{m}' AND scenario = '{p}' THEN value END)")} AS "{x}\"""" for x, (m, p) in _LABELS.items()) + " FROM maps GROUP BY ALL", DECADES),
         "map_range_mask_999": w("maps", f"SELECT model, scenario, indicator, year, status, count(*) AS cells, count(v) AS valued, {r('min(v)')} AS low, {r('max(v)')} AS high FROM (SELECT *, CASE WHEN status <> 'ok' THEN 999e0 ELSE value END AS v FROM maps) GROUP BY ALL", DECADES),

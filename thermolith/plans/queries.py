@@ -295,6 +295,33 @@ def map_emulation_multi_scenario(s, d):
     return _maps(s, d).withColumn("value", r("value"))
 
 
+def _with_gaps(s, d):
+    """The raster without rows of one level on half its cells, and with null values at another on a third."""
+    g = fx.raster(s, d)
+    return g.where("not (gwl = 2.5 and lat > 0)").withColumn("value", F.when(~((F.col("gwl") == 1.5) & (F.col("lon") % 3 == 0)), F.col("value")))
+
+
+@query
+def map_emulation_null_levels(s, d):
+    """Levels that a cell lacks, as a row or as a value, are not crossed."""
+    return maps.emulate(path(s, d), _with_gaps(s, d), DECADES).withColumn("value", r("value"))
+
+
+@query
+def map_emulation_bridged_levels(s, d):
+    """Levels that a cell lacks are crossed from one that it has to the next."""
+    return maps.emulate(path(s, d), _with_gaps(s, d), DECADES, bridge=True).withColumn("value", r("value"))
+
+
+@query
+def map_emulation_by_level(s, d):
+    """From a raster in a folder for each level, of which only those that a pathway needs are read."""
+    to = scratch.folder(s, "levels")
+    cubes.write_levels(fx.raster(s, d), to)
+    raster, axes = cubes.read_levels(s, to)
+    return maps.emulate(path(s, d), raster, DECADES, axes=axes, masked=False).withColumn("value", r("value"))
+
+
 @query
 def map_emulation_multi_indicator(s, d):
     """A column for each indicator."""

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the cluster's checkpoints, or in the warehouse where no folder is set for these."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from files, which outlive any executor."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
