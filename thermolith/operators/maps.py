@@ -51,8 +51,9 @@ def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None,
     are not made at all.  With `strict` only one scenario or one indicator may have several of the other.
 
     With `axes` (the levels by indicator, known from elsewhere, such as folder names) only rows of levels that a pathway needs
-    are taken, by a semi join on `level` (the level as text, a folder's name) or gwl: where the raster is partitioned by `level`,
-    other files are not opened.  Cells are then those of the levels taken.
+    are taken.  A job over the pathways finds these levels, and they become a filter on `level` (the level as text, a
+    folder's name) or gwl: where the raster is partitioned by it, other files are not opened.  Cells are then those of the
+    levels taken.
 
     Each cell becomes one row, a map from its levels to values, where it stands after one shuffle by cell.  Cells are salted, and
     the pathways, small beside the maps made of them, go to every salt of an indicator: an equality join whose pairs all are
@@ -66,9 +67,9 @@ def emulate(path: DataFrame, raster: DataFrame, years: list[int] | None = None,
         if t.where(F.col("gwl_c") % step != 0).limit(1).count():
             raise ValueError(f"levels off the grid of {config.resolution}")
     if axes is not None:
-        # no more rows than the axes have levels
-        needed = F.broadcast(needed_levels(t).withColumn("level", F.col("gwl").cast("string")))
-        raster = raster.join(needed, "level" if "level" in raster.columns else "gwl", "left_semi")
+        by = "level" if "level" in raster.columns else "gwl"
+        needed = needed_levels(t).select(F.col("gwl").cast(raster.schema[by].dataType)).collect()  # no more than the axes have
+        raster = raster.where(F.col(by).isin([r["gwl"] for r in needed]))
     if not masked:
         t = t.where("status = 'ok'")
     salts = int(path.sparkSession.conf.get("spark.sql.shuffle.partitions"))
