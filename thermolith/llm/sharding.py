@@ -7,7 +7,7 @@ files.  The law is `rows`: shard sizes differ by one record at most.
 
 The bucket hash covers id and text, so copies of one text spread over all buckets, and bucket k is dealt to task k, so a task
 holds no more than one.  Rows alike in id and text share a bucket; then a bucket can be larger than planned.  Bucket arrays
-are sorted before the shuffle, so reruns agree; rows alike in all columns are interchangeable.  Very long texts are whole
+are sorted before the shuffle, so reruns agree at any number of partitions and of buckets; rows alike in all columns are interchangeable.  Very long texts are whole
 records.  Null ids and texts are hashed like values; an empty table gives empty shards.  All columns are carried, whatever
 their names and types: where `docs` has a column _shard or _slot, the new one has one more _ before it.
 """
@@ -35,25 +35,25 @@ def _sorted_rows(docs: DataFrame) -> Column:
     """The group's rows as a sorted array; maps, which have no order, are sorted by their JSON."""
     maps = [c for c, kind in docs.dtypes if "map<" in kind]
     if not maps:
-        return F.sort_array(F.collect_list("_row"))
+        return F.sort_array(F.collect_list("_row"))  # the list leaves the row that says where the bucket begins out
     plain = [F.col(f"_row.`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns) if c not in maps]
     keyed = F.struct(F.struct(*plain, F.to_json(F.struct(*(F.col(f"_row.`{c}`") for c in maps))).alias("json")).alias("key"), F.col("_row"))
     order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
-    return F.transform(F.array_sort(F.collect_list(keyed), order), lambda x: x["_row"])
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("_row").isNotNull(), keyed)), order), lambda x: x["_row"])
 
 
 def shuffled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
     """(_row: all columns of `docs`, _place: 0 to rows - 1, a seeded permutation) of all rows; the number of rows."""
     total = docs.agg(F.sum(_size(text)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, -(-int(total["b"] or 0) // bucket_bytes))
-    dealt = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), bucket_of(id_col, text, n, seed).alias("_bucket"))
-    filled = docs.groupBy(bucket_of(id_col, text, n, seed).alias("_b")).agg(F.count(F.lit(1)).alias("_count"))
-    begins = filled.select("_b", (F.sum("_count").over(W.orderBy("_b")) - F.col("_count")).alias("_begin"))
-    # one array for each bucket of bounded bytes; sorted first, as rows arrive in any order
-    full = dealt.repartitionById(n, "_bucket").groupBy("_bucket").agg(_sorted_rows(docs).alias("_rows"))
-    # the rows stay where they are, as Spark adds the partition's number to the shuffle's seed; n bounds the other side
-    begins = F.broadcast(begins) if n <= 100_000 else begins.hint("merge")
-    turned = full.join(begins, F.col("_bucket") == F.col("_b")).sortWithinPartitions("_bucket")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    dealt = docs.select(row.alias("_row"), bucket_of(id_col, text, n, seed).alias("_bucket"), F.lit(None).cast("long").alias("_begin"))
+    filled = dealt.groupBy(F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_count"))
+    begins = filled.select(F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), F.col("_b").alias("_bucket"), (F.sum("_count").over(W.orderBy("_b")) - F.col("_count")).alias("_begin"))
+    # where a bucket begins travels with its rows, so nothing has to meet them later, whatever the number of buckets; one array
+    # for each bucket of bounded bytes, sorted first, as rows arrive in any order; bucket k is task k, as Spark adds the
+    # partition's number to the shuffle's seed
+    turned = dealt.unionByName(begins).repartitionById(n, "_bucket").groupBy("_bucket").agg(_sorted_rows(docs).alias("_rows"), F.max("_begin").alias("_begin"))
     placed = turned.select("_begin", F.posexplode(F.shuffle("_rows", seed)).alias("_pos", "_row"))
     return placed.select("_row", (F.col("_begin") + F.col("_pos")).alias("_place")), int(total["n"])
 

@@ -83,8 +83,10 @@ def look_up(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it in the files), n_tokens, ids_crc32, from the files.
 
-    Files are in the order of the numbers that Spark's writer gives them, rows in that of the files."""
-    stored = read(spark, path).select("doc_id", "ids", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    Files are in the order of the numbers that Spark's writer gives them: that of the task, then that of the file among the
+    task's (spark.sql.files.maxRecordsPerFile makes several).  Rows are in the order of the files."""
+    number = lambda p: F.regexp_extract("_metadata.file_name", p, 1).cast("long")
+    stored = read(spark, path).select("doc_id", "ids", F.struct(number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)\.[^-]*$").alias("file")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     def run(batches):
         row = 0  # rows of a file's block come in their order, in one task
@@ -98,7 +100,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), at, pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "block", "row", "n_tokens", "ids_crc32"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    rows = common.cut(stored.mapInArrow(run, f"doc_id {kind}, file long, block long, row long, n_tokens long, ids_crc32 long"))
+    rows = common.cut(stored.mapInArrow(run, f"doc_id {kind}, file struct<task:bigint,file:bigint>, block long, row long, n_tokens long, ids_crc32 long"))
     # files hold consecutive ranges: sums of files first, then inside each
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_sum"))
     files = files.select(F.col("file").alias("_file"), (F.sum("_sum").over(W.orderBy("file")) - F.col("_sum")).alias("_begin"))
