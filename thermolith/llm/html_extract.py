@@ -1,20 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into text blocks, each with its path of block tags and classes from the root.  Text length and
-punctuation are aggregated per path and divided by the path's blocks; these two ratios are smoothed over neighbouring
-blocks, fused by multiplication and averaged per path again: the path's score.  A heading counts as the text that it heads.
-Priors weigh the scores of paths, none of them decides alone: the share of the path's text that is outside links, names
-(class, id, role) that say no content, and standing outside an <article> or <main> where the page has text in one.
-
-Paths whose score reaches `share` of the text-weighted mean score are content.  Paths with most of their text inside the
-smallest element that holds all blocks of these need `low` of the mean only, so short lines, lists and captions of an article
-stay, and menus, adverts and comments in it go.  What is returned are the blocks of these paths, and of no other.
+punctuation are aggregated per path: the text by the root of the number of the path's blocks, so that both long blocks and much
+text count, the punctuation by a block.  Both ratios are smoothed over neighbouring blocks, these weighed by how much of their
+paths is one, fused by multiplication and averaged per path again: the path's score.  A heading counts as the best of the
+blocks that it heads.  Priors weigh the scores, mildly on a page with text enough for ratios to tell: names (class, id, role)
+that say no content, standing outside an <article> or <main> where the page has text in one, and the share of links.  On a
+page with little text they weigh more, by a power that grows as the text gets less.
+
+Paths whose score reaches `share` of the text-weighted mean score of paths without names against them are content.  With them
+go paths that no name speaks against and that lie between or, not in links only, around them (`content_paths`), so titles,
+bylines, short lines, linked lists and captions of an article stay.  What is returned are the blocks of these paths, and of no
+other.
 
 As scores count against the page's own mean, a name that wraps a whole page changes nothing.  A name says no content by a
 whole name, not by a part of one (`no-comments`, `has-sidebar`), and is not believed of most of a page's sentences, unless an
-<article> or <main> has text elsewhere; adverts and reader comments, which may outgrow an article, are believed unless there
-are no other sentences.  What HTML itself names as no content (navigation, page headers and footers, asides, forms, scripts)
-or hides is never read.
+<article> or <main> has text elsewhere; adverts, which may outgrow an article, are believed unless there are no other
+sentences.  What HTML itself names as no content (navigation, page headers and footers, asides, forms, scripts) or hides is
+never read, and neither are reader comments by name, as their ratios are those of an article, unless a page has no other
+sentences.
 
 Null, empty and text-less pages give an empty text.  Tags may be unclosed, unopened or badly nested.  Whole pages are read,
 in time linear in their length, however long.  Scores that tie with a threshold reach it.  An empty table gives no rows;
@@ -50,6 +54,8 @@ ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td",
 NO_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommend recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Of these, what names text of readers, which nothing in its ratios tells from an article.
+REMARKS = frozenset("comment comments disqus".split())
 #: Of these, what names text of others, which may be longer than the article, and not a place on the page.
 OTHERS = frozenset("ad ads advert adverts advertisement advertising banner comment comments consent cookie cookies disqus gdpr newsletter popup promo promoted promotion sponsor sponsored subscribe subscription".split())
 #: What may stand beside these words in one name, as in `comment-list`; with any other word it's another thing.
@@ -64,6 +70,7 @@ class Element:
     path: int
     parent: Element | None = None
     out: bool = False  # in a part that is left out
+    remark: bool = False  # in readers' comments
     inside: bool = False  # in an article
     heading_only: bool = False
     first: int = 0  # blocks first to last - 1 lie below it
@@ -81,15 +88,15 @@ class Block:
 @dataclass
 class Path:
     parent: int
-    says: str  # NAMED, HEADER or OTHER: its last element's name says that it's no content
+    says: str  # NAMED, HEADER, OTHER or REMARK: its last element's name says that it's no content
     inside: bool  # in an article
 
 
-HIDDEN, NAMED, HEADER, OTHER = "hidden", "named", "header", "other"
+HIDDEN, NAMED, HEADER, OTHER, REMARK = "hidden", "named", "header", "other", "remark"
 
 
 def _says_no(attributes: str) -> str:
-    """HIDDEN, NAMED, HEADER or OTHER for what is no content by its attributes, else empty."""
+    """HIDDEN, NAMED, HEADER, OTHER or REMARK for what is no content by its attributes, else empty."""
     said = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -101,8 +108,8 @@ def _says_no(attributes: str) -> str:
                 words = WORD.findall(token)
                 against = NO_CONTENT.intersection(words)
                 if against and all(w in NO_CONTENT or w in PARTS for w in words):
-                    now = OTHER if not OTHERS.isdisjoint(words) else HEADER if against == {"header"} else NAMED
-                    said = max(said, now, key=("", HEADER, NAMED, OTHER).index)
+                    now = REMARK if not REMARKS.isdisjoint(words) else OTHER if not OTHERS.isdisjoint(words) else HEADER if against == {"header"} else NAMED
+                    said = max(said, now, key=("", HEADER, NAMED, OTHER, REMARK).index)
     return said
 
 
@@ -124,6 +131,7 @@ def parse(page: str, names: bool = True) -> tuple[list[Block], Element, list[Pat
     here, blocks, text = root, [], []
     paths, numbers = [Path(0, "", False)], {}
     inline: list = []  # an inline part that says it is no content: its tag, how often that is open, the text before, how it says so
+    remarks = 0  # sentences in readers' comments
     dropped = 0  # sentences of inline parts left out for their names
     link, linked = False, 0
 
@@ -135,11 +143,13 @@ def parse(page: str, names: bool = True) -> tuple[list[Block], Element, list[Pat
         inline.clear()
 
     def close() -> None:
-        nonlocal link, linked
+        nonlocal link, linked, remarks
         if inline:
             drop()
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
+        if here.remark:
+            remarks += _sentences(joined)
         if joined and not here.out and not (here.heading_only and here.tag not in HEADINGS):
             blocks.append(Block(joined, here, min(linked, len(joined))))
         link, linked = False, 0
@@ -216,19 +226,21 @@ def parse(page: str, names: bool = True) -> tuple[list[Block], Element, list[Pat
             if to.tag in ENDS[tag]:
                 here = leave(to.parent)
         own_header = tag == "header" and here.inside
-        out = here.out or tag in LEFT_OUT and not own_header or no == HIDDEN and tag not in ("html", "body", "article", "main")
-        says = "" if tag in ("html", "body", "main") or tag == "article" and no != OTHER else no
+        remark = here.remark or names and no == REMARK and tag not in ("html", "body", "main")
+        out = here.out or remark or tag in LEFT_OUT and not own_header or no == HIDDEN and tag not in ("html", "body", "article", "main")
+        says = "" if tag in ("html", "body", "main") or tag == "article" and no not in (OTHER, REMARK) else no
         key = here.path, tag + _class(attributes), says
         path = numbers.setdefault(key, len(paths))
         if path == len(paths):
             paths.append(Path(here.path, says, paths[here.path].inside or tag in ("article", "main") and not says))
-        child = Element(tag, path, here, out, paths[path].inside, here.heading_only or own_header, len(blocks))
+        child = Element(tag, path, here, out, remark, paths[path].inside, here.heading_only or own_header, len(blocks))
         here.children.append(child)
         here = child
     close()
     leave(root)
     root.last = len(blocks)
-    if dropped > sum(_sentences(b.text) for b in blocks):
+    read = sum(_sentences(b.text) for b in blocks)
+    if dropped > read or remarks and not read:
         return parse(page, False)
     return blocks, root, paths
 
@@ -249,52 +261,88 @@ def _named(blocks: list[Block], paths: list[Path]) -> tuple[np.ndarray, np.ndarr
         if path.says:
             other = int(sentences[0] - sentences[p])
             elsewhere = not path.inside and marked[0] > marked[p]
-            believed = int(sentences[p]) <= other or elsewhere or path.says == OTHER and bool(other or 2 * text[p] <= text[0])
+            believed = int(sentences[p]) <= other or elsewhere or path.says in (OTHER, REMARK) and bool(other or 2 * text[p] <= text[0])
         named[p] = named[path.parent] or believed
         other_named[p] = other_named[path.parent] or believed and path.says != HEADER
     return named, other_named
 
 
-KERNEL = np.array([0.25, 0.5, 0.25])
-#: Priors of paths that names speak against, and of those outside the page's <article> or <main>.
-AGAINST, OUTSIDE = 0.001, 0.1
+KERNEL = 0.25, 0.5, 0.25
+#: Priors of paths that names speak against, of those outside the page's <article> or <main>, and of text that is all links.
+AGAINST, OUTSIDE, LINKS = 0.5, 0.7, 0.5
+#: Characters of text at which priors count twice: of little text ratios tell little.
+LITTLE = 250
+
 
+def likeness(paths: list[Path], a: int, b: int) -> float:
+    """The part of two paths, from the root, that is one, squared."""
+    if a == b:
+        return 1.0
+    up, other = [a], [b]
+    for chain in (up, other):
+        while chain[-1]:
+            chain.append(paths[chain[-1]].parent)
+    same = sum(x == y for x, y in zip(reversed(up), reversed(other), strict=False)) - 1  # the root, which has no tag, is in all
+    return (same / (max(len(up), len(other)) - 1)) ** 2
 
-def _smooth(x: np.ndarray) -> np.ndarray:
-    y = np.pad(x, 1, mode="edge")
-    return y[:-2] * KERNEL[0] + y[1:-1] * KERNEL[1] + y[2:] * KERNEL[2]
 
+def smooth(x: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Means over each block and its neighbours, these weighed by the likeness of their paths (`alike`, between i and i + 1)."""
+    left, right = np.concatenate([[0.0], alike]) * KERNEL[0], np.concatenate([alike, [0.0]]) * KERNEL[2]
+    y = np.pad(x, 1)
+    return (y[:-2] * left + x * KERNEL[1] + y[2:] * right) / (left + KERNEL[1] + right)
 
-def path_scores(blocks: list[Block], paths: list[Path]) -> dict[int, float]:
-    """The score of each path that has blocks."""
+
+def ratios(blocks: list[Block], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text length and punctuation of the path of each block (`of`: its number), a block of it; a heading counts as the best of the
+    blocks that it heads."""
+    count = np.bincount(of)
+    length = np.array([len(b.text) for b in blocks], float)
+    points = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
+    ratio, marks = (np.bincount(of, length) / np.sqrt(count))[of], (np.bincount(of, points) / count)[of]
+    best = (0.0, 0.0)
+    headed = False
+    for i in range(len(blocks) - 1, -1, -1):
+        if blocks[i].element.tag not in HEADINGS:
+            best = max(best, (ratio[i], marks[i])) if not headed else (ratio[i], marks[i])
+            headed = False
+        else:
+            headed = True
+            if best[0]:
+                ratio[i], marks[i] = best
+    return ratio, marks
+
+
+def path_scores(blocks: list[Block], paths: list[Path]) -> tuple[dict[int, float], np.ndarray]:
+    """The score of each path that has blocks, and the paths that believed names speak against."""
     own = [b.element.path for b in blocks]
     number = {p: i for i, p in enumerate(dict.fromkeys(own))}
     of = np.array([number[p] for p in own])
     count = np.bincount(of)
     length = np.array([len(b.text) for b in blocks], float)
-    points = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
-    outside = 1 - np.bincount(of, [float(b.linked) for b in blocks]) / np.bincount(of, length)
-    named, other_named = _named(blocks, paths)
+    linked = np.bincount(of, [float(b.linked) for b in blocks]) / np.bincount(of, length)
+    named, _ = _named(blocks, paths)
     inside = any(b.element.inside for b in blocks)
-    prior = np.array([outside[k] * (AGAINST if named[p] else 1.0) * (OUTSIDE if inside and not paths[p].inside else 1.0) for k, p in zip(of, own, strict=True)])
-    ratio, marks = (np.bincount(of, length) / count)[of], (np.bincount(of, points) / count)[of]
-    below = None
-    for i in range(len(blocks) - 1, -1, -1):
-        if blocks[i].element.tag not in HEADINGS:
-            below = i
-        elif below is not None:
-            ratio[i], marks[i] = ratio[below], marks[below]
-            prior[i] = prior[below] if not other_named[own[i]] else min(prior[below], prior[i])
-    fused = _smooth(ratio) * (0.5 + _smooth(marks)) * prior
-    return dict(zip(number, (np.bincount(of, fused) / count).tolist(), strict=True))
-
-
-def content_paths(blocks: list[Block], root: Element, paths: list[Path], share: float = 0.1, low: float = 0.01) -> set[int]:
-    """Paths whose score reaches `share` of the text-weighted mean; and those that reach `low` of it and have most of their
-    text in the smallest element that holds all blocks of the former."""
-    scores = path_scores(blocks, paths)
+    prior = {p: (AGAINST if named[p] else 1.0) * (OUTSIDE if inside and not paths[p].inside else 1.0) * (1 - (1 - LINKS) * linked[k]) for p, k in number.items()}
+    free = sum(len(b.text) for b in blocks if not named[b.element.path])
+    prior = {p: x ** (1 + (LITTLE / max(free, 1)) ** 2) for p, x in prior.items()}
+    ratio, marks = ratios(blocks, of)
+    alike = np.array([likeness(paths, a, b) for a, b in zip(own, own[1:], strict=False)])
+    fused = smooth(ratio, alike) * np.sqrt(1 + smooth(marks, alike))
+    score = np.bincount(of, fused) / count
+    return {p: float(score[k]) * prior[p] for p, k in number.items()}, named
+
+
+def content_paths(blocks: list[Block], root: Element, paths: list[Path], share: float = 0.3) -> set[int]:
+    """Paths whose score reaches `share` of the text-weighted mean, and those that go with them.
+
+    These are paths that no name speaks against, with most of their text between the first and the last block of the former, or
+    else in the smallest element that holds all of these and not in links only, if it isn't in an <article> or <main>."""
+    scores, named = path_scores(blocks, paths)
     length = [len(b.text) for b in blocks]
-    mean = sum(scores[b.element.path] * n for b, n in zip(blocks, length, strict=True)) / sum(length)
+    plain = [(scores[b.element.path], n) for b, n in zip(blocks, length, strict=True) if not named[b.element.path]]
+    plain = plain or [(scores[b.element.path], n) for b, n in zip(blocks, length, strict=True)]
+    mean = sum(x * n for x, n in plain) / sum(n for _, n in plain)
     content = {p for p, x in scores.items() if x >= share * mean}
     chosen = [i for i, b in enumerate(blocks) if b.element.path in content]
     here = root
@@ -302,9 +350,10 @@ def content_paths(blocks: list[Block], root: Element, paths: list[Path], share:
         here = inner
     whole, within = dict.fromkeys(scores, 0), dict.fromkeys(scores, 0)
     for i, b in enumerate(blocks):
+        between, in_here = chosen[0] <= i <= chosen[-1], here.first <= i < here.last
         whole[b.element.path] += length[i]
-        within[b.element.path] += length[i] * (here.first <= i < here.last)
-    return content | {p for p, x in scores.items() if x >= low * mean and 2 * within[p] > whole[p]}
+        within[b.element.path] += length[i] * (between or in_here and (b.element.inside or b.linked < length[i]))
+    return content | {p for p in scores if not named[p] and 2 * within[p] > whole[p]}
 
 
 def main_text(page: str | None) -> str:
