@@ -7,7 +7,6 @@ bytes, so every executor computes the same values.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,6 +39,21 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]:
+    """Queries run inside hand Python workers no more than `most` bytes at a time, or one row."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from reliable checkpoint files, which outlive any executor."""
     shared_dir(df.sparkSession)
@@ -83,13 +97,13 @@ class Tables:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder for written tables, beside its checkpoints, where every executor sees it.
 
-    It is spark.checkpoint.dir; only where that is unset and all executors are this machine (tests) is one made here."""
+    It is in spark.checkpoint.dir; only where that is unset and all executors are this machine (tests) is it in the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         top = spark.conf.get("spark.checkpoint.dir", None)
         if top is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(top or f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse')}/checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -221,17 +221,25 @@ def crossing(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
     return np.concatenate(out[0]) if out[0] else np.empty(0, np.int64), np.concatenate(out[1]) if out[1] else np.empty(0, np.int64)
 
 
-def cross_links(tables: common.Tables, nodes: DataFrame, met_labels: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000) -> DataFrame:
+def cross_links(tables: common.Tables, nodes: DataFrame, met_labels: DataFrame, known: DataFrame, width: int, percent: int, left_block: int = 400, right_block: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
     """Links (a, b) between labels, for pairs of classes of different labels in the clusters that rows (key, label) connect;
-    `nodes` are the classes (node, label)."""
+    `nodes` are the classes (node, label).
+
+    A block holds about `left_block` or `right_block` classes, or those of `block_shingles` shingles where these are fewer, so
+    that long texts make smaller blocks; a longer text is one by itself."""
     firsts = met_labels.groupBy("key").agg(F.min("label").alias("first"))
     edges = met_labels.join(firsts, "key").where("first != label").select(F.col("first").alias("a"), F.col("label").alias("b"))
-    clusters = components(edges).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    clusters = components(edges, tables).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
     clusters = clusters.join(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), "label")
-    members = tables.store(common.spread(nodes, clusters, ["label"], "_n", nodes.count()).select("node", "label", "cluster"))
-    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    sizes = sizes.select("cluster", "main", "m", F.ceil(F.col("m") / right_block).alias("rights"), F.ceil((F.col("m") - F.col("most")) / left_block).alias("lefts"))
+    clusters = tables.store(clusters)
+    members = common.spread(nodes, clusters, ["label"], "_n", nodes.count()).select("node", "label", "cluster")
+    members = tables.store(members.join(known.select("node", F.col("n").alias("w")), "node"))
+    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    largest = F.max_by(F.struct("label", "n", "w"), F.struct("n", "label"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.sum("w").alias("w"), largest.alias("x"))
+    blocks = lambda n, w, size: F.greatest(F.ceil(n / size), F.ceil(w / block_shingles))
+    sizes = sizes.select("cluster", F.col("x.label").alias("main"), "m", blocks(F.col("m"), F.col("w"), right_block).alias("rights"), blocks(F.col("m") - F.col("x.n"), F.col("w") - F.col("x.w"), left_block).alias("lefts"))
+    sizes = tables.store(sizes)
     placed = common.spread(members, sizes, ["cluster"], "m", members.count()).withColumn("h", F.xxhash64("node"))
     right = placed.select("cluster", "node", "label", F.lit(False).alias("left"), F.pmod("h", "rights").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"))
     left = placed.where("label != main").select("cluster", "node", "label", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.pmod("h", "lefts").alias("i"))
@@ -257,8 +265,8 @@ def cross_links(tables: common.Tables, nodes: DataFrame, met_labels: DataFrame,
     return rows.withColumn("spot", spot).select("spot", "label", "left", "t").groupBy("spot").applyInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over links (a, b), for nodes with a link."""
+def components(links: DataFrame, into: common.Tables | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable over links (a, b), for nodes with a link; stored in `into`."""
 
     def state(e):
         return e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
@@ -289,14 +297,14 @@ def components(links: DataFrame) -> DataFrame:
                 break
             before = now
         one = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-        return common.store(one.union(one.select("component", "component").distinct()))
+        return (into.store if into else common.store)(one.union(one.select("component", "component").distinct()))
 
 
 def _verdicts(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
     """doc, th (hash of the text), n and component of every row of `docs`."""
     common.integral(docs, id_col)
     spark = docs.sparkSession
-    with common.Tables(spark) as tables:
+    with common.Tables(spark) as tables, common.small_batches(spark):
         full = tables.store(signatures(docs, id_col, text, width))
         able = full.where((F.col("n") > 0) & F.col("doc").isNotNull())
         classes = able.groupBy("k1", "k2").agg(F.min(F.col("doc").cast("long")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
@@ -304,8 +312,9 @@ def _verdicts(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
         signed = tables.store(full.drop("regs"))
         tables.drop(keep=2)
         # keys that classes share
-        shared = bands(classes).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = tables.store(common.spread(bands(classes), shared, ["key"], "size", BANDS * classes.count()))
+        keys = tables.store(bands(classes))
+        shared = tables.store(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        met = tables.store(common.spread(keys, shared, ["key"], "size", BANDS * classes.count()))
         total = met.count()
         weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
         texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text).alias("th"), common.as_bytes(text).alias("t"))
@@ -316,17 +325,17 @@ def _verdicts(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
         # a class for each key that all others of the key are compared with; the hash orders equal weights
         order = F.least(F.col("weight"), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
         pivots = met.join(weight, "node").groupBy("key").agg(F.max_by("node", order).alias("pivot"), F.max("size").alias("_n"))
-        pairs = common.spread(met.select("key", "node"), pivots, ["key"], "_n", total).where("node != pivot")
+        pairs = common.spread(met.select("key", "node"), tables.store(pivots), ["key"], "_n", total).where("node != pivot")
         pairs = tables.store(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
         links = tables.store(confirmed(pairs, known, width, percent))
-        found = components(links)
+        found = components(links, tables)
         labelled = tables.store(met.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
         nodes = tables.store(labelled.select("node", "label").distinct())
         mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi and _n > 2")  # two classes have been compared
         met_labels = tables.store(labelled.select("key", "label").distinct().join(mixed.select("key"), "key"))
         renamed = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
         if not met_labels.isEmpty():  # components of components
-            above = components(cross_links(tables, nodes, met_labels, known, width, percent)).select(F.col("node").alias("label"), F.col("component").alias("above"))
+            above = components(cross_links(tables, nodes, met_labels, known, width, percent), tables).select(F.col("node").alias("label"), F.col("component").alias("above"))
             renamed = renamed.join(above, "label", "left").withColumn("component", F.coalesce("above", "label"))
         else:
             renamed = renamed.withColumn("component", F.col("label"))
