@@ -181,6 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "gwl_grid_interpolation": w("grid", f"SELECT indicator, unit, region, ssp, year, gwl_c / 100e0 AS gwl, gwl_c, {r('value')} AS value FROM grid"),
         "prepared_cube": w("grid", f"SELECT indicator, unit, region, ssp, gwl_c, {r('avg(value)')} AS mean_value, count(*) AS n FROM grid GROUP BY ALL", {"cube": (f"SELECT indicator, unit, region, ssp, gwl_c / 100e0 AS gwl, gwl_c, CAST(y AS INTEGER) AS year, {_FILLED} AS value FROM ({_FILL.format(cube='sparse', first=2020, last=2080)})", ["sparse"])}),
         "cube_round_trip": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube"),
+        "netcdf_round_trip": w("raster", f"SELECT indicator, lat, lon, gwl, gwl_c, {r('value')} AS value FROM raster WHERE gwl >= 2.0"),
         "iamc_csv_round_trip": w("scen", "SELECT * FROM scen"),
         "nearest_gwl_lookup": w("targets", "SELECT * FROM targets"),
         "nearest_year_collapse_mean": w("tab", f"SELECT region, variable, year, {r('avg(value)')} AS mean_value, count(*) AS n FROM tab GROUP BY ALL"),

@@ -11,7 +11,7 @@ from .. import schema
 from ..config import DEFAULT
 from ..functions import metrics, numeric, text
 from ..operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, table
-from ..sources import cubes, iamc, params, scratch
+from ..sources import cubes, iamc, netcdf, params, scratch
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +224,15 @@ def cube_round_trip(s, d):
     return cubes.region_cube(s, to, check=False).withColumn("value", r("value"))
 
 
+@query
+def netcdf_round_trip(s, d):
+    """A raster written as a netCDF file for each indicator and level, and what the files say of two levels."""
+    to = scratch.folder(s, "netcdf")
+    netcdf.write(fx.raster(s, d), to)
+    back = cubes.raster_cube(s, to, check=False, reader=netcdf.read)
+    return back.where("value is not null and gwl >= 2.0").withColumn("value", r("value"))
+
+
 @query
 def iamc_csv_round_trip(s, d):
     to = scratch.folder(s, "iamc")
