@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from thermolith import schema
 from thermolith.config import EngineConfig
 from thermolith.functions import metrics, numeric, text
-from thermolith.operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, selection, table
+from thermolith.operators import carbon, cube, dashboard, emulators, filters, maps, nearest, pathway, reshape, scores, selection, table
 from thermolith.sources import cubes, iamc, params
+from thermolith.streaming import caution
 
 TS = schema.SCENARIO_TS
 KNOTS = "indicator string, unit string, region string, ssp string, gwl double, year int, value double"
@@ -500,3 +501,66 @@ def test_files_of_chosen_levels(spark, tmp_path):
     with pytest.raises(ValueError, match="no file"):
         cubes.raster_by_level(spark, [str(tmp_path / "cdd*.parquet")], pattern, levels=[9.0])
     assert cubes.discover(spark, f"{tmp_path}/{{x}}.nothing") == []
+
+
+def test_nearest_on_any_axis(spark):
+    r = random.Random(7)
+    axes = {"a": sorted({round(r.uniform(0, 5), 3) for _ in range(40)}), "b": [1.5], "c": [0.0, 1e-9, 1000.0], None: [1.0, 2.0]}
+    rows = [(k, round(r.uniform(-1, 6), 3), i) for k in ("a", "b", "c", None, "none") for i in range(60)] + [("a", None, 0), ("c", 5e-10, 1), ("c", 500.0, 2), (None, 1.5, 3), ("a", float("nan"), 4)]
+    left = spark.createDataFrame(rows, "k string, x double, _a int")
+    axis = spark.createDataFrame([(k, g, 0) for k, v in axes.items() for g in [*v, v[0], None]], "k string, g double, x int")
+    got = nearest.nearest(left, axis, ("x", "g"), ("k",))
+    assert got.columns == ["k", "x", "_a", "nearest"] and got.count() == len(rows)
+    for x in got.collect():
+        own = axes.get(x["k"])
+        want = min(own, key=lambda g: (abs(g - x["x"]), -g)) if own and x["x"] is not None and x["x"] == x["x"] else None
+        assert x["nearest"] == want
+    whole = nearest.nearest(left.where("k = 'a'").drop("k"), axis.where("k = 'a'").drop("k"), ("x", "g"))
+    assert sorted(map(str, whole.select("x", "nearest").collect())) == sorted(map(str, got.where("k = 'a'").select("x", "nearest").collect()))
+    assert nearest.nearest(left, axis.where("false"), ("x", "g"), ("k",)).where("nearest is not null").count() == 0
+
+
+def test_emulators_of_users(spark):
+    def heat(rows):
+        total = 0.0
+        for x in rows:
+            total += max(0.0, x["gwl"] - 1.5)
+            yield {"scenario": x["scenario"], "year": x["year"], "heat": round(total, 6)}
+
+    emulators.register(spark, "heat", heat, "scenario string, year int, heat double")
+    rows = path(spark, [("m", "s", "SSP1", y, g) for y, g in ((2030, 2.0), (2020, 1.0), (2040, 1.75))] + [("m", "t", "SSP1", 2020, 3.5)])
+    assert values(emulators.run(rows.repartition(4), "heat"), "scenario", "year", "heat") == [("s", 2020, 0.0), ("s", 2030, 0.5), ("s", 2040, 0.75), ("t", 2020, 2.0)]
+    assert emulators.run(rows.where("false"), "heat").count() == 0
+    with pytest.raises(ValueError, match="name"):
+        emulators.register(spark, "a b", heat, "x int")
+
+
+def test_streamed_checks_equal_a_batch(spark, tmp_path):
+    """Years in any order over many files, a restart between, and a scenario that a later trigger doesn't touch."""
+    r = random.Random(2)
+    rows = [("m", s, "SSP1", y, round(r.uniform(1.0, 4.0), 3)) for s in "abc" for y in range(2020, 2060)]
+    r.shuffle(rows)
+    to, again = str(tmp_path / "in"), 0
+    for part in (rows[:50], rows[50:90], [x for x in rows[90:] if x[1] != "a"], [x for x in rows[90:] if x[1] == "a"]):
+        path(spark, part).repartition(3).write.mode("append").parquet(to)
+        stream = spark.readStream.schema(schema.GMT_PATHWAY).option("maxFilesPerTrigger", 2).parquet(to)
+        caution.keep(caution.checks(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        again += len(part)
+        columns = ("model", "scenario", "max_gwl", "min_gwl", "last_gwl", "drawdown", "too_hot", "too_cold")
+        seen = path(spark, [x for x in rows[:again]] if again <= 90 else [x for x in rows if again == len(rows) or x in rows[:90] or x[1] != "a"])
+        assert values(caution.latest(spark, str(tmp_path / "out")), *columns) == values(pathway.warnings(seen), *columns)
+
+
+def test_zoom_levels(spark):
+    cells = spark.createDataFrame([("m", "s", "i", 2020, float(la), float(lo), float(la * lo)) for la in range(-10, 10) for lo in range(-20, 20)], "model string, scenario string, indicator string, year int, lat double, lon double, value double")
+    z = dashboard.zoom(cells, (1.0, 5.0, 20.0))
+    assert values(z.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("c")), "step", "n", "c") == [(1.0, 800, 800), (5.0, 32, 800), (20.0, 4, 800)]
+    one = z.where("step = 5.0 and lat = -10 and lon = 15").first()
+    assert one["cells"] == 25 and one["value"] == pytest.approx(np.mean([la * lo for la in range(-10, -5) for lo in range(15, 20)]))
+    assert [dashboard.fitting(z, n).first()["step"] for n in (1000, 800, 799, 3)] == [1.0, 1.0, 5.0, 20.0]
+
+
+def test_strict_knots(spark):
+    k = knots(spark, [("i", "u", "r", "SSP1", g, 2020, v) for g, v in ((1.5, 1.0), (1.733, 9.0), (2.0, 2.0))])
+    strict = {r["gwl_c"]: r["value"] for r in cube.gwl_grid(k, strict_knots=True).collect()}
+    assert strict[175] == pytest.approx(1.5) and {r["gwl_c"]: r["value"] for r in cube.gwl_grid(k).collect()}[173] > 8

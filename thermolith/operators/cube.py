@@ -60,9 +60,16 @@ def value_at(level_c: str = "gwl_c") -> F.Column:
     return F.when(F.col("g1").isNull() | (g == F.col("g0")), F.col("v0")).otherwise(line)
 
 
-def gwl_grid(knots: DataFrame, keys: list[str] | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Each series at every 0.01 degrees: linear between knots, constant outside up to multiples of 0.05."""
+def on_grid(knots: DataFrame) -> DataFrame:
+    """Only knots whose level is a whole number of hundredths."""
+    return knots.where(numeric.centi(F.col("gwl")) / 100.0 == F.col("gwl"))
+
+
+def gwl_grid(knots: DataFrame, keys: list[str] | None = None, config: EngineConfig = DEFAULT, strict_knots: bool = False) -> DataFrame:
+    """Each series at every 0.01 degrees: linear between knots, constant outside up to multiples of 0.05.  With `strict_knots`
+    knots off this grid are left out."""
     keys = keys or [*SERIES, "year"]
+    knots = on_grid(knots) if strict_knots else knots
     p = pieces(knots, keys, config.smooth_resolution)
     at = p.select(*keys, "g0", "v0", "g1", "v1", F.explode(F.sequence("lo_c", F.col("hi_c") - 1)).alias("gwl_c"))
     return at.select(*keys, (F.col("gwl_c") / 100.0).alias("gwl"), "gwl_c", value_at().alias("value"))

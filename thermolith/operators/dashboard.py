@@ -46,6 +46,30 @@ def envelope(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group, "year").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+def zoom(cells: DataFrame, steps: tuple[float, ...], keys: tuple[str, ...] = ("model", "scenario", "indicator", "year")) -> DataFrame:
+    """keys, step, lat, lon, value, cells: means over squares of each of `steps` degrees, named by their south-western corners.
+
+    All steps are made in one pass, as grouping sets with partial aggregation.  Squares without any value have none."""
+    names = [(f"_lat{k}", f"_lon{k}", F.lit(float(s))) for k, s in enumerate(steps)]
+    placed = cells
+    for a, o, s in names:
+        placed = placed.withColumns({a: F.floor(F.col("lat") / s) * s, o: F.floor(F.col("lon") / s) * s})
+    sets = [[*(F.col(k) for k in keys), F.col(a), F.col(o)] for a, o, _ in names]
+    sums = placed.groupingSets(sets, *keys, *(c for a, o, _ in names for c in (a, o))).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("cells"), F.grouping_id().alias("_set"))
+    # the set of step k is the one in which its two columns alone, of these, count
+    n = 2 * len(steps)
+    ids = [(1 << n) - 1 - (0b11 << (n - 2 - 2 * k)) for k in range(len(steps))]
+    pick = lambda i: F.coalesce(*(F.when(F.col("_set") == d, x) for d, x in zip(ids, i, strict=True)))
+    return sums.select(*keys, pick([s for _, _, s in names]).alias("step"), pick([F.col(a) for a, _, _ in names]).alias("lat"), pick([F.col(o) for _, o, _ in names]).alias("lon"), "value", "cells")
+
+
+def fitting(zoomed: DataFrame, most_cells: int = 200_000) -> DataFrame:
+    """The squares of the finest step of which there are no more than `most_cells`, or of the coarsest."""
+    counts = zoomed.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.agg(F.coalesce(F.min(F.when(F.col("n") <= most_cells, F.col("step"))), F.max("step")).alias("_step"))  # one row
+    return zoomed.join(F.broadcast(best), F.col("step") == F.col("_step"), "left_semi")
+
+
 #: Hue and saturation of colour maps by name; `_r` makes high values dark.
 COLOURS = {"magma": (320, 60), "viridis": (160, 50), "inferno": (20, 80), "blues": (210, 70), "greys": (0, 0)}
 

@@ -62,8 +62,9 @@ def duplicates(pathway: DataFrame) -> DataFrame:
 
 
 def spread_duplicates(pathway: DataFrame, seed: int = 0, width: float = 0.005) -> DataFrame:
-    """Moves repeated levels by up to `width` either way, seeded by scenario and year."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *SCENARIO, "year"), F.lit(1 << 30)) / float(1 << 29) - 1.0
+    """Moves repeated levels by up to `width` either way: a draw from the md5 of `seed|model|scenario|year`, its first 28 bits."""
+    key = F.concat_ws("|", F.lit(str(seed)), *SCENARIO, F.col("year").cast("string"))
+    draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 7), 16, 10).cast("long") / float(1 << 27) - 1.0
     return duplicates(pathway).withColumn("gwl", F.when(F.col("is_duplicate"), F.col("gwl") + width * draw).otherwise(F.col("gwl"))).drop("is_duplicate")
 
 

@@ -179,6 +179,14 @@ def oracle_sql() -> dict[str, str]:
         "annual_interpolation": w("annual", f"SELECT {IMPACT} FROM annual"),
         "year_fill_both_edges": w("cube", f"SELECT indicator, unit, region, ssp, gwl_c, CAST(y AS INTEGER) AS year, {r(_FILLED)} AS value FROM ({_FILL.format(cube='(SELECT * FROM cube WHERE year BETWEEN 2030 AND 2060)', first=2020, last=2070)})"),
         "gwl_grid_interpolation": w("grid", f"SELECT indicator, unit, region, ssp, year, gwl_c / 100e0 AS gwl, gwl_c, {r('value')} AS value FROM grid"),
+        "gwl_grid_strict_knots": w("grid", f"SELECT indicator, unit, region, ssp, year, gwl_c / 100e0 AS gwl, gwl_c, {r('value')} AS value FROM grid", {"cube": ("SELECT * FROM everything WHERE gwl <> 2.0", ["everything"])}),
+        "nearest_irregular_level": w("path cube", """SELECT p.*, a.nearest FROM path p LEFT JOIN (SELECT t.ssp, t.gwl, arg_min(l.level, row(abs(l.level - t.gwl), -l.level)) AS nearest
+            FROM (SELECT DISTINCT ssp, gwl FROM path) t JOIN (SELECT DISTINCT ssp, gwl * gwl / 2e0 AS level FROM cube WHERE ssp <> 'SSP1') l USING (ssp) GROUP BY t.ssp, t.gwl) a ON a.ssp = p.ssp AND a.gwl = p.gwl"""),
+        "user_emulator": w("path", "SELECT *, row_number() OVER (PARTITION BY model, scenario, gwl ORDER BY year) > 1 AS is_duplicate FROM path"),
+        "streamed_caution_checks": w("own", "SELECT *, round_even((max_gwl - last_gwl) * 100, 0) / 100 > 0.15e0 AS drawdown, max_gwl > 3.5e0 AS too_hot, min_gwl < 1.2e0 AS too_cold FROM own"),
+        "dashboard_zoom": w("maps", " UNION ALL ".join(f"SELECT model, scenario, indicator, year, {s}e0 AS step, floor(lat / {s}e0) * {s}e0 AS lat, floor(lon / {s}e0) * {s}e0 AS lon, {r('avg(value)')} AS value, count(*) AS cells FROM maps GROUP BY ALL" for s in (10, 30, 90)), DECADES),
+        "duplicate_temps_spread": w("path", """SELECT model, scenario, ssp, year, CASE WHEN row_number() OVER (PARTITION BY model, scenario, gwl ORDER BY year) > 1
+            THEN gwl + 0.005e0 * (CAST('0x' || substr(md5('1|' || model || '|' || scenario || '|' || year), 1, 7) AS BIGINT) / 134217728e0 - 1e0) ELSE gwl END AS gwl FROM path"""),
         "prepared_cube": w("grid", f"SELECT indicator, unit, region, ssp, gwl_c, {r('avg(value)')} AS mean_value, count(*) AS n FROM grid GROUP BY ALL", {"cube": (f"SELECT indicator, unit, region, ssp, gwl_c / 100e0 AS gwl, gwl_c, CAST(y AS INTEGER) AS year, {_FILLED} AS value FROM ({_FILL.format(cube='sparse', first=2020, last=2080)})", ["sparse"])}),
         "cube_round_trip": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube"),
         "netcdf_round_trip": w("raster", f"SELECT indicator, lat, lon, gwl, gwl_c, {r('value')} AS value FROM raster WHERE gwl >= 2.0"),

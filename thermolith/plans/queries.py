@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import DEFAULT
 from ..functions import metrics, numeric, text
-from ..operators import carbon, cube, dashboard, filters, maps, pathway, reshape, scores, table
+from ..operators import carbon, cube, dashboard, emulators, filters, maps, nearest, pathway, reshape, scores, table
 from ..sources import cubes, iamc, netcdf, params, scratch
+from ..streaming import caution
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +210,54 @@ def gwl_grid_interpolation(s, d):
     return cube.gwl_grid(fx.cube(s, d)).withColumn("value", r("value"))
 
 
+@query
+def gwl_grid_strict_knots(s, d):
+    """The grid without knots off its hundredths, which one level of each cube has."""
+    c = fx.cube(s, d).withColumn("gwl", F.when(F.col("gwl") == 2.0, F.lit(2.003)).otherwise(F.col("gwl")))
+    return cube.gwl_grid(c, strict_knots=True).withColumn("value", r("value"))
+
+
+@query
+def nearest_irregular_level(s, d):
+    """Each pathway row's nearest level of its SSP on an axis of any spacing."""
+    levels = fx.cube(s, d).select("ssp", (F.col("gwl") * F.col("gwl") / 2.0).alias("level")).where("ssp != 'SSP1'")
+    return nearest.nearest(path(s, d), levels, ("gwl", "level"), ("ssp",))
+
+
+@query
+def user_emulator(s, d):
+    """An emulator of a user's own, here one that flags levels seen before in its scenario."""
+
+    def seen_before(rows):
+        seen = set()
+        for x in rows:
+            yield x | {"is_duplicate": x["gwl"] in seen}
+            seen.add(x["gwl"])
+
+    emulators.register(s, "seen_before", seen_before, "model string, scenario string, ssp string, year int, gwl double, is_duplicate boolean")
+    return emulators.run(path(s, d), "seen_before")
+
+
+@query
+def streamed_caution_checks(s, d):
+    """Caution checks of pathways that arrive in files of mixed years, in two runs of one stream."""
+    to = scratch.folder(s, "stream")
+    half = F.xxhash64("year", "scenario") % 2 == 0
+    path(s, d).where(half).repartition(6, F.xxhash64("model", "year")).write.parquet(f"{to}/in")
+    arriving = s.readStream.schema(schema.GMT_PATHWAY).option("maxFilesPerTrigger", 2).parquet(f"{to}/in")
+    found = caution.checks(arriving, years=list(DEFAULT.years))
+    caution.keep(found, f"{to}/out", f"{to}/state").awaitTermination()
+    path(s, d).where(~half).repartition(6, F.xxhash64("model", "year")).write.mode("append").parquet(f"{to}/in")
+    caution.keep(found, f"{to}/out", f"{to}/state").awaitTermination()
+    return caution.latest(s, f"{to}/out")
+
+
+@query
+def dashboard_zoom(s, d):
+    """Means over squares of 10, 30 and 90 degrees."""
+    return dashboard.zoom(_maps(s, d), (10.0, 30.0, 90.0)).withColumn("value", r("value"))
+
+
 @query
 def prepared_cube(s, d):
     """Years, then levels filled; means over the years, so that the rows are few."""
