@@ -70,6 +70,12 @@ def store(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Stored tables of one operator, deleted when it ends.  What the operator returns must not read them."""
 
@@ -85,10 +91,8 @@ class Tables:
 
     def drop(self, keep: int = 0) -> None:
         """Deletes all tables but the `keep` latest."""
-        hadoop, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext._jsc.hadoopConfiguration()
         while len(self.paths) > keep:
-            path = hadoop.Path(self.paths.pop(0))
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, self.paths.pop(0))
 
     def __exit__(self, *_) -> None:
         self.drop()

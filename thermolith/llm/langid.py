@@ -4,7 +4,7 @@ Text is read as UTF-8 bytes in fixed windows of 128.  Bytes are embedded, convol
 rectified and max-pooled over the window; a softmax layer gives the language.  The network is trained in numpy by Adam
 on windows of a bounded sample: up to `per_lang` labelled documents of each language, chosen by hash, and up to
 `windows` windows of each, `most` windows (of 128 bytes) in all, which bounds what the driver holds.  Every label is learnt,
-however many there are.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
+up to `most` of them.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
 
 A softmax over the learnt languages is sure of one for any text, so `accepted` also asks how likely the text's byte pairs
 are in the language found (or, if they lie over FAR spreads off, in the nearest): the mean log-likelihood of a pair may lie
@@ -128,11 +128,19 @@ class Network:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+#: Tables of byte pairs, at most.
+TABLES = 256
+
+
 @dataclass
 class Likelihood:
-    """Log-probabilities of a byte (A-Z as a-z) after another in each language, and where its windows' means lie."""
+    """Log-probabilities of a byte (A-Z as a-z) after another in each language, and where its windows' means lie.
+
+    A table takes 264 KB in every task, so there are no more than `TABLES`: of more languages those with the fewest windows share
+    the last one."""
 
-    tables: np.ndarray  # languages x 257 * 257
+    tables: np.ndarray  # tables x 257 * 257
+    of: np.ndarray  # the table of each language
     middle: np.ndarray
     spread: np.ndarray
 
@@ -153,6 +161,9 @@ class Likelihood:
     @classmethod
     def fit(cls, langs: list[str], x: np.ndarray, y: np.ndarray) -> Likelihood:
         """Half of the windows are measured by the other half's counts."""
+        rank = np.argsort(np.argsort(-np.bincount(y, minlength=len(langs)), kind="stable"), kind="stable")
+        of = np.minimum(rank, TABLES - 1) if len(langs) > TABLES else np.arange(len(langs))
+        y, langs = of[y], langs[: TABLES]
         half, means = np.arange(len(x)) % 2, np.zeros(len(x))
         for part in (0, 1):
             tables = np.stack([cls.table(x[(y == k) & (half != part)]) for k in range(len(langs))])
@@ -165,10 +176,11 @@ class Likelihood:
             if len(own):
                 middle[k] = np.median(own)
                 spread[k] = max(middle[k] - np.quantile(own, 0.16), 0.05)
-        return cls(np.stack([cls.table(x[y == k]) for k in range(len(langs))]), middle, spread)
+        return cls(np.stack([cls.table(x[y == k]) for k in range(len(langs))]), of, middle, spread)
 
     def away(self, row: np.ndarray, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Spreads of each row's windows below the middle of its language; a text shorter than a window may vary more."""
+        """Spreads of each row's windows below the middle of its language, which `lang` gives by its table; a text shorter than a
+        window may vary more."""
         total, n = np.zeros(len(lang)), np.zeros(len(lang))
         for k in range(0, len(x), 4096):
             at = row[k : k + 4096]
@@ -201,9 +213,10 @@ def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "
     """(languages, windows, labels): the bounded training sample, the same for the same documents.
 
     With so many languages that these would have over `most` windows, all have fewer windows of each document, and if it
-    must be fewer documents; no language less than one."""
+    must be fewer documents; no language less than one.  Of more than `most` different labels, as in a column that holds no
+    languages, those with the fewest rows (then the last by name) are no languages, so that all this stays bounded."""
     learn = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(4), id_col, text).alias("h"))
-    counts = learn.groupBy("lang").count().orderBy("lang").collect()
+    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.empty((0, WINDOW), np.int32), np.empty(0, np.int64)
@@ -273,11 +286,11 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
                 if network and likely and len(data):
-                    away = likely.away(row, x, best)
+                    away = likely.away(row, x, likely.of[best])
                     far = away > FAR
                     if far.any():  # the network may have named the wrong one
                         own = far[row]
-                        others = [likely.away(row[own], x[own], np.full(n, k)) for k in range(len(network.langs))]
+                        others = [likely.away(row[own], x[own], np.full(n, k)) for k in range(len(likely.tables))]
                         away = np.where(far, np.min(others, axis=0), away)
                 ok = lettered[first:end] & (network is not None)
                 names = [network.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), ok.tolist(), strict=True)]

@@ -116,7 +116,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> D
     same = F.col("_id2").eqNullSafe(F.col("_id"))
     if count["n"] != count["d"]:  # rows alike in id: turns and rows are numbered on both sides
         turns = turns.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_tie", "pass").orderBy("position")))
-        rows = rows.withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.lit(0))))
+        # rows alike in text too by all they hold; those alike in all are interchangeable
+        rows = rows.withColumn("_nth2", F.row_number().over(W.partitionBy("_id2", "_tie2").orderBy(F.to_json("_row"))))
         same &= (F.col("_tie2") == F.col("_tie")) & (F.col("_nth2") == F.col("_nth"))
     both = rows.join(turns, same).repartitionByRange("position", "pass", "_id2").sortWithinPartitions("position", "pass", "_id2")
     return both.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
