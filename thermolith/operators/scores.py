@@ -31,16 +31,21 @@ def binned_fixed(df: DataFrame, edges: list[float], value: str, name: str) -> Da
     return df.withColumn(name, numeric.piecewise_bin(F.col(value), [F.lit(float(x)) for x in edges]))
 
 
-def bivariate(df: DataFrame, keys: list[str], level: str = "future", fixed: dict[str, list[float]] | None = None) -> DataFrame:
+def bivariate(df: DataFrame, keys: list[str], level: str = "future", fixed: dict[str, list[float]] | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Adds z_score, level_score and their sum, scored by the quartiles of each group of `keys`.
 
-    Indicators in `fixed` have their level scored by these edges instead."""
-    edges = selection.quantiles(df, keys, ["z", level], QUARTILES, "quartiles")
-    of = lambda v: edges.where(F.col("variable") == v).drop("variable")
+    Indicators in `fixed`, or in the table `edges` (indicator, edges: four ascending numbers), have their level scored by these
+    edges instead."""
+    found = selection.quantiles(df, keys, ["z", level], QUARTILES, "quartiles")
+    of = lambda v: found.where(F.col("variable") == v).drop("variable")
     scored = binned(binned(df, of("z"), keys, "z", "z_score"), of(level), keys, level, "level_score")
-    for indicator, edges in (fixed or {}).items():
-        own = numeric.piecewise_bin(F.col(level), [F.lit(float(x)) for x in edges])
+    for indicator, four in (fixed or {}).items():
+        own = numeric.piecewise_bin(F.col(level), [F.lit(float(x)) for x in four])
         scored = scored.withColumn("level_score", F.when(F.col("indicator") == indicator, own).otherwise(F.col("level_score")))
+    if edges is not None:
+        own = numeric.piecewise_bin(F.col(level), [F.element_at("edges", k + 1) for k in range(4)])
+        scored = scored.join(edges.select("indicator", "edges"), "indicator", "left")
+        scored = scored.withColumn("level_score", F.when(F.col("edges").isNotNull(), own).otherwise(F.col("level_score"))).drop("edges")
     return scored.withColumn("score", F.col("z_score") + F.col("level_score"))
 
 

@@ -3,7 +3,8 @@
 A double's 64 bits, read so that their order is the numbers' order, are settled 16 at a time.  Each pass counts the rows of
 a group by the next 16 bits, looks up which count holds each rank asked for, and goes on with the rows of these counts
 only.  A pass is one scan with partial aggregation: of the data only counts are shuffled, at most 65,536 for each group and
-rank, and no group's values ever stand in one buffer.  After four passes a rank's bits, and so its number, are known."""
+rank, and no group's values ever stand in one buffer.  After four passes a rank's bits, and so its number, are known; passes
+end before where all numbers left for each rank are one."""
 
 from __future__ import annotations
 
@@ -54,17 +55,17 @@ def quantiles(df: DataFrame, keys: list[str], values: list[str], q: tuple[float,
     by = [*keys, "variable"]
     position = lambda k: F.lit(q[k]) * (F.col("n") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(position(k)), F.ceil(position(k))) for k in range(len(q))))))
-    state = None
+    state, rows_of_state = None, 0
     for k in range(PASSES):
         digit = F.shiftright("bits", BITS * (PASSES - 1 - k))
         if state is None:
             inside, within = rows, by
         else:
-            small = F.broadcast(state) if state.count() <= SMALL else state
+            small = F.broadcast(state) if rows_of_state <= SMALL else state
             small = small.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("digit").alias("_digit"), "wanted", "n")
             met = _same(rows, small, by) & (F.shiftright(rows["bits"], BITS * (PASSES - k)) == small["_digit"])
             inside, within = rows.join(small, met).drop(*(f"_{c}" for c in by)), [*by, "_digit"]
-        counted = inside.groupBy(*within, digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x"), *((F.first("wanted").alias("wanted"), F.first("n").alias("n")) if state is not None else ()))
+        counted = inside.groupBy(*within, digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x"), F.max("x").alias("hi"), *((F.first("wanted").alias("wanted"), F.first("n").alias("n")) if state is not None else ()))
         w = W.partitionBy(*within)
         upto = counted.withColumn("below", F.sum("c").over(w.orderBy("digit")) - F.col("c"))
         if state is None:
@@ -72,7 +73,11 @@ def quantiles(df: DataFrame, keys: list[str], values: list[str], q: tuple[float,
             upto = upto.withColumn("wanted", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("rest"))))
         hit = F.filter("wanted", lambda r: (r["rest"] >= F.col("below")) & (r["rest"] < F.col("below") + F.col("c")))
         hit = F.transform(hit, lambda r: F.struct(r["rank"].alias("rank"), (r["rest"] - F.col("below")).alias("rest")))
-        state = scratch.table(upto.select(*by, "digit", "n", "x", hit.alias("wanted")).where(F.size("wanted") > 0), "ranks")
+        state = scratch.table(upto.select(*by, "digit", "n", "x", "hi", hit.alias("wanted")).where(F.size("wanted") > 0), "ranks")
+        seen = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("hi")).alias("open")).first()
+        rows_of_state = seen["n"]
+        if not seen["open"]:
+            break
     found = state.select(*by, "n", "x", F.explode("wanted").alias("r")).groupBy(*by).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r.rank", "x"))).alias("at"))
 
     def between(k: int) -> Column:

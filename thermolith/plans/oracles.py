@@ -122,11 +122,17 @@ def _bin(x: str, e: list[str]) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {e[0]} THEN 0e0 WHEN {x} < {e[1]} THEN {part(0)} WHEN {x} < {e[2]} THEN {part(1)} WHEN {x} < {e[3]} THEN {part(2)} ELSE 3e0 END"
 
 
-def _bivariate(keys: str) -> str:
+_PARAMS = """(VALUES ('trade', 'price', '2b', 'price', 'Mean price', 'USD', 'magma_r', 'absolute', 'RdBu', 0e0, 100000e0, -100000e0, 100000e0, '100000.0 50000.0 25000.0 0.0'),
+    ('trade', 'discount', '2b', 'discount', 'Mean discount', '%', 'magma_r', 'absolute', 'RdBu', 0e0, 1e0, -1e0, 1e0, '1.0 0.5 0.25 0.0'), ('volume', 'quantity', '3b', 'quantity', 'Mean quantity', 'items', 'magma_r', 'absolute', 'RdBu', 0e0, 50e0, -50e0, 50e0, '50.0 25.0 12.5 0.0'))
+    t(group_name, var_name, protocol, short_name, long_name, unit, ind_cmap, diff, diff_cmap, ind_min, ind_max, diff_min, diff_max, score_range)"""
+
+
+def _bivariate(keys: str, fixed: dict[str, tuple] | None = None) -> str:
+    fixed = fixed or {"discount": (0.01, 0.02, 0.03, 0.04)}
     q = [f"q.zq[{k}]" for k in range(1, 5)]
     f = [f"q.fq[{k}]" for k in range(1, 5)]
     on = " AND ".join(f"z.{k} = q.{k}" for k in keys.split(", "))
-    level = f"CASE WHEN z.indicator = 'discount' THEN {_bin('z.future', ['0.01e0', '0.02e0', '0.03e0', '0.04e0'])} ELSE {_bin('z.future', f)} END"
+    level = "CASE z.indicator " + " ".join(f"WHEN '{i}' THEN {_bin('z.future', [f'{x}e0' for x in e])}" for i, e in fixed.items()) + f" ELSE {_bin('z.future', f)} END"
     return f"""SELECT indicator, lat, lon, {r("zs", 4)} AS z_score, {r("ls", 4)} AS level_score, {r("zs + ls", 4)} AS score FROM (
         SELECT z.indicator, z.lat, z.lon, {_bin("z.z", q)} AS zs, {level} AS ls FROM z JOIN (
         SELECT {keys}, quantile_cont(z, [0, 0.25, 0.5, 0.75]) AS zq, quantile_cont(future, [0, 0.25, 0.5, 0.75]) AS fq FROM z GROUP BY {keys}) q ON {on})"""
@@ -164,16 +170,17 @@ def oracle_sql() -> dict[str, str]:
         "impact_cube_from_input": w("cube", f"""SELECT indicator || CASE indicator WHEN 'price' THEN '|Exposure' WHEN 'quantity' THEN '|Hazard' ELSE '_ssp2|Hazard|95.0th Percentile' END AS indicator, unit, region, ssp, gwl, gwl_c, year, {r("value")} AS value
             FROM cube"""),
         "stem_cube": w("cube", f"SELECT 'price|Exposure' AS indicator, unit, region, ssp, gwl, gwl_c, year, {r('value')} AS value FROM cube WHERE indicator = 'price'"),
-        "drop_empty_rows": w("scen", "SELECT model, scenario, region, variable, unit, " + ", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in range(2020, 2025)) + " FROM scen WHERE model <> 'BUILDING' AND year <= 2024 GROUP BY ALL"),
+        "drop_empty_rows": w("scen", f"SELECT model, scenario, region, variable, unit, {wide} FROM scen WHERE model <> 'BUILDING' OR year >= 2060 GROUP BY ALL HAVING count(CASE WHEN year < 2060 THEN value END) > 0"),
         "outlier_windows": w("cube", f"SELECT * REPLACE ({r("CASE indicator WHEN 'price' THEN CASE WHEN value > 30000 AND value < 40000 THEN value END WHEN 'discount' THEN CASE WHEN value > -0.05e0 AND value < 0.05e0 THEN value END ELSE value END")} AS value) FROM cube"),
         "select_by_position": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube WHERE gwl_c = (SELECT DISTINCT gwl_c FROM cube ORDER BY 1 LIMIT 1 OFFSET 1) AND year = (SELECT DISTINCT year FROM cube WHERE gwl_c = (SELECT DISTINCT gwl_c FROM cube ORDER BY 1 LIMIT 1 OFFSET 1) ORDER BY 1 DESC LIMIT 1 OFFSET 1)"),
         "exact_year_select": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube WHERE year IN (2030, 2050)"),
         "dense_cube": w("cube", f"""SELECT g.*, {r("c.value")} AS value FROM (SELECT * FROM (SELECT DISTINCT indicator FROM cube), (SELECT DISTINCT gwl_c FROM cube WHERE region <> 'ASIA' OR year < 2050), (SELECT DISTINCT year FROM cube WHERE region <> 'ASIA' OR year < 2050),
             (SELECT DISTINCT ssp FROM cube WHERE region <> 'ASIA' OR year < 2050), (SELECT DISTINCT region FROM cube WHERE region <> 'ASIA' OR year < 2050)) g LEFT JOIN (SELECT * FROM cube WHERE region <> 'ASIA' OR year < 2050) c USING (indicator, gwl_c, year, ssp, region)"""),
-        "aligned_cubes": w("cube", f"""SELECT region, ssp, gwl_c, year, {r("p.value")} AS price, {r("q.value")} AS quantity FROM (SELECT * FROM cube WHERE indicator = 'price' AND year >= 2030) p FULL JOIN (SELECT * FROM cube WHERE indicator = 'quantity' AND ssp <> 'SSP3') q USING (region, ssp, gwl_c, year)"""),
+        "aligned_cubes": w("cube", f"""SELECT indicator, region, ssp, gwl_c, year, {r("p.value")} AS one, {r("q.value")} AS other FROM (SELECT * FROM cube WHERE region <> 'ASIA' OR year >= 2030) p
+            FULL JOIN (SELECT * FROM cube WHERE ssp <> 'SSP3' OR year < 2060) q USING (indicator, region, ssp, gwl_c, year)"""),
         "pathway_ssp_resolved": w("resolved", "SELECT * FROM resolved"),
         "pathway_meta_join": w("path", "SELECT * FROM path"),
-        "append_scenarios": w("scen", "SELECT * FROM scen WHERE scenario LIKE '1-%' UNION ALL SELECT * FROM scen WHERE scenario LIKE '2-%'"),
+        "append_scenarios": w("scen", "SELECT * FROM scen"),
         "distinct_axes": w("cube", "SELECT count(DISTINCT indicator) AS n_indicator, count(DISTINCT region) AS n_region, count(DISTINCT ssp) AS n_ssp, count(DISTINCT gwl) AS n_gwl, count(DISTINCT year) AS n_year FROM cube"),
         "dedup_meta": w("meta", "SELECT * FROM meta"),
         "annual_interpolation": w("annual", f"SELECT {IMPACT} FROM annual"),
@@ -234,8 +241,8 @@ def oracle_sql() -> dict[str, str]:
         "scenario_labels": w("meta", "SELECT model, scenario, translate(model || ' 1.1/x,y', ' /,.', '____') || '_' || scenario AS label FROM meta"),
         "axis_validation": w("cube", "SELECT indicator, count(DISTINCT gwl) AS n_gwl, min(gwl) AS min_gwl, max(gwl) AS max_gwl, count(DISTINCT gwl) > 1 AND min(gwl) > 0.5 AS valid FROM cube GROUP BY indicator"),
         "duplicate_key_check": w("cube", "SELECT indicator, region, ssp, gwl_c, year, CAST(2 AS BIGINT) AS n FROM cube WHERE year = 2030"),
-        "indicator_params_table": """SELECT * FROM (VALUES ('trade', 'price', '2b', 'price', 'Mean price', 'USD', 'magma_r', 'absolute', 'RdBu', 0e0, 100000e0, -100000e0, 100000e0, '100000.0 50000.0 25000.0 0.0'),
-            ('trade', 'discount', '2b', 'discount', 'Mean discount', '%', 'magma_r', 'absolute', 'RdBu', 0e0, 1e0, -1e0, 1e0, '1.0 0.5 0.25 0.0'), ('volume', 'quantity', '3b', 'quantity', 'Mean quantity', 'items', 'magma_r', 'absolute', 'RdBu', 0e0, 50e0, -50e0, 50e0, '50.0 25.0 12.5 0.0'))
-            t(group_name, var_name, protocol, short_name, long_name, unit, ind_cmap, diff, diff_cmap, ind_min, ind_max, diff_min, diff_max, score_range)""",
+        "indicator_params_table": w("cube", f"SELECT t.*, count(c.value) AS n_values, count(CASE WHEN c.value < t.ind_min OR c.value > t.ind_max THEN 1 END) AS n_outside FROM {_PARAMS} JOIN cube c ON c.indicator = t.var_name GROUP BY ALL"),
+        "score_by_params": w("z", _bivariate("indicator, class", {"price": (0, 25000, 50000, 100000), "discount": (0, 0.25, 0.5, 1), "quantity": (0, 12.5, 25, 50)})),
+        "cube_from_many_files": w("cube", f"SELECT * REPLACE ({r('value')} AS value) FROM cube"),
         "half_even_rounding": "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 1000 * 100, 0) / 100 AS rounded FROM lineitem",
     }

@@ -131,9 +131,9 @@ def stem_cube(s, d):
 
 @query
 def drop_empty_rows(s, d):
-    """Wide rows with no value in any of the years asked for go."""
-    wide = reshape.to_wide(fx.scenarios(s, d).where("model != 'BUILDING' or year > 2024"), ID, list(range(2020, 2030)))
-    return filters.drop_empty(wide.select(*ID, *(str(y) for y in range(2020, 2025))), [str(y) for y in range(2020, 2025)])
+    """Wide rows with no value in any of the years before 2060 go; one model has later years only."""
+    wide = reshape.to_wide(fx.scenarios(s, d).where("model != 'BUILDING' or year >= 2060"), ID, YEARS)
+    return filters.drop_empty(wide, [str(y) for y in YEARS if y < 2060])
 
 
 @query
@@ -160,10 +160,10 @@ def dense_cube(s, d):
 
 @query
 def aligned_cubes(s, d):
-    """Two indicators side by side, with different holes."""
+    """Two cubes of all indicators side by side, with different holes."""
     c = fx.cube(s, d)
-    sides = c.where("indicator = 'price' and year >= 2030"), c.where("indicator = 'quantity' and ssp != 'SSP3'")
-    return cube.align(*sides, ("region", "ssp", "gwl_c", "year"), ("price", "quantity")).withColumns({n: r(n) for n in ("price", "quantity")})
+    sides = c.where("region != 'ASIA' or year >= 2030"), c.where("ssp != 'SSP3' or year < 2060")
+    return cube.align(*sides, ("indicator", "region", "ssp", "gwl_c", "year"), ("one", "other")).withColumns({n: r(n) for n in ("one", "other")})
 
 
 @query
@@ -179,7 +179,7 @@ def pathway_meta_join(s, d):
 @query
 def append_scenarios(s, d):
     ts = fx.scenarios(s, d)
-    return filters.append(filters.select(ts, scenario="1-*"), filters.select(ts, scenario="2-*"))
+    return filters.append(filters.select(ts, scenario="1-*"), filters.select(ts, keep=False, scenario="1-*"))
 
 
 @query
@@ -547,4 +547,25 @@ def half_even_rounding(s, d):
 
 @query
 def indicator_params_table(s, d):
-    return params.frame(s, params.load(params.EXAMPLE)).withColumn("score_range", F.array_join(F.col("score_range").cast("array<string>"), " "))
+    """Each indicator of the cube with its parameters, and how many of its values lie outside the range these give."""
+    p = params.frame(s, params.load(params.EXAMPLE)).withColumn("score_range", F.array_join(F.col("score_range").cast("array<string>"), " "))
+    c = fx.cube(s, d).drop("unit").join(p, F.col("indicator") == F.col("var_name"))
+    outside = F.count_if((F.col("value") < F.col("ind_min")) | (F.col("value") > F.col("ind_max")))
+    return c.groupBy(*p.columns).agg(F.count("value").alias("n_values"), outside.alias("n_outside"))
+
+
+@query
+def score_by_params(s, d):
+    """Scores whose level edges are those of the parameter table, for the indicators that have any there."""
+    edges = params.score_edges(params.frame(s, params.load(params.EXAMPLE)))
+    out = scores.bivariate(scores.zscore(fx.score_cells(s, d)), ["indicator", "class"], edges=edges)
+    return out.select("indicator", "lat", "lon", r("z_score", 4).alias("z_score"), r("level_score", 4).alias("level_score"), r("score", 4).alias("score"))
+
+
+@query
+def cube_from_many_files(s, d):
+    """A cube from a file for each SSP, which only the files' names tell, in one scan with a hook."""
+    to = scratch.folder(s, "files")
+    fx.cube(s, d).withColumn("of", F.col("ssp")).drop("ssp", "gwl_c").write.partitionBy("of").parquet(to)
+    named = lambda df: df.withColumn("ssp", F.regexp_extract("_file", "of=(SSP[0-9])", 1))
+    return cubes.region_cube(s, f"{to}/of=*", preprocess=named, check=False).withColumn("value", r("value"))

@@ -35,3 +35,10 @@ def frame(spark: SparkSession, loaded: dict) -> DataFrame:
             number = lambda k: None if x.get(k) is None else float(x[k])  # noqa: B023, E731
             rows.append((group, name, protocol.get(group), *(None if x.get(k) is None else str(x[k]) for k in TEXT), *map(number, NUMBERS), [float(v) for v in x["score_range"]] if x.get("score_range") else None))
     return spark.createDataFrame(rows, SCHEMA)
+
+
+def score_edges(params: DataFrame) -> DataFrame:
+    """indicator and `edges`, the ascending score_range, of the variables that have one."""
+    from pyspark.sql import functions as F
+
+    return params.where("score_range is not null").select(F.col("var_name").alias("indicator"), F.sort_array("score_range").alias("edges"))
