@@ -116,11 +116,9 @@ def totals(compressed: DataFrame, centroids: Centroids, width: int) -> dict[int,
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64()))], names=["c", "n", "s", "m"])
 
     part = compressed.mapInArrow(run, "c int, n long, s array<bigint>, m long")
-    one = part.groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    each = part.select("c", F.posexplode("s").alias("at", "x")).groupBy("c", "at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
-    # clusters x components
-    both = one.join(each.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")), "c")
-    return {r["c"]: (r["n"], [int(e["x"]) for e in r["s"]], r["m"]) for r in both.collect()}
+    sums = [F.sum(F.get("s", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]
+    rows = part.groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), *sums).collect()  # a row for each cluster
+    return {r["c"]: (r["n"], [int(r[f"s{i}"]) for i in range(width)], r["m"]) for r in rows}
 
 
 def fit(df: DataFrame, k: int = 8, rounds: int = 10, width: int = 64, segment: int = 4, scale: float = 1024, seed: str = "3", id_col: str = "vec_id", vector: str = "embedding", seen: list[dict] | None = None) -> Centroids | None:
