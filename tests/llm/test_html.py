@@ -111,7 +111,7 @@ WELL_FORMED = [
 def test_scores(page):
     blocks, _, paths = h.parse(page)
     assert [b.text for b in blocks] == [b[0] for b in Plain(page).blocks]
-    scores, _ = h.path_scores(blocks, paths)
+    scores, _, _ = h.path_scores(blocks, paths)
     assert list(scores.values()) == pytest.approx(plain_scores(page))
 
 

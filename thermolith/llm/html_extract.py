@@ -8,8 +8,8 @@ blocks that it heads.  Priors weigh the scores, mildly on a page with text enoug
 that say no content, standing outside an <article> or <main> where the page has text in one, and the share of links.  On a
 page with little text they weigh more, by a power that grows as the text gets less.
 
-Paths whose score reaches `share` of the text-weighted mean score of paths without names against them are content.  With them
-go paths that no name speaks against and that lie between or, not in links only, around them (`content_paths`), so titles,
+Paths whose score reaches `share` of the text-weighted mean score of paths without names against them are content, and so are
+those of prose that reach a lower bar, such as the lede of a story whose text lies in another element.  With them go paths that no name speaks against and that lie between or, not in links only, around them (`content_paths`), so titles,
 bylines, short lines, linked lists and captions of an article stay.  What is returned are the blocks of these paths, and of no
 other.
 
@@ -313,8 +313,9 @@ def ratios(blocks: list[Block], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ratio, marks
 
 
-def path_scores(blocks: list[Block], paths: list[Path]) -> tuple[dict[int, float], np.ndarray]:
-    """The score of each path that has blocks, and the paths that believed names speak against."""
+def path_scores(blocks: list[Block], paths: list[Path]) -> tuple[dict[int, float], np.ndarray, set[int]]:
+    """The score of each path that has blocks, the paths that believed names speak against, and those of prose: with punctuation in
+    half of their blocks or more, and in an <article> or <main> where the page has text in one."""
     own = [b.element.path for b in blocks]
     number = {p: i for i, p in enumerate(dict.fromkeys(own))}
     of = np.array([number[p] for p in own])
@@ -330,20 +331,22 @@ def path_scores(blocks: list[Block], paths: list[Path]) -> tuple[dict[int, float
     alike = np.array([likeness(paths, a, b) for a, b in zip(own, own[1:], strict=False)])
     fused = smooth(ratio, alike) * np.sqrt(1 + smooth(marks, alike))
     score = np.bincount(of, fused) / count
-    return {p: float(score[k]) * prior[p] for p, k in number.items()}, named
+    prose = {p for p, i in zip(own, range(len(own)), strict=True) if marks[i] >= 0.5 and (paths[p].inside or not inside)}
+    return {p: float(score[k]) * prior[p] for p, k in number.items()}, named, prose
 
 
-def content_paths(blocks: list[Block], root: Element, paths: list[Path], share: float = 0.3) -> set[int]:
-    """Paths whose score reaches `share` of the text-weighted mean, and those that go with them.
+def content_paths(blocks: list[Block], root: Element, paths: list[Path], share: float = 0.3, low: float = 0.02) -> set[int]:
+    """Paths whose score reaches `share` of the text-weighted mean, paths of prose (`path_scores`) without names against them that
+    reach `low` of it, and those that go with them.
 
     These are paths that no name speaks against, with most of their text between the first and the last block of the former, or
     else in the smallest element that holds all of these and not in links only, if it isn't in an <article> or <main>."""
-    scores, named = path_scores(blocks, paths)
+    scores, named, prose = path_scores(blocks, paths)
     length = [len(b.text) for b in blocks]
     plain = [(scores[b.element.path], n) for b, n in zip(blocks, length, strict=True) if not named[b.element.path]]
     plain = plain or [(scores[b.element.path], n) for b, n in zip(blocks, length, strict=True)]
     mean = sum(x * n for x, n in plain) / sum(n for _, n in plain)
-    content = {p for p, x in scores.items() if x >= share * mean}
+    content = {p for p, x in scores.items() if x >= share * mean or p in prose and not named[p] and x >= low * mean}
     chosen = [i for i, b in enumerate(blocks) if b.element.path in content]
     here = root
     while inner := next((c for c in here.children if c.first <= chosen[0] and chosen[-1] < c.last), None):
