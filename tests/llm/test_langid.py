@@ -51,7 +51,7 @@ def test_tables_and_labels_stay_bounded(spark, monkeypatch):
     assert len(likely.tables) == 3 and likely.of.tolist() == [0, 1, 2, 2, 2, 2]
     assert (likely.away(np.arange(len(y)), x[: len(y)], likely.of[y]) < 50).all()
     docs = spark.createDataFrame([(i, "some text here", f"label {i % 40:02d}") for i in range(200)] + [(1000 + i, "more", "often") for i in range(50)], "doc_id long, text string, lang string")
-    langs, _, _ = langid.sample(docs, F.lit(True), most=7)
+    langs, _, _ = langid.sample(docs, F.lit(True), labels=7)
     assert len(langs) == 7 and "often" in langs and langs == sorted(langs)
     assert len(langid.sample(docs, F.lit(True))[0]) == 41
 

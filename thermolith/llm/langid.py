@@ -4,7 +4,7 @@ Text is read as UTF-8 bytes in fixed windows of 128.  Bytes are embedded, convol
 rectified and max-pooled over the window; a softmax layer gives the language.  The network is trained in numpy by Adam
 on windows of a bounded sample: up to `per_lang` labelled documents of each language, chosen by hash, and up to
 `windows` windows of each, `most` windows (of 128 bytes) in all, which bounds what the driver holds.  Every label is learnt,
-up to `most` of them.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
+up to `labels` of them.  A text's probabilities are the geometric mean over all its windows, so whole texts count.
 
 A softmax over the learnt languages is sure of one for any text, so `accepted` also asks how likely the text's byte pairs
 are in the language found (or, if they lie over FAR spreads off, in the nearest): the mean log-likelihood of a pair may lie
@@ -209,14 +209,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = 300, windows: int = 24, most: int = 100_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = 300, windows: int = 24, most: int = 100_000, labels: int = 10_000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, windows, labels): the bounded training sample, the same for the same documents.
 
     With so many languages that these would have over `most` windows, all have fewer windows of each document, and if it
-    must be fewer documents; no language less than one.  Of more than `most` different labels, as in a column that holds no
-    languages, those with the fewest rows (then the last by name) are no languages, so that all this stays bounded."""
+    must be fewer documents; no language less than one.  Of more than `labels` different labels, as in a column that holds
+    no languages, those with the fewest rows (then the last by name) are no languages, so that all this stays bounded."""
     learn = docs.where(may_learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(4), id_col, text).alias("h"))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.empty((0, WINDOW), np.int32), np.empty(0, np.int64)
